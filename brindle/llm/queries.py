@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import norm_topk, suffix_decontamination
+from . import norm_topk, ppm_language, suffix_decontamination
 from .common import table
 from .oracles import ORACLES
 
@@ -18,5 +18,9 @@ def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_norm_topk, op5_suffix_decontamination)}
+def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_language.predict(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_norm_topk, op5_suffix_decontamination, op8_ppm_language)}
 SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
