@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import norm_topk, ppm_language, suffix_decontamination
+from . import norm_topk, ppm_language, subword_toxicity, suffix_decontamination
 from .common import table
 from .oracles import ORACLES
 
@@ -13,6 +13,10 @@ def op1_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_topk.topk(table(spark, sf_dir, "embeddings"))
 
 
+def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword_toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -22,5 +26,5 @@ def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_language.predict(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_norm_topk, op5_suffix_decontamination, op8_ppm_language)}
+QUERIES = {f.__name__: f for f in (op1_norm_topk, op2_subword_toxicity, op5_suffix_decontamination, op8_ppm_language)}
 SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
