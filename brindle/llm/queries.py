@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import norm_topk, ppm_language, subword_toxicity, suffix_decontamination
+from . import credential_linking, norm_topk, ppm_language, subword_toxicity, suffix_decontamination
 from .common import table
 from .oracles import ORACLES
 
@@ -26,5 +26,9 @@ def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_language.predict(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_norm_topk, op2_subword_toxicity, op5_suffix_decontamination, op8_ppm_language)}
+def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credential_linking.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_norm_topk, op2_subword_toxicity, op5_suffix_decontamination, op8_ppm_language, op10_credential_linking)}
 SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
