@@ -123,6 +123,19 @@ class Bags:
         return key // BUCKETS, key % BUCKETS, weight
 
 
+def _chunks(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, Bags]]:
+    """Bags of a few texts at a time, each with its first text's place."""
+    low = 0
+    while low < len(texts):
+        raw, size, high = [], 0, low
+        while high < len(texts) and (not raw or size < most):
+            raw.append(texts[high].encode("utf-8", "surrogatepass"))
+            size += len(raw[-1])
+            high += 1
+        yield low, Bags(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+        low = high
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
@@ -132,32 +145,40 @@ def train(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     share = float(np.mean(toxic)) if len(toxic) else 0.0
     if share in (0.0, 1.0):
         return np.zeros(BUCKETS, np.float32), 50.0 if share else -50.0
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    bags = Bags(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
-    seg, bucket, weight = bags.sparse()
     # Only n-grams that lean to one class get a vector: by texts of each class that have them, Z deviations or more.
-    text, gram = np.divmod(np.unique(bags.owner[seg] * BUCKETS + bucket), BUCKETS)
-    every, bad = np.bincount(gram, minlength=BUCKETS), np.bincount(gram, np.asarray(toxic, float)[text], BUCKETS)
-    rate = every / bags.n
-    lean = np.abs(bad - share * every) / np.sqrt(np.maximum(share * (1 - share) * every * (1 - rate), 1e-9))
-    kept = ((lean >= Z) & (every >= MIN_TEXTS))[bucket]
-    seg, bucket, weight = seg[kept], bucket[kept], weight[kept]
+    y, n = np.asarray(toxic, np.float32), len(texts)
+    every, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for low, bags in _chunks(texts):
+        seg, bucket, _ = bags.sparse()
+        text, gram = np.divmod(np.unique(bags.owner[seg] * BUCKETS + bucket), BUCKETS)
+        every += np.bincount(gram, minlength=BUCKETS)
+        bad += np.bincount(gram, y[low + text], BUCKETS)
+    lean = np.abs(bad - share * every) / np.sqrt(np.maximum(share * (1 - share) * every * (1 - every / n), 1e-9))
+    leaning = (lean >= Z) & (every >= MIN_TEXTS)
+    parts, segments, owner = [], 0, []
+    for low, bags in _chunks(texts):
+        seg, bucket, weight = bags.sparse()
+        kept = leaning[bucket]
+        parts.append((seg[kept] + segments, bucket[kept], (weight[kept] * SCALE).astype(np.float32)))
+        owner.append(bags.owner + low)
+        segments += bags.segments
+    seg, bucket, weight = (np.concatenate(x) for x in zip(*parts))
+    owner = np.concatenate(owner)
     used, bucket = np.unique(bucket, return_inverse=True)
     if not len(used):
         return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
-    weight = (weight * SCALE).astype(np.float32)
-    first = np.searchsorted(seg, np.arange(bags.segments + 1))
-    of_text = np.searchsorted(bags.owner, np.arange(bags.n + 1))
+    first = np.searchsorted(seg, np.arange(segments + 1))
+    of_text = np.searchsorted(owner, np.arange(n + 1))
     rng = np.random.default_rng(7)
     emb = (rng.standard_normal((len(used), DIM)) * 0.05).astype(np.float32)
     layer, bias = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32), np.zeros(2, np.float32)
     bias[1] = np.log(share / (1 - share))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, layer, bias)]
-    step, y = 0, np.asarray(toxic, np.float32)
+    step = 0
     for epoch in range(EPOCHS):
-        order = rng.permutation(bags.n)
+        order = rng.permutation(n)
         rate = RATE * (1 - 0.9 * epoch / EPOCHS)
-        for low in range(0, bags.n, BATCH):
+        for low in range(0, n, BATCH):
             docs = order[low : low + BATCH]
             segs = np.concatenate([np.arange(of_text[d], of_text[d + 1]) for d in docs])
             entry = np.concatenate([np.arange(first[s], first[s + 1]) for s in segs])
