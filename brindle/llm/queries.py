@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credential_linking, norm_topk, ppm_language, subword_toxicity, suffix_decontamination, weak_pii
+from . import credential_linking, hmm_language_model, norm_topk, ppm_language, subword_toxicity, suffix_decontamination, weak_pii
 from .common import table
 from .oracles import ORACLES
 
@@ -22,6 +22,10 @@ def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_language_model.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_pii.scan(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credential_linking.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_norm_topk, op2_subword_toxicity, op5_suffix_decontamination, op7_weak_pii, op8_ppm_language, op10_credential_linking)}
+QUERIES = {f.__name__: f for f in (op1_norm_topk, op2_subword_toxicity, op5_suffix_decontamination, op6_hmm_language_model, op7_weak_pii, op8_ppm_language, op10_credential_linking)}
 SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
