@@ -59,7 +59,15 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         out = out.partitionBy(*partition_by)
     out.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing still to be computed reads."""
+    for df in tables:
+        _remove(df.sparkSession, df.scratch_path)
 
 
 def crc_text(column: str) -> str:

@@ -40,3 +40,35 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
 """
+
+ORACLES["op9_multi_order_jaccard"] = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT rid, list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM d WHERE len(w) > 0
+), sets AS (
+  SELECT s, len(s) AS n, list_sort(s) AS key, rid FROM sh
+), classes AS (
+  SELECT md5(array_to_string(key, chr(10))) AS k, any_value(n) AS n, any_value(s) AS s FROM sets GROUP BY 1
+), post AS (
+  SELECT k, n, unnest(s) AS t FROM classes
+), common AS (
+  SELECT a.k AS x, b.k AS y, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m FROM post a JOIN post b ON a.t = b.t AND a.k < b.k GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common WHERE 100 * c >= 80 * (n + m - c)
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT k AS x, k AS y FROM classes
+  UNION
+  SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x
+), named AS (
+  SELECT rid, md5(array_to_string(key, chr(10))) AS k, n FROM sets
+), first_of AS (
+  SELECT k, min(doc_id) AS first_id FROM named JOIN d USING (rid) GROUP BY 1
+), comp AS (
+  SELECT reach.x AS k, min(first_id) AS component_id FROM reach JOIN first_of ON reach.y = first_of.k GROUP BY 1
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM d LEFT JOIN named USING (rid) LEFT JOIN comp USING (k)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credential_linking, hmm_language_model, norm_topk, ppm_language, subword_toxicity, suffix_decontamination, suffix_sentencepiece, weak_pii
+from . import credential_linking, hmm_language_model, multi_order_jaccard, norm_topk, ppm_language, subword_toxicity, suffix_decontamination, suffix_sentencepiece, weak_pii, winnowed_lines
 from .common import table
 from .oracles import ORACLES
 
@@ -21,6 +21,10 @@ def op3_suffix_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sentencepiece.encode(table(spark, sf_dir, "documents"))
 
 
+def op4_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowed_lines.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -38,9 +42,13 @@ def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_language.predict(table(spark, sf_dir, "documents"))
 
 
+def op9_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_order_jaccard.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credential_linking.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_norm_topk, op2_subword_toxicity, op3_suffix_sentencepiece, op5_suffix_decontamination, op6_hmm_language_model, op7_weak_pii, op8_ppm_language, op10_credential_linking)}
+QUERIES = {f.__name__: f for f in (op1_norm_topk, op2_subword_toxicity, op3_suffix_sentencepiece, op4_winnowed_lines, op5_suffix_decontamination, op6_hmm_language_model, op7_weak_pii, op8_ppm_language, op9_multi_order_jaccard, op10_credential_linking)}
 SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
