@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import relational
+from ..functions import scalar
+from ..operators import aggregates, relational, temporal, windows
+from ..streaming import windows as streams
 
-QUERIES = dict(relational.QUERIES)
-SQL = dict(relational.SQL)
+_PARTS = (relational, aggregates, windows, temporal, scalar, streams)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
