@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..sources.tables import table
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def discounted(price: pd.Series, size: pd.Series) -> pd.Series:
     """A user function over Arrow batches; a built-in expression would be faster and is preferred where there is one."""
     return (price * (1 - size / 1000)).round(4)
