@@ -38,7 +38,8 @@ BLOCK_BYTES = 12 << 20
 TOP, CLASSES, STATES = 2000, 512, 8
 ROUNDS = 6  # of Baum-Welch, each over all training texts
 WINDOW = 64  # training texts are cut to windows of this many tokens; scoring never cuts
-LONG = 4096  # scoring recursion: longer texts go by transfer matrices of so many tokens
+LONG = 1 << 16  # scoring recursion: longer texts go by transfer matrices of so many tokens
+SLICE = 4096  # windows that forward-backward holds at a time
 SYMBOLS = TOP + CLASSES + 1
 END = SYMBOLS - 1
 _CODEC = {"level": 1}
@@ -176,20 +177,29 @@ def expected(seq: np.ndarray, counts: np.ndarray, p: States) -> np.ndarray:
     size = np.minimum(WINDOW, counts[text] - k * WINDOW)
     order = np.argsort(-size, kind="stable")
     low, size, k = low[order], size[order], k[order]
-    live = [int(np.searchsorted(-size, -t, "left")) for t in range(WINDOW + 1)]  # windows longer than t
+    for at in range(0, len(low), SLICE):
+        own = slice(at, at + SLICE)
+        _add_expected(out, seq, low[own], size[own], k[own] == 0, p)
+    return out
+
+
+def _add_expected(out: np.ndarray, seq: np.ndarray, low: np.ndarray, size: np.ndarray, starts: np.ndarray, p: States) -> None:
+    """Forward-backward over windows of seq, the longest first; starts: those that begin a text."""
+    longest = int(size[0])
+    live = [int(np.searchsorted(-size, -t, "left")) for t in range(longest + 1)]  # windows longer than t
     move, emit = p.move.astype(np.float32), p.emit.astype(np.float32)
     forward, symbols = [], []
-    a = np.where((k == 0)[:, None], p.start, p.resume).astype(np.float32)
-    for t in range(int(size[0])):
+    a = np.where(starts[:, None], p.start, p.resume).astype(np.float32)
+    for t in range(longest):
         n = live[t]
         s = seq[low[:n] + t]
         a = (a[:n] if t == 0 else a[:n] @ move) * emit[s]
         a /= a.sum(axis=1, keepdims=True)
         forward.append(a)
         symbols.append(s)
-    back = np.ones((live[int(size[0]) - 1], STATES), np.float32)
-    gammas = [None] * len(forward)
-    for t in range(len(forward) - 1, -1, -1):
+    back = np.ones((live[longest - 1], STATES), np.float32)
+    gammas: list = [None] * longest
+    for t in range(longest - 1, -1, -1):
         n = live[t]
         if len(back) < n:
             back = np.concatenate([back, np.ones((n - len(back), STATES), np.float32)])
@@ -205,10 +215,9 @@ def expected(seq: np.ndarray, counts: np.ndarray, p: States) -> np.ndarray:
             back = coming @ move.T
     g, s = np.concatenate(gammas), np.concatenate(symbols)
     for j in range(STATES):
-        out[:SYMBOLS, j] = np.bincount(s, g[:, j], SYMBOLS)
-    out[SYMBOLS + STATES] = gammas[0][k == 0].sum(axis=0)
-    out[SYMBOLS + STATES + 1] = gammas[0][k > 0].sum(axis=0)
-    return out
+        out[:SYMBOLS, j] += np.bincount(s, g[:, j], SYMBOLS)
+    out[SYMBOLS + STATES] += gammas[0][starts].sum(axis=0)
+    out[SYMBOLS + STATES + 1] += gammas[0][~starts].sum(axis=0)
 
 
 def _forward(seq: np.ndarray, low: np.ndarray, size: np.ndarray, a: np.ndarray, p: States, moved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
