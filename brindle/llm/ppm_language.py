@@ -114,7 +114,8 @@ class Model:
             x, _ = folded(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
             counts.append([np.unique(grams(x, k), return_counts=True) for k in range(1, ORDER + 1)])
         # Order by order: cost of each gram's last byte in the context before it, and the context's escape cost.
-        self.keys = [np.unique(np.concatenate([c[k][0] for c in counts])) if n else np.zeros(0, np.uint32) for k in range(ORDER)]
+        # A text's first contexts are padding and end no gram, so the contexts of the next order are taken in as well.
+        self.keys = [np.unique(np.concatenate([np.zeros(0, np.uint32), *(c[k][0] for c in counts), *(c[k + 1][0] >> np.uint32(8) for c in counts if k + 1 < ORDER)])) for k in range(ORDER)]
         self.keys[0] = np.arange(256, dtype=np.uint32)  # every byte can be coded
         self.slots = [Slots(keys) for keys in self.keys]
         self.cost, self.escape = [], []
