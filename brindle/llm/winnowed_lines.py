@@ -97,7 +97,8 @@ def _with_text(docs: DataFrame) -> DataFrame:
     diagonals = _diagonals(marked)
     gone = written(_deleted(marked, diagonals).select(F.col("k").alias("__brindle_k"), F.col("h").alias("__brindle_h"), F.col("r").alias("__brindle_r")))
     discard(marked, diagonals)
-    out = keyed.join(gone, ["__brindle_k", "__brindle_h"], "left")
+    # Always a sort-merge join: what is deleted grows with the input, so it isn't broadcast where it happens to be small.
+    out = keyed.join(gone.hint("merge"), ["__brindle_k", "__brindle_h"], "left")
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> not exists(__brindle_r, y -> i between y.a and y.b)), '\\n')")
     return out.select(
         *(F.col(f"`{c}`") for c in docs.columns),
