@@ -37,24 +37,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__brindle_k"), F.xxhash64("doc_id", "text").alias("__brindle_h"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """k, h, id and z: the lines with words as structs of place p (from 0), hash x and words w; each document once."""
-    z = F.expr("filter(transform(split(text, '\\n', -1), (l, i) -> struct(i as p, xxhash64(l) as x, regexp_count(l, '[^\\\\s]+') as w)), y -> y.w > 0)")
-    rows = docs.where("text is not null").select(F.col("__brindle_k").alias("k"), F.col("__brindle_h").alias("h"), F.col("doc_id").alias("id"), z.alias("z"))
-    return rows.where("size(z) > 0").groupBy("k", "h").agg(F.first("id").alias("id"), F.first("z").alias("z"))
+def _run(words: int, hashed: bool, most: int) -> str:
+    """SQL for the shortest run from each line on with so many words, looking at `most` lines: words n, lines m, hash g."""
+    g = ", xxhash64(a.g, y.x) as g" if hashed else ""
+    return f"""aggregate(slice(z, i + 1, {most}), struct(0 as n, 0 as m{", 42L as g" if hashed else ""}),
+        (a, y) -> if(a.n >= {words}, a, struct(a.n + y.w as n, a.m + 1 as m{g})))"""
+
 
+def _runs(words: int, hashed: bool):
+    """Runs from all lines: most need few lines, and none more lines than words, as each line has a word at least."""
+    return F.expr(f"transform(transform(z, (y, i) -> {_run(words, hashed, 3)}), (r, i) -> if(r.n >= {words} or r.m < 3, r, {_run(words, hashed, words)}))")
 
-def _fingerprints(lines: DataFrame) -> DataFrame:
-    """lines with s: fingerprints (g, i), sorted; i is the gram's first line in z, from 1."""
-    # A gram or window spans no more lines than it needs words, as each line has one at least.
-    grams = F.expr(f"""transform(z, (y, i) -> aggregate(slice(z, i + 1, {GRAM_WORDS}), struct(0 as n, 42L as g, 0 as m),
-        (a, y) -> if(a.n >= {GRAM_WORDS}, a, struct(a.n + y.w as n, xxhash64(a.g, y.x) as g, a.m + 1 as m))))""")
-    runs = F.expr(f"""transform(z, (y, i) -> aggregate(slice(z, i + 1, {RUN_WORDS}), struct(0 as n, 0 as m),
-        (a, y) -> if(a.n >= {RUN_WORDS}, a, struct(a.n + y.w as n, a.m + 1 as m))))""")
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """k, h, id, z and s of each document once. z: the lines with words as structs of place p (from 0), hash x and words w;
+    s: fingerprints (g, i), sorted, where i is the gram's first line in z, from 1."""
+    z = F.expr("filter(transform(split(text, '\\n', -1), (l, i) -> struct(i as p, xxhash64(l) as x, regexp_count(l, '[^\\\\s]+') as w)), y -> y.w > 0)")
+    rows = docs.where("text is not null").select(F.col("__brindle_k").alias("k"), F.col("__brindle_h").alias("h"), F.col("doc_id").alias("id"), z.alias("z")).where("size(z) > 0")
+    found = rows.select("k", "h", "id", "z", _runs(GRAM_WORDS, True).alias("grams"), _runs(RUN_WORDS, False).alias("runs"))
     least = F.expr(f"""transform(filter(transform(runs, (r, i) -> struct(r.n as n, r.m as m, i as i)), r -> r.n >= {RUN_WORDS}),
         r -> array_min(filter(transform(slice(grams, r.i + 1, r.m), (g, j) -> struct(g.g as g, -(r.i + j + 1) as i, j + g.m as e, g.n as n)), g -> g.e <= r.m and g.n >= {GRAM_WORDS})))""")
-    found = lines.select("k", "h", "id", "z", grams.alias("grams"), runs.alias("runs")).select("k", "h", "id", "z", least.alias("s"))
-    return found.select("k", "h", "id", "z", F.expr("array_sort(array_distinct(transform(s, y -> struct(y.g as g, -y.i as i))))").alias("s"))
+    prints = found.select("k", "h", "id", "z", least.alias("s")).select("k", "h", "id", "z", F.expr("array_sort(array_distinct(transform(s, y -> struct(y.g as g, -y.i as i))))").alias("s"))
+    return prints.groupBy("k", "h").agg(*(F.first(c).alias(c) for c in ("id", "z", "s")))
 
 
 def _diagonals(marked: DataFrame) -> DataFrame:
@@ -93,7 +97,7 @@ def _deleted(marked: DataFrame, diagonals: DataFrame) -> DataFrame:
 def _with_text(docs: DataFrame) -> DataFrame:
     """docs with __brindle_text, its text without repeated runs, __brindle_lines and __brindle_removed."""
     keyed = _keyed(docs)
-    marked = written(_fingerprints(_lines(keyed)))
+    marked = written(_marked(keyed))
     diagonals = _diagonals(marked)
     gone = written(_deleted(marked, diagonals).select(F.col("k").alias("__brindle_k"), F.col("h").alias("__brindle_h"), F.col("r").alias("__brindle_r")))
     discard(marked, diagonals)
