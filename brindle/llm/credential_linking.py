@@ -31,9 +31,9 @@ BASE = {
     "hex": ("[0-9a-f]{24,}", 0, 24),
 }
 WEAK = {
-    "identifier": (r"\b(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.@-]{3,}", 0, 0),
-    "weak_secret": (r"\b(?i:pwd|passphrase|pass|auth|credentials?|private_?key)[\"']?\x20*[:=]\x20*[\"']?" + VALUE + "{6,}", 0, 0),
-    "endpoint": (r"\b(?:(?i:https?|jdbc|postgres|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]+|(?i:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:/_-]{3,})", 0, 0),
+    "identifier": (r"(?<![A-Za-z0-9_])(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.@-]{3,}", 0, 0),
+    "weak_secret": (r"(?<![A-Za-z0-9_])(?i:pwd|passphrase|pass|auth|credentials?|private_?key)[\"']?\x20*[:=]\x20*[\"']?" + VALUE + "{6,}", 0, 0),
+    "endpoint": (r"(?<![A-Za-z0-9_])(?:(?i:https?|jdbc|postgres|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]+|(?i:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:/_-]{3,})", 0, 0),
 }
 ROLE = {"assign": "secret", "hex": "secret", "access": "identifier", "identifier": "identifier", "weak_secret": "secret", "endpoint": "endpoint"}
 RANK = {kind: i for i, kind in enumerate([*BASE, *WEAK])}
