@@ -4,14 +4,13 @@ A document's set is its distinct 5-word shingles. Two sets of a Jaccard
 similarity of 0.8 or more share a token among the first n - ceil(0.8 n) + 1 of
 each, whatever global order the tokens have. Order 0 puts tokens that many
 documents share last, and candidates must share a prefix token in it (a join);
-they must then also share one in each of the orders 1 to ORDERS-1 (hash orders),
-and what all filters leave is verified exactly.
+they must then also pass a bitmap bound, share one in each of the orders 1 to
+ORDERS-1 (hash orders), and what all filters leave is verified exactly.
 
 Documents with the same set are one node. In a group of nodes with a common
-prefix token, all are first compared with two leaders (the node with the fewest
-rarer tokens, and one by hash). Where that leaves a group in several components,
-the pairs across components that pass the length and position filters are
-verified as well. So every pair that could be linked is verified, or lies in one
+prefix token, all are first compared with a leader, the node with the fewest
+rarer tokens. Where that leaves a group in several components, the pairs across
+components that pass the length and position filters are verified as well. So every pair that could be linked is verified, or lies in one
 component already; no group is expanded into all its pairs.
 
 Shingles are compared by 64-bit hashes.
@@ -39,7 +38,8 @@ WORDS = 5
 ORDERS = 3
 #: Tokens in at least LOCAL nodes of a block and GLOBAL over all blocks go last in order 0; MOST of them are sent to executors.
 LOCAL, GLOBAL, MOST = 3, 12, 100_000
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
+SPREAD = 64  # parts that the rows of a heavy token are dealt to
 FILTER_BITS = 24  # of the bitmap of ids whose sets are needed
 _SEED = (np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -146,7 +146,7 @@ def _postings(docs: DataFrame, heavy: np.ndarray, weight: np.ndarray) -> DataFra
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and node: those whose token another node has too."""
+    """Of rows sorted by token and node: those whose token another node has too, and all of heavy tokens."""
     held = None
     for batch in batches:
         held = batch if held is None else pa.concat_batches([held, batch])
@@ -154,10 +154,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last token may go on in the next batch.
         cut = int(np.searchsorted(token, token[-1], "left")) if len(token) else 0
         if cut:
-            yield held.filter(pa.array(np.append(_several(token[:cut], node[:cut]), np.zeros(len(token) - cut, bool))))
+            yield _kept(held.slice(0, cut))
             held = held.slice(cut)
     if held is not None and held.num_rows:
-        yield held.filter(pa.array(_several(held.column(0).to_numpy(), held.column(1).to_numpy())))
+        yield _kept(held)
+
+
+def _kept(rows: pa.RecordBatch) -> pa.RecordBatch:
+    often = rows.column(3).to_numpy(zero_copy_only=False)
+    return rows.filter(pa.array(often | _several(rows.column(0).to_numpy(), rows.column(1).to_numpy()))).select(["token", "node", "place"])
 
 
 def _several(token: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -168,10 +173,13 @@ def _several(token: np.ndarray, node: np.ndarray) -> np.ndarray:
     return (node[start] != node[last])[group]
 
 
-def _needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """node, tokens (sorted, as bytes) of the documents whose id is in ids, by a bitmap of fixed size. Where it
-    fills up, more sets than needed go through, never fewer."""
+def _of_nodes(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, whole: bool) -> DataFrame:
+    """node, n and set (sorted tokens if whole, else the parity bitmap) of the nodes in pairs, as a table. They are made
+    anew from their texts, which a filter of fixed size on ids picks. Where it fills up, more sets than needed go
+    through, never fewer."""
     spark = docs.sparkSession
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    ids = asked.select(F.col("first").alias("doc_id"))
     bit = F.xxhash64("doc_id").bitwiseAND((1 << FILTER_BITS) - 1)
     words = ids.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # noqa: F541
     bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
@@ -187,9 +195,37 @@ def _needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             if some.num_rows:
                 x, at = shingles(some.column(1))
                 raw = x.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(node_ids(x, at)), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["node", "tokens"])
-
-    return docs.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+                sets = [raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:])] if whole else parity(x, at)
+                yield pa.RecordBatch.from_arrays([pa.array(node_ids(x, at)), pa.array(np.diff(at)), pa.array(sets, pa.binary())], names=["node", "n", "set"])
+
+    made = docs.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "node long, n long, set binary")
+    return written(made.dropDuplicates(["node"]))
+
+
+def parity(x: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: bit h is the parity of its tokens that hash to h. The number of bits is a power of two of
+    about eight for each token."""
+    h = mix(x * np.uint64(0xFF51AFD7ED558CCD))
+    out = []
+    for a, b in zip(at[:-1], at[1:]):
+        bits = 1 << max(9, int(8 * (b - a) - 1).bit_length())
+        one = np.bincount((h[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(one.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def may_be_similar(n: int, m: int, a: bytes, b: bytes) -> bool:
+    """An upper bound: tokens of just one set flip at most one bit each, so the sets differ in as many tokens as their
+    bitmaps in bits, at least. The longer bitmap is folded to the shorter one's length."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    apart = int(np.bitwise_count(x ^ y).sum())
+    common = (n + m - apart) // 2
+    return 100 * common >= 80 * (n + m - common)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -204,17 +240,28 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= 80 * (len(a) + len(b) - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-    one, two = (sets.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked, as a table: first by bitmaps, then what is left by whole sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [may_be_similar(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            yield batch.filter(pa.array(got, pa.bool_())).select(["a", "b"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            got = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
             yield batch.filter(pa.array(got, pa.bool_())).select(["a", "b"])
 
-    met = pairs.join(one, "a").select("b", "a", "ta").join(two, "b")
-    return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    pairs = written(pairs)
+    for test in (bounded, exact):
+        sets = _of_nodes(docs, pairs, nodes, test is exact)
+        one, two = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("set").alias(f"s{c}")) for c in "ab")
+        met = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
+        left = written(met.mapInArrow(test, "a long, b long"))
+        discard(pairs, sets)
+        pairs = left
+    return pairs
 
 
 _N, _POS = "shiftright({}, 32)", "({} & 4294967295)"
@@ -231,20 +278,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     heavy = found.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= GLOBAL).orderBy(F.desc("n"), "node").limit(MOST).toArrow()
     token, weight = heavy.column("node").to_numpy().view(np.uint64), heavy.column("n").to_numpy()
     order = np.argsort(token)
-    postings = written(_postings(docs, token[order], weight[order]), ["often"])
-    plain = postings.where("not often").select("token", "node", "place").repartition(F.col("token")).sortWithinPartitions("token", "node")
-    light = plain.mapInArrow(_shared, "token long, node long, place long")
-    shared = written(light.unionByName(postings.where("often").select("token", "node", "place")).groupBy("token", "node").agg(F.min("place").alias("place")))
-    discard(postings)
-    sets = written(_needed_sets(docs, shared.select("node").distinct().join(nodes, "node").select(F.col("first").alias("doc_id"))))
-
-    # Every node of a group against its two leaders.
-    lead = written(shared.groupBy("token").agg(
-        F.min(F.struct(F.expr(_POS.format("place")).alias("p"), "node", "place")).alias("c"), F.min(F.struct(F.xxhash64("node").alias("p"), "node", "place")).alias("h"), F.count("*").alias("size"),
-    ).where("size > 1"))
-    stars = shared.alias("x").join(lead.select("token", F.explode(F.expr("array_distinct(array(struct(c.node, c.place), struct(h.node, h.place)))")).alias("l")).select("token", F.col("l.node").alias("lead"), F.col("l.place").alias("place")).alias("y"), F.expr(f"x.token = y.token and x.node <> y.lead and {_LENGTHS}"))
+    # One shuffle brings the rows of a token together; those of heavy tokens are spread, as they are known to be shared.
+    postings = _postings(docs, token[order], weight[order])
+    dealt = postings.repartition(F.col("token"), F.when(F.col("often"), F.xxhash64("node") % SPREAD).otherwise(0)).sortWithinPartitions("token", "node")
+    shared = written(dealt.mapInArrow(_shared, "token long, node long, place long").groupBy("token", "node").agg(F.min("place").alias("place")))
+    # Every node of a group against its leader.
+    lead = written(shared.groupBy("token").agg(F.min(F.struct(F.expr(_POS.format("place")).alias("p"), "node", "place")).alias("c"), F.count("*").alias("size")).where("size > 1"))
+    leaders = lead.select("token", F.col("c.node").alias("lead"), F.col("c.place").alias("place"))
+    stars = shared.alias("x").join(leaders.alias("y"), F.expr(f"x.token = y.token and x.node <> y.lead and {_LENGTHS} and {_PLACES}"))
     pairs = stars.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    links = written(_verified(pairs, sets))
+    links = _verified(pairs, docs, nodes)
     roots = written(components(links))
 
     # Groups of three or more that are still in several components: pairs across them.
@@ -253,8 +296,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     open_ = written(placed.join(written(main.select("token", F.col("m.root").alias("main"))), "token"))
     across = open_.where("root <> main").alias("x").join(open_.alias("y"), F.expr(f"x.token = y.token and x.root <> y.root and (y.root = y.main or x.node < y.node) and {_LENGTHS} and {_PLACES}"))
     more = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    all_links = written(links.unionByName(_verified(more, sets)))
-    discard(shared, sets, lead, links, roots, placed, open_)
+    more_links = _verified(more, docs, nodes)
+    all_links = written(links.unionByName(more_links))
+    discard(shared, lead, links, more_links, roots, placed, open_)
     roots = written(components(all_links))
 
     named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
@@ -266,6 +310,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def first_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component (rows with a null or empty text stay)."""
+    """The rows of docs whose doc_id is the smallest of its component. Rows with a null id, or a null or empty text, stay,
+    and so do all rows that repeat the smallest id."""
     gone = near_copies(docs).where("component_id is not null and doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
