@@ -34,6 +34,8 @@ from .common import steps, text_buffers, word_codes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁".encode()
 FAR = 1 << 30
+#: Text bytes of a step: its lattice takes about a hundred times as much for a moment.
+STEP = 3 << 19
 
 
 class Vocabulary:
@@ -112,7 +114,7 @@ class Vocabulary:
                     got = known[key] = self.merged(a + b) == [a, b]
                 answer[k] = got
             out[ask] = answer[where]
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) > 1_000_000:
             self.compatible.clear()
         return out
 
@@ -304,7 +306,7 @@ def encode_columns(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(sent)
-        for batch in steps(batches):
+        for batch in steps(batches, most=STEP):
             text = batch.column(batch.schema.get_field_index("text"))
             ids, at = encode_texts(text, v)
             same = [a == (b or "") for a, b in zip(decode_ids(ids, at, v), text.to_pylist())]
