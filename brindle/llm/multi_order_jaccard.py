@@ -36,8 +36,9 @@ from .components import components
 
 WORDS = 5
 ORDERS = 3
-#: Tokens in at least LOCAL nodes of a block and GLOBAL over all blocks go last in order 0; MOST of them are sent to executors.
-LOCAL, GLOBAL, MOST = 3, 12, 100_000
+#: Tokens in at least LOCAL nodes of a stretch of rows and GLOBAL over all stretches go last in order 0; MOST of them are
+#: sent to executors. A stretch is a task's rows, up to COUNTED tokens.
+LOCAL, GLOBAL, MOST, COUNTED = 2, 6, 400_000, 6_000_000
 BLOCK_BYTES = 8 << 20
 SPREAD = 64  # parts that the rows of a heavy token are dealt to
 FILTER_BITS = 24  # of the bitmap of ids whose sets are needed
@@ -84,21 +85,34 @@ def least_common(n: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, id_type: str) -> DataFrame:
-    """For each row doc_id, n, node; and of each block the tokens of LOCAL nodes or more with their number."""
+    """For each row doc_id, n, node; and of each stretch of rows the tokens of LOCAL nodes or more with their number."""
+
+    def often(parts: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        token, number = np.unique(np.concatenate(parts), return_counts=True)
+        many = number >= LOCAL
+        k = int(many.sum())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, kind), pa.array(number[many]), pa.array(token[many].view(np.int64))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, seen = [], 0, set()
+        kind = None
         for batch in steps(batches, most=BLOCK_BYTES):
             x, at = shingles(batch.column(1))
             node, n = node_ids(x, at), np.diff(at)
-            _, one = np.unique(node, return_index=True)
-            pick = np.zeros(len(n), bool)
-            pick[one] = True
-            token, number = np.unique(x[np.repeat(pick, n)], return_counts=True)
-            often = number >= LOCAL
-            m = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array(n), pa.array(node)], names=names)
-            k = int(often.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, batch.column(0).type), pa.array(number[often]), pa.array(token[often].view(np.int64))], names=names)
+            kind = batch.column(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n), pa.array(node)], names=names)
+            new = np.zeros(len(n), bool)
+            for i, one in enumerate(node.tolist()):
+                if one not in seen:
+                    seen.add(one)
+                    new[i] = True
+            parts.append(x[np.repeat(new, n)])
+            size += len(parts[-1])
+            if size > COUNTED:
+                yield often(parts, kind)
+                parts, size, seen = [], 0, set()
+        if parts:
+            yield often(parts, kind)
 
     names = ["kind", "doc_id", "n", "node"]
     return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {id_type}, n long, node long")
