@@ -10,10 +10,20 @@ Fingerprints meet their first occurrence in the corpus, by doc_id and then by a
 hash of the row, or the occurrence just before them in the same document. That
 gives a diagonal of two documents (or of one with itself); along it equal lines
 are extended both ways to maximal runs, and every run of GRAM_WORDS words or more
-is deleted from the later place. The first place keeps its lines, so some copy of
-every line stays. Blank lines inside a deleted run go with it.
+is deleted from the later place.
 
-Lines count as equal by 64-bit hashes.
+A run can repeat between two later places while each of its grams was first seen
+elsewhere. So the shortest runs of RUN_WORDS words or more, from each line on and
+up to each line, meet the first run equal to them as well, and are deleted too.
+Between them they cover every run of RUN_WORDS words, so none stays in a second
+place, whatever came before. Only runs that hold a fingerprint seen twice are
+looked at, as equal runs share one.
+
+Every deleted line has an equal one in an earlier place, so some copy of every
+line stays. Blank lines inside a deleted run go with it; those between two
+deleted runs stay.
+
+Lines, and the shortest runs, count as equal by 64-bit hashes.
 
 Defined cases: null texts stay null and empty ones empty, without lines; lines
 are split at newlines only; rows that repeat (same doc_id and text) count as one
@@ -37,16 +47,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__brindle_k"), F.xxhash64("doc_id", "text").alias("__brindle_h"))
 
 
-def _run(words: int, hashed: bool, most: int) -> str:
+def _run(words: int, hashed: bool, most: int, z: str, seed: int) -> str:
     """SQL for the shortest run from each line on with so many words, looking at `most` lines: words n, lines m, hash g."""
     g = ", xxhash64(a.g, y.x) as g" if hashed else ""
-    return f"""aggregate(slice(z, i + 1, {most}), struct(0 as n, 0 as m{", 42L as g" if hashed else ""}),
+    return f"""aggregate(slice({z}, i + 1, {most}), struct(0 as n, 0 as m{f", {seed}L as g" if hashed else ""}),
         (a, y) -> if(a.n >= {words}, a, struct(a.n + y.w as n, a.m + 1 as m{g})))"""
 
 
-def _runs(words: int, hashed: bool):
+def _runs(words: int, hashed: bool, z: str = "z", seed: int = 42):
     """Runs from all lines: most need few lines, and none more lines than words, as each line has a word at least."""
-    return F.expr(f"transform(transform(z, (y, i) -> {_run(words, hashed, 3)}), (r, i) -> if(r.n >= {words} or r.m < 3, r, {_run(words, hashed, words)}))")
+    return F.expr(f"transform(transform({z}, (y, i) -> {_run(words, hashed, 3, z, seed)}), (r, i) -> if(r.n >= {words} or r.m < 3, r, {_run(words, hashed, words, z, seed)}))")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -61,21 +71,45 @@ def _marked(docs: DataFrame) -> DataFrame:
     return prints.groupBy("k", "h").agg(*(F.first(c).alias(c) for c in ("id", "z", "s")))
 
 
-def _diagonals(marked: DataFrame) -> DataFrame:
+def _met(marked: DataFrame) -> DataFrame:
+    """k, h, i and lead (whether it is the document's first of its hash) of the fingerprints seen twice or more, with
+    their first occurrence k2, h2, i2 and the number n of documents, as a table."""
+    prints = marked.select("k", "h", "id", F.explode(F.expr("transform(s, (y, j) -> struct(y.g as g, y.i as i, j = 0 or get(s, j - 1).g <> y.g as lead))")).alias("y"))
+    prints = written(prints.select("k", "h", "id", "y.g", "y.i", "y.lead"))
+    first = prints.groupBy("g").agg(F.min(F.struct("id", "h", "k", "i")).alias("f"), F.count_if("lead").alias("n"), F.count("*").alias("all")).where("all > 1")
+    first = written(first.select("g", F.col("f.h").alias("h2"), F.col("f.k").alias("k2"), F.col("f.i").alias("i2"), "n"))
+    out = written(prints.join(first, "g").select("k", "h", "i", "lead", "k2", "h2", "i2", "n"))
+    discard(prints, first)
+    return out
+
+
+def _diagonals(marked: DataFrame, met: DataFrame) -> DataFrame:
     """k, h (the later document), k2, h2 (the earlier one, or itself) and d: line i of the one faces line i - d of the other."""
     same = "transform(filter(transform(s, (y, j) -> struct(y.g as g, y.i as i, get(s, j - 1) as b)), y -> y.b.g = y.g), y -> y.i - y.b.i)"
     own = marked.select("k", "h", F.explode(F.expr(f"array_distinct({same})")).alias("d")).select("k", "h", F.col("k").alias("k2"), F.col("h").alias("h2"), "d")
-    leads = marked.select("k", "h", "id", F.explode(F.expr("filter(s, (y, j) -> j = 0 or get(s, j - 1).g <> y.g)")).alias("y")).select("k", "h", "id", "y.g", "y.i")
-    leads = written(leads)
-    first = leads.groupBy("g").agg(F.min(F.struct("id", "h", "k", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f.h", "f.k", "f.i")
-    first = written(first.select("g", F.col("h").alias("h2"), F.col("k").alias("k2"), F.col("i").alias("i2")))
-    across = leads.join(first, "g").where("k <> k2 or h <> h2").select("k", "h", "k2", "h2", F.expr("i - i2").alias("d"))
-    out = written(own.unionByName(across).distinct())
-    discard(leads, first)
+    across = met.where("lead and n > 1 and (k <> k2 or h <> h2)").select("k", "h", "k2", "h2", F.expr("i - i2").alias("d"))
+    return written(own.unionByName(across).distinct())
+
+
+def _repeated(marked: DataFrame, met: DataFrame) -> DataFrame:
+    """k, h and r: the range of line places of each shortest run, from a line on or up to one, that occurred before, as a table."""
+    seen = met.groupBy("k", "h").agg(F.collect_list(F.expr("i - 1")).alias("q"))
+    runs = marked.select("k", "h", "id", "z", F.reverse("z").alias("back")).join(seen, ["k", "h"])
+    runs = runs.select("k", "h", "id", "z", "q", _runs(RUN_WORDS, True).alias("on"), _runs(RUN_WORDS, True, "back", 43).alias("up"))
+    # Runs up to a line that are also the shortest from their first line on are there already.
+    every = f"""concat(
+        transform(filter(transform(on, (r, i) -> struct(r as r, i as a)), y -> y.r.n >= {RUN_WORDS}), y -> struct(y.r.g as g, y.a as a, y.a + y.r.m - 1 as b)),
+        transform(filter(transform(up, (r, i) -> struct(r as r, size(z) - i - r.m as a)), y -> y.r.n >= {RUN_WORDS} and get(on, y.a).m <> y.r.m), y -> struct(y.r.g as g, y.a as a, y.a + y.r.m - 1 as b)))"""
+    held = F.expr(f"transform(filter({every}, y -> exists(q, i -> i between y.a and y.b)), y -> struct(y.g as g, get(z, y.a).p as a, get(z, y.b).p as b))")
+    runs = written(runs.select("k", "h", "id", F.explode(held).alias("y")).select("k", "h", "id", "y.g", "y.a", "y.b"))
+    first = runs.groupBy("g").agg(F.min(F.struct("id", "h", "k", "a")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = written(first.select("g", F.col("f.h").alias("h2"), F.col("f.k").alias("k2"), F.col("f.a").alias("a2")))
+    out = written(runs.join(first, "g").where("k <> k2 or h <> h2 or a <> a2").select("k", "h", F.array(F.struct("a", "b")).alias("r")))
+    discard(runs, first)
     return out
 
 
-def _deleted(marked: DataFrame, diagonals: DataFrame) -> DataFrame:
+def _deleted(marked: DataFrame, diagonals: DataFrame, repeated: DataFrame) -> DataFrame:
     """k, h and r: the ranges of line places (from 0, both ends included) to be deleted, merged and sorted."""
     later = marked.select("k", "h", F.expr("transform(z, y -> y.x)").alias("x"), F.expr("transform(z, y -> y.w)").alias("w"), F.expr("transform(z, y -> y.p)").alias("p"))
     earlier = marked.select(F.col("k").alias("k2"), F.col("h").alias("h2"), F.expr("transform(z, y -> y.x)").alias("x2"))
@@ -87,7 +121,7 @@ def _deleted(marked: DataFrame, diagonals: DataFrame) -> DataFrame:
             struct(0 as a, 0 as n, if(t.n >= {GRAM_WORDS}, concat(t.r, array(struct(get(p, t.a - 1) as a, get(p, i - 2) as b))), t.r) as r)),
         t -> t.r)""")
     found = faced.where("least(size(x), size(x2) + d) >= greatest(1, 1 + d)").select("k", "h", runs.alias("r")).where("size(r) > 0")
-    whole = found.groupBy("k", "h").agg(F.array_sort(F.flatten(F.collect_set("r"))).alias("r"))
+    whole = found.unionByName(repeated).groupBy("k", "h").agg(F.array_sort(F.flatten(F.collect_set("r"))).alias("r"))
     merged = F.expr("""aggregate(r, struct(-2 as a, -2 as b, cast(array() as array<struct<a: int, b: int>>) as r),
         (t, y) -> if(y.a <= t.b + 1, struct(t.a as a, greatest(t.b, y.b) as b, t.r as r), struct(y.a as a, y.b as b, if(t.a < 0, t.r, concat(t.r, array(struct(t.a as a, t.b as b)))) as r)),
         t -> concat(t.r, array(struct(t.a as a, t.b as b))))""")
@@ -98,9 +132,10 @@ def _with_text(docs: DataFrame) -> DataFrame:
     """docs with __brindle_text, its text without repeated runs, __brindle_lines and __brindle_removed."""
     keyed = _keyed(docs)
     marked = written(_marked(keyed))
-    diagonals = _diagonals(marked)
-    gone = written(_deleted(marked, diagonals).select(F.col("k").alias("__brindle_k"), F.col("h").alias("__brindle_h"), F.col("r").alias("__brindle_r")))
-    discard(marked, diagonals)
+    met = _met(marked)
+    diagonals, repeated = _diagonals(marked, met), _repeated(marked, met)
+    gone = written(_deleted(marked, diagonals, repeated).select(F.col("k").alias("__brindle_k"), F.col("h").alias("__brindle_h"), F.col("r").alias("__brindle_r")))
+    discard(marked, met, diagonals, repeated)
     # Always a sort-merge join: what is deleted grows with the input, so it isn't broadcast where it happens to be small.
     out = keyed.join(gone.hint("merge"), ["__brindle_k", "__brindle_h"], "left")
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> not exists(__brindle_r, y -> i between y.a and y.b)), '\\n')")

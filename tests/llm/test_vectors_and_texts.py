@@ -165,6 +165,40 @@ def test_shared_passages_lose_their_later_copies(spark):
     assert out[0] == texts[0] and all(passage not in out[i] and f"last line {i}" in out[i] for i in range(1, 30))
 
 
+def brute_repeats(texts, least):
+    """Places of lines with words inside a run of so many words that occurs in an earlier place, by comparing all pairs."""
+    z = [[(p, x, len(x.split())) for p, x in enumerate(t.split("\n")) if x.split()] for t in texts]
+    gone = [set() for _ in texts]
+    for i, j in ((i, j) for i in range(len(z)) for j in range(i + 1)):
+        for d in range(1 if i == j else 1 - len(z[j]), len(z[i])):
+            run = []
+            for a in range(max(0, d), len(z[i]) + 1):
+                if a < len(z[i]) and a - d < len(z[j]) and z[i][a][1] == z[j][a - d][1]:
+                    run.append(z[i][a])
+                    continue
+                if sum(w for _, _, w in run) >= least:
+                    gone[i].update(p for p, _, _ in run)
+                run = []
+    return gone
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_long_run_of_lines_stays_twice(spark, seed):
+    """Runs that repeat between later documents, of lines that earlier ones have as well."""
+    rng = random.Random(seed)
+    line = [" ".join(f"w{k}x{rng.randrange(10**6)}" for _ in range(n)) for k, n in enumerate([30, 30, 60, 8, 26, 26, 12, 55, 5, 40] * 2)]
+    texts = [f"own {i} {rng.random()}\n{x}\nend {rng.random()}" for i, x in enumerate(line)]
+    for i in range(60):
+        part = [rng.randrange(len(line) - 4) for _ in range(3)]
+        texts.append("\n".join(f"before {i} {a}\n" + "\n".join(line[a : a + rng.randint(1, 4)]) for a in part))
+    want = brute_repeats(texts, winnowed_lines.RUN_WORDS)
+    rule = brute_lines(list(enumerate(texts)), winnowed_lines.GRAM_WORDS, winnowed_lines.RUN_WORDS)
+    assert any(w - rule[i] for i, w in enumerate(want))
+    for r in winnowed_lines.deduplicated(docs(spark, texts)).collect():
+        i = r["doc_id"]
+        assert r["text"] == "\n".join(x for p, x in enumerate(texts[i].split("\n")) if p not in want[i] | rule[i])
+
+
 def test_lines_odd_rows(spark):
     block = "\n".join(" ".join(f"w{i}{j}" for j in range(20)) for i in range(5))
     rows = [(1, block), (1, block), (2, block), (None, block), (3, None), (4, ""), (5, "\n\n")]
