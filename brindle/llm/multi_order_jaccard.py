@@ -85,13 +85,13 @@ def least_common(n: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, id_type: str) -> DataFrame:
-    """For each row doc_id, n, node; and of each stretch of rows the tokens of LOCAL nodes or more with their number."""
+    """For each row doc_id, n, node and a hash h of its text; and of each stretch of rows the tokens of LOCAL nodes or more with their number."""
 
     def often(parts: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
         token, number = np.unique(np.concatenate(parts), return_counts=True)
         many = number >= LOCAL
         k = int(many.sum())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, kind), pa.array(number[many]), pa.array(token[many].view(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, kind), pa.array(number[many]), pa.array(token[many].view(np.int64)), pa.nulls(k, pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, seen = [], 0, set()
@@ -100,7 +100,7 @@ def _sets(docs: DataFrame, id_type: str) -> DataFrame:
             x, at = shingles(batch.column(1))
             node, n = node_ids(x, at), np.diff(at)
             kind = batch.column(0).type
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n), pa.array(node)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n), pa.array(node), batch.column(2)], names=names)
             new = np.zeros(len(n), bool)
             for i, one in enumerate(node.tolist()):
                 if one not in seen:
@@ -114,8 +114,8 @@ def _sets(docs: DataFrame, id_type: str) -> DataFrame:
         if parts:
             yield often(parts, kind)
 
-    names = ["kind", "doc_id", "n", "node"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {id_type}, n long, node long")
+    names = ["kind", "doc_id", "n", "node", "h"]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, f"kind int, doc_id {id_type}, n long, node long, h long")
 
 
 def ordered_prefix(x: np.ndarray, at: np.ndarray, heavy: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -283,11 +283,11 @@ _LENGTHS = f"5 * least({_N.format('x.place')}, {_N.format('y.place')}) >= 4 * gr
 _PLACES = f"9 * least({_N.format('x.place')} - {_POS.format('x.place')}, {_N.format('y.place')} - {_POS.format('y.place')}) >= 4 * ({_N.format('x.place')} + {_N.format('y.place')})"
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and h, a hash of the text, for every row."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     found = written(_sets(docs, id_type), ["kind"])
-    rows = found.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
+    rows = found.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node", "h")
     nodes = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first")))
     heavy = found.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= GLOBAL).orderBy(F.desc("n"), "node").limit(MOST).toArrow()
     token, weight = heavy.column("node").to_numpy().view(np.uint64), heavy.column("n").to_numpy()
@@ -319,12 +319,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
     ids = written(named.groupBy("root").agg(F.min("first").alias("component_id")))
     of_node = written(named.join(ids, "root").select("node", "component_id"))
     discard(all_links, roots, nodes, ids)
-    out = rows.where("n_shingles > 0").join(of_node, "node").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = rows.where("n_shingles > 0").join(of_node, "node").select("doc_id", "n_shingles", "component_id", "h")
+    return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "h"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row."""
+    return _placed(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def first_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component. Rows with a null id, or a null or empty text, stay,
-    and so do all rows that repeat the smallest id."""
-    gone = near_copies(docs).where("component_id is not null and doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    and so do all rows that repeat the smallest id. Where an id repeats with different texts, only the linked ones go."""
+    gone = _placed(docs).where("component_id is not null and doc_id is not null and component_id <> doc_id")
+    gone = gone.select(F.col("doc_id").alias("__brindle_id"), F.col("h").alias("__brindle_h")).distinct()
+    kept = docs.join(gone, (docs["doc_id"] == F.col("__brindle_id")) & (F.xxhash64(docs["text"]) == F.col("__brindle_h")), "left_anti")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

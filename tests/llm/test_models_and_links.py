@@ -246,6 +246,13 @@ def test_near_copies_odd_rows(spark):
     assert multi_order_jaccard.near_copies(frame.limit(0)).count() == 0
 
 
+def test_first_copies_of_an_id_with_different_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, text), (5, text + " end"), (5, "a text that has nothing to do with it"), (5, None), (6, text)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, multi_order_jaccard.first_copies(frame).collect()), key=repr) == sorted([rows[0], rows[2], rows[3]], key=repr)
+
+
 # ---- secrets
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
