@@ -18,8 +18,8 @@ Shingles are compared by 64-bit hashes.
 Defined cases: null and empty texts and texts without words have an empty set, no
 links, and their own id as component; texts of fewer than five words are one
 shingle; documents with the same doc_id count each and share their component as
-far as their texts are linked; a null doc_id is ignored when the smallest id is
-taken; extra columns are ignored by `near_copies` and kept by `first_copies`.
+far as their texts are linked; rows with a null doc_id link like others, and only
+the smallest id leaves them out; extra columns are ignored by `near_copies` and kept by `first_copies`.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ ORDERS = 3
 LOCAL, GLOBAL, MOST, COUNTED = 2, 6, 400_000, 6_000_000
 BLOCK_BYTES = 8 << 20
 SPREAD = 64  # parts that the rows of a heavy token are dealt to
-FILTER_BITS = 24  # of the bitmap of ids whose sets are needed
+FILTER_BITS = 24  # of the bitmap of texts whose sets are needed
 _SEED = (np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -189,13 +189,12 @@ def _several(token: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 def _of_nodes(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, whole: bool) -> DataFrame:
     """node, n and set (sorted tokens if whole, else the parity bitmap) of the nodes in pairs, as a table. They are made
-    anew from their texts, which a filter of fixed size on ids picks. Where it fills up, more sets than needed go
+    anew from one text each, which a filter of fixed size on hashes of texts picks. Where it fills up, more sets than needed go
     through, never fewer."""
     spark = docs.sparkSession
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    ids = asked.select(F.col("first").alias("doc_id"))
-    bit = F.xxhash64("doc_id").bitwiseAND((1 << FILTER_BITS) - 1)
-    words = ids.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # noqa: F541
+    bit = F.col("h").bitwiseAND((1 << FILTER_BITS) - 1)
+    words = asked.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bitmap[words.column("w").to_numpy()] = words.column("b").to_numpy()
     sent = spark.sparkContext.broadcast(bitmap)
@@ -212,7 +211,7 @@ def _of_nodes(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, whole: bool)
                 sets = [raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:])] if whole else parity(x, at)
                 yield pa.RecordBatch.from_arrays([pa.array(node_ids(x, at)), pa.array(np.diff(at)), pa.array(sets, pa.binary())], names=["node", "n", "set"])
 
-    made = docs.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "node long, n long, set binary")
+    made = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "node long, n long, set binary")
     return written(made.dropDuplicates(["node"]))
 
 
@@ -288,7 +287,7 @@ def _placed(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     found = written(_sets(docs, id_type), ["kind"])
     rows = found.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node", "h")
-    nodes = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first")))
+    nodes = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("h").alias("h")))
     heavy = found.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= GLOBAL).orderBy(F.desc("n"), "node").limit(MOST).toArrow()
     token, weight = heavy.column("node").to_numpy().view(np.uint64), heavy.column("n").to_numpy()
     order = np.argsort(token)

@@ -246,6 +246,14 @@ def test_near_copies_odd_rows(spark):
     assert multi_order_jaccard.near_copies(frame.limit(0)).count() == 0
 
 
+def test_near_copies_link_through_a_null_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join(words[8:]), " ".join(words[16:] + ["x0", "x1", "x2", "x3", "x4", "x5"])]
+    assert len({c for _, _, c in brute_components([(1, texts[0]), (2, texts[2])])}) == 2
+    frame = spark.createDataFrame([(1, texts[0]), (None, texts[1]), (2, texts[2])], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in multi_order_jaccard.near_copies(frame).collect()} == {1: 1, None: 1, 2: 1}
+
+
 def test_first_copies_of_an_id_with_different_texts(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(3, text), (5, text + " end"), (5, "a text that has nothing to do with it"), (5, None), (6, text)]
