@@ -5,9 +5,13 @@ all training tokens are made with a shuffle. The TOP most frequent words and the
 end are symbols of their own; every other word belongs to a class given by its
 last bytes, and a class spreads its probability over its words by their counts,
 with one share for unseen words. The model emits symbols from STATES latent
-states: Baum-Welch runs over all training texts, partitions add up expected
-counts, and the counts meet in a sum by symbol. A text's score is the exact log10
-likelihood by the scaled forward recursion over its whole length.
+states: Baum-Welch runs over all training texts, each of them whole; partitions
+add up expected counts, and the counts meet in a sum by symbol. A text's score is
+the exact log10 likelihood by the scaled forward recursion over its whole length.
+
+A text of any length is handled in bounded memory: what is longer than a window
+is cut, the windows' transfer matrices are chained forwards and backwards, and so
+every window starts and ends with the exact vectors of the whole text.
 
 Texts are read once, in blocks of rows: a block's distinct words are counted and
 looked up together, so the shuffle carries words of blocks and not of texts. Only
@@ -35,11 +39,13 @@ from pyspark.sql import functions as F
 from .common import LOWER, UNSPACED, crc_text, span_hashes, steps, text_buffers, word_spans, written
 
 BLOCK_BYTES = 12 << 20
+PIECE_BYTES = 1 << 20  # of a block whose words are told apart at a time
 TOP, CLASSES, STATES = 2000, 512, 8
 ROUNDS = 6  # of Baum-Welch, each over all training texts
-WINDOW = 64  # training texts are cut to windows of this many tokens; scoring never cuts
-LONG = 1 << 16  # scoring recursion: longer texts go by transfer matrices of so many tokens
-SLICE = 4096  # windows that forward-backward holds at a time
+WINDOW = 1 << 12  # longer texts are cut to windows of this many tokens, which transfer matrices join exactly
+SLICE = 1 << 18  # tokens of windows that a recursion holds at a time
+MIX = 1e-4  # share of an even spread in each state's moves: keeps short products of them from vanishing
+SCALED = 4  # tokens between two scalings
 SYMBOLS = TOP + CLASSES + 1
 END = SYMBOLS - 1
 _CODEC = {"level": 1}
@@ -65,34 +71,51 @@ def _blocks(docs: DataFrame, id_type: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for batch in steps(batches, most=BLOCK_BYTES):
-            data, at = text_buffers(batch.column(batch.schema.get_field_index("text")))
-            data = LOWER[data]
-            s, e, row = word_spans(data, at, UNSPACED)
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
             held = batch.column(batch.schema.get_field_index("held")).to_numpy(zero_copy_only=False)
-            word, first, code = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
-            learnt = np.bincount(code, ~held[row], len(word)).astype(np.int64) if len(s) else np.zeros(0, np.int64)
-            # Frequent words get small codes, which pack well.
-            rank = np.argsort(-np.bincount(code, minlength=len(word)), kind="stable") if len(s) else np.zeros(0, np.int64)
-            to = np.empty(len(word), np.int32)
-            to[rank] = np.arange(len(word), dtype=np.int32)
+            word, kind, learnt, code, counts = told_apart(batch)
             block = (part << 32) | number
             number += 1
-            n = len(batch)
-            counts = np.bincount(row, minlength=n) if len(s) else np.zeros(n, np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array([0], pa.int32()), pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column(batch.schema.get_field_index("doc_id"))),
-                pa.array([_pack(held)], pa.binary()), pa.array([_pack(counts.astype(np.int32))], pa.binary()), pa.array([_pack(to[code] if len(s) else to)], pa.binary()),
+                pa.array([0], pa.int32()), pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                pa.array([_pack(held)], pa.binary()), pa.array([_pack(counts)], pa.binary()), pa.array([_pack(code)], pa.binary()),
                 *(pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())),
             ], names=NAMES)
-            kind = suffix_class(data, s[first], e[first]) if len(s) else np.zeros(0, np.int32)
-            for low in range(0, len(word), 1 << 16):
-                own = slice(low, low + (1 << 16))
+            for low in range(0, len(word), 1 << 14):
+                own = slice(low, low + (1 << 14))
                 m = len(word[own])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.ones(m, np.int32)), pa.array(np.full(m, block)), pa.nulls(m, pa.list_(batch.column(batch.schema.get_field_index("doc_id")).type)),
-                    *(pa.nulls(m, pa.binary()) for _ in range(3)), pa.array(word[own].view(np.int64)), pa.array(to[own]), pa.array(kind[own]), pa.array(learnt[own]),
+                    pa.array(np.ones(m, np.int32)), pa.array(np.full(m, block)), pa.nulls(m, pa.list_(ids.type)), *(pa.nulls(m, pa.binary()) for _ in range(3)),
+                    pa.array(word[own].view(np.int64)), pa.array(np.arange(low, low + m, dtype=np.int32)), pa.array(kind[own]), pa.array(learnt[own]),
                 ], names=NAMES)
 
+    def told_apart(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a block: its distinct words' hashes, classes and counts in training rows, the frequent ones first, which
+        pack well; the word's number at each place; and the words of each row."""
+        every, counts, codes, done = [], [], [], 0
+        for piece in steps(iter([batch]), most=PIECE_BYTES):
+            data, at = text_buffers(piece.column(piece.schema.get_field_index("text")))
+            data = LOWER[data]
+            s, e, row = word_spans(data, at, UNSPACED)
+            held = piece.column(piece.schema.get_field_index("held")).to_numpy(zero_copy_only=False)
+            counts.append(np.bincount(row, minlength=len(held)).astype(np.int32))
+            if len(s):
+                word, first, code = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
+                every.append((word, suffix_class(data, s[first], e[first]), np.bincount(code, minlength=len(word)), np.bincount(code, ~held[row], len(word)).astype(np.int64)))
+                codes.append((code + done).astype(np.int32))
+                done += len(word)
+        if not every:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.concatenate(counts)
+        words, kinds, seen, learnt = (np.concatenate(x) for x in zip(*every))
+        word, first, to = np.unique(words, return_index=True, return_inverse=True)
+        order = np.argsort(-np.bincount(to, seen), kind="stable")
+        place = np.empty(len(word), np.int32)
+        place[order] = np.arange(len(word), dtype=np.int32)
+        to = place[to]
+        for code in codes:
+            code[:] = to[code]
+        return word[order], kinds[first][order], np.bincount(to, learnt).astype(np.int64), np.concatenate(codes), np.concatenate(counts)
+
     NAMES = ["kind", "block", "ids", "held", "counts", "codes", "word", "code", "class", "learnt"]
     schema = f"kind int, block long, ids array<{id_type}>, held binary, counts binary, codes binary, word long, code int, class int, learnt long"
     return docs.mapInArrow(run, schema)
@@ -144,8 +167,8 @@ def _encode(blocks: DataFrame, answers: DataFrame, sent, id_type: str) -> DataFr
 class States:
     """Parameters of the latent states; emit is by symbol, then state."""
 
-    def __init__(self, start: np.ndarray, resume: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.start, self.resume, self.move, self.emit = start, resume, move, emit
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
+        self.start, self.move, self.emit = start, move, emit
 
     @staticmethod
     def first(unigram: np.ndarray) -> States:
@@ -153,115 +176,191 @@ class States:
         emit = unigram[:, None] * rng.gamma(2.0, 0.5, (len(unigram), STATES))
         move = np.full((STATES, STATES), 0.1 / (STATES - 1))
         np.fill_diagonal(move, 0.9)
-        even = np.full(STATES, 1 / STATES)
-        return States(even, even, move, emit / emit.sum(axis=0))
+        return States(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
 
     @staticmethod
     def again(counts: np.ndarray, unigram: np.ndarray) -> States:
-        """From expected counts: rows of symbols, then of states left, then of starts and resumes."""
+        """From expected counts: rows of symbols, then of states left, then of starts."""
         emit, move = counts[:SYMBOLS] + 5.0 * unigram[:, None] * len(unigram) / 100, counts[SYMBOLS : SYMBOLS + STATES] + 0.1
-        start, resume = counts[SYMBOLS + STATES] + 0.1, counts[SYMBOLS + STATES + 1] + 0.1
-        return States(start / start.sum(), resume / resume.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        start, move = counts[SYMBOLS + STATES] + 0.1, move / move.sum(axis=1, keepdims=True)
+        return States(start / start.sum(), (1 - MIX) * move + MIX / STATES, emit / emit.sum(axis=0))
+
+
+class Windows:
+    """Texts laid end to end as windows of at most WINDOW tokens, in slices of the longest first. All arrays are by
+    state, then by window; a slice's tokens are ordered by their place in the window, so each step reads a run of them."""
+
+    def __init__(self, seq: np.ndarray, counts: np.ndarray, p: States, kind: type = np.float32):
+        self.seq, self.p, self.kind = seq, p, kind
+        self.move, self.turned = p.move.astype(kind), np.ascontiguousarray(p.move.T).astype(kind)
+        self.top = p.emit.max(axis=1)
+        self.emit = np.ascontiguousarray((p.emit / self.top[:, None]).T).astype(kind)  # each symbol's highest is 1
+        per = -(-counts // WINDOW)
+        self.text = np.repeat(np.arange(len(counts)), per)
+        self.number = np.arange(len(self.text)) - np.repeat(np.cumsum(per) - per, per)
+        self.low = (np.cumsum(counts) - counts)[self.text] + self.number * WINDOW
+        self.size = np.minimum(WINDOW, counts[self.text] - self.number * WINDOW)
+        self.last = np.append(self.number[1:] == 0, True) if len(self.text) else np.zeros(0, bool)
+
+    def slices(self, pick: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The windows picked, in slices of at most `most` tokens or one window, and where each step's tokens begin."""
+        order = pick[np.argsort(-self.size[pick], kind="stable")]
+        at = 0
+        while at < len(order):
+            own = order[at : at + max(1, int(np.searchsorted(np.cumsum(self.size[order[at : at + most]]), most, "right")))]
+            at += len(own)
+            size = self.size[own]
+            live = len(own) - np.searchsorted(size[::-1], np.arange(int(size[0])), "right")  # windows longer than t
+            yield own, np.concatenate([[0], np.cumsum(live)])
+
+    def tokens(self, own: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The symbols of a slice, step by step."""
+        live = np.diff(begin)
+        step = np.repeat(np.arange(len(live)), live)
+        return self.seq[self.low[own][np.arange(int(begin[-1])) - begin[step]] + step]
+
+    def transfer(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each window picked, and each state before it, the states after it as a vector of sum 1 and the log of its scale
+        (without that of the symbols)."""
+        out, logs = np.empty((len(pick), STATES, STATES), self.kind), np.zeros((len(pick), STATES))
+        at = np.full(len(self.size), -1)
+        at[pick] = np.arange(len(pick))
+        for own, begin in self.slices(pick, SLICE):
+            e = self.emit[:, self.tokens(own, begin)]
+            x = np.repeat(np.eye(STATES, dtype=self.kind)[:, None, :], len(own), axis=1)  # state after, window, state before
+            log = np.zeros((len(own), STATES))
+            for t in range(len(begin) - 1):
+                n = int(begin[t + 1] - begin[t])
+                y = (self.turned @ x[:, :n].reshape(STATES, -1)).reshape(STATES, n, STATES)
+                y *= e[:, begin[t] : begin[t + 1], None]
+                if t % SCALED == SCALED - 1:
+                    scale = y.sum(axis=0)
+                    y /= scale
+                    log[:n] += np.log(scale)
+                x[:, :n] = y
+            scale = x.sum(axis=0)
+            out[at[own]] = (x / scale).transpose(1, 2, 0)
+            logs[at[own]] = log + np.log(scale)
+        return out, logs
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each window the exact forward vector before its first token (moved already) and backward vector at its last."""
+        n = len(self.size)
+        ahead, back = np.empty((STATES, n)), np.ones((STATES, n))
+        ahead[:, self.number == 0] = self.p.start[:, None]
+        later = np.flatnonzero(self.number > 0)
+        if len(later):
+            matrix, log = self.transfer(later)
+            weight = np.exp(log - log.max(axis=1, keepdims=True))[:, :, None] * matrix
+            at = np.full(n, -1)
+            at[later] = np.arange(len(later))
+            a = np.ones((STATES, n))  # forward vectors after each window
+            heads = np.flatnonzero((self.number == 0) & ~self.last)
+            a[:, heads] = self.after(heads)
+            for k in range(1, int(self.number.max()) + 1):
+                now = np.flatnonzero(self.number == k)
+                ahead[:, now] = (a[:, now - 1].T @ self.p.move).T
+                x = np.einsum("in,nij->jn", a[:, now - 1], weight[at[now]])
+                a[:, now] = x / x.sum(axis=0)
+            for k in range(int(self.number.max()), 0, -1):
+                now = np.flatnonzero(self.number == k)
+                x = np.einsum("nij,jn->in", weight[at[now]], back[:, now])
+                back[:, now - 1] = x / x.sum(axis=0)
+            self.before = a
+        return ahead, back
+
+    def after(self, pick: np.ndarray) -> np.ndarray:
+        """Forward vectors after the windows picked, which begin their texts."""
+        out = np.empty((STATES, len(self.size)))
+        for own, begin in self.slices(pick, SLICE):
+            f = self.forward(own, begin, self.emit[:, self.tokens(own, begin)], self.p.start[:, None].repeat(len(own), 1))
+            out[:, own] = f[:, begin[self.size[own] - 1] + np.arange(len(own))]
+        return out[:, pick] / out[:, pick].sum(axis=0)
+
+    def forward(self, own: np.ndarray, begin: np.ndarray, e: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Forward vectors at all tokens of a slice, scaled now and then, from vectors a before the first."""
+        f = np.empty_like(e)
+        np.multiply(a.astype(self.kind), e[:, : len(own)], out=f[:, : len(own)])
+        for t in range(1, len(begin) - 1):
+            low, high = begin[t], begin[t + 1]
+            n = high - low
+            x = self.turned @ f[:, begin[t - 1] : begin[t - 1] + n]
+            x *= e[:, low:high]
+            if t % SCALED == 0:
+                x /= x.sum(axis=0)
+            f[:, low:high] = x
+        return f
+
+    def backward(self, own: np.ndarray, begin: np.ndarray, e: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Backward vectors at all tokens of a slice, scaled now and then, from vectors b at the last."""
+        out = np.empty_like(e)
+        size, b = self.size[own], b.astype(self.kind)
+        ends = begin[size - 1] + np.arange(len(own))
+        out[:, ends] = b
+        for t in range(len(begin) - 3, -1, -1):
+            low, high = begin[t + 1], begin[t + 2]
+            n = high - low
+            x = self.move @ (e[:, low:high] * out[:, low:high])
+            if t % SCALED == 0:
+                x /= x.sum(axis=0)
+            out[:, begin[t] : begin[t] + n] = x
+        return out
 
 
 def expected(seq: np.ndarray, counts: np.ndarray, p: States) -> np.ndarray:
-    """Expected counts (as in `States.again`) over texts laid end to end, by forward-backward in windows."""
-    out = np.zeros((SYMBOLS + STATES + 2, STATES))
+    """Expected counts (as in `States.again`) over texts laid end to end, by forward-backward over whole texts."""
+    total = np.zeros((SYMBOLS + STATES + 1, STATES))
     if not len(seq):
-        return out
-    begin = np.cumsum(counts) - counts
-    per = -(-counts // WINDOW)
-    text = np.repeat(np.arange(len(counts)), per)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    low = begin[text] + k * WINDOW
-    size = np.minimum(WINDOW, counts[text] - k * WINDOW)
-    order = np.argsort(-size, kind="stable")
-    low, size, k = low[order], size[order], k[order]
-    for at in range(0, len(low), SLICE):
-        own = slice(at, at + SLICE)
-        _add_expected(out, seq, low[own], size[own], k[own] == 0, p)
-    return out
-
-
-def _add_expected(out: np.ndarray, seq: np.ndarray, low: np.ndarray, size: np.ndarray, starts: np.ndarray, p: States) -> None:
-    """Forward-backward over windows of seq, the longest first; starts: those that begin a text."""
-    longest = int(size[0])
-    live = [int(np.searchsorted(-size, -t, "left")) for t in range(longest + 1)]  # windows longer than t
-    move, emit = p.move.astype(np.float32), p.emit.astype(np.float32)
-    forward, symbols = [], []
-    a = np.where(starts[:, None], p.start, p.resume).astype(np.float32)
-    for t in range(longest):
-        n = live[t]
-        s = seq[low[:n] + t]
-        a = (a[:n] if t == 0 else a[:n] @ move) * emit[s]
-        a /= a.sum(axis=1, keepdims=True)
-        forward.append(a)
-        symbols.append(s)
-    back = np.ones((live[longest - 1], STATES), np.float32)
-    gammas: list = [None] * longest
-    for t in range(longest - 1, -1, -1):
-        n = live[t]
-        if len(back) < n:
-            back = np.concatenate([back, np.ones((n - len(back), STATES), np.float32)])
-        g = forward[t] * back
-        g /= g.sum(axis=1, keepdims=True)
-        gammas[t] = g
-        if t:
-            coming = emit[symbols[t]] * back
-            # xi sums to one for each window: scale by the predictive mass.
-            before = forward[t - 1][:n]
-            coming /= ((before @ move) * coming).sum(axis=1, keepdims=True)
-            out[SYMBOLS : SYMBOLS + STATES] += move * (before.T @ coming)
-            back = coming @ move.T
-    g, s = np.concatenate(gammas), np.concatenate(symbols)
-    for j in range(STATES):
-        out[:SYMBOLS, j] += np.bincount(s, g[:, j], SYMBOLS)
-    out[SYMBOLS + STATES] += gammas[0][starts].sum(axis=0)
-    out[SYMBOLS + STATES + 1] += gammas[0][~starts].sum(axis=0)
-
-
-def _forward(seq: np.ndarray, low: np.ndarray, size: np.ndarray, a: np.ndarray, p: States, moved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward recursion over spans of seq from vectors a; moved: whether the first token follows a move.
-    The last vectors (each of sum 1) and the natural logs of the scales."""
-    order = np.argsort(-size, kind="stable")
-    low, size, a, moved = low[order], size[order], a[order].copy(), moved[order]
-    log, edge = np.zeros(len(low)), np.searchsorted(-size, -np.arange(int(size.max(initial=0)) + 1), "left")
-    for t in range(int(size.max(initial=0))):
-        n = int(edge[t])
-        x = a[:n]
-        x = np.where(moved[:n, None], x @ p.move, x) if t == 0 else x @ p.move
-        x = x * p.emit[seq[low[:n] + t]]
-        scale = x.sum(axis=1)
-        a[:n] = x / scale[:, None]
-        log[:n] += np.log(scale)
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return a[back], log[back]
+        return total
+    w = Windows(seq, counts, p)
+    ahead, back = w.edges()
+    for own, begin in w.slices(np.arange(len(w.size)), SLICE):
+        symbols = w.tokens(own, begin)
+        e = w.emit[:, symbols]
+        f, b = w.forward(own, begin, e, ahead[:, own]), w.backward(own, begin, e, back[:, own])
+        g = f * b
+        g /= g.sum(axis=0)
+        for j in range(STATES):
+            total[:SYMBOLS, j] += np.bincount(symbols, g[j], SYMBOLS)
+        starts = w.number[own] == 0
+        total[SYMBOLS + STATES] += g[:, : len(own)][:, starts].sum(axis=1)
+        # Moves: each token after a window's first, with the one before it; each window's first, with the window before.
+        e *= b
+        live = np.diff(begin)
+        n = len(own)
+        before = np.arange(n, len(symbols)) - np.repeat(live[:-1], live[1:])
+        total[SYMBOLS : SYMBOLS + STATES] += _moves(f[:, before], e[:, n:], w.move)
+        cut = np.flatnonzero(~starts)
+        if len(cut):
+            total[SYMBOLS : SYMBOLS + STATES] += _moves(w.before[:, own[cut] - 1].astype(w.kind), e[:, cut], w.move)
+    return total
+
+
+def _moves(f: np.ndarray, coming: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Expected moves between the states of f and those that follow, each pair of columns one move in all."""
+    coming = coming / ((move.T @ f) * coming).sum(axis=0)
+    return move * (f @ coming.T)
 
 
 def likelihood(seq: np.ndarray, counts: np.ndarray, p: States) -> np.ndarray:
     """log10 of the exact likelihood of each of the texts laid end to end in seq."""
-    begin = np.cumsum(counts) - counts
     out = np.zeros(len(counts))
-    short = np.flatnonzero(counts <= LONG)
-    start = np.broadcast_to(p.start, (len(short), STATES))
-    out[short] = _forward(seq, begin[short], counts[short], start, p, np.zeros(len(short), bool))[1]
-    for i in np.flatnonzero(counts > LONG):
-        # Each piece from each state at once gives its transfer matrix; then the pieces are chained.
-        low = np.arange(begin[i], begin[i] + counts[i], LONG)
-        size = np.minimum(LONG, begin[i] + counts[i] - low)
-        a, log = np.broadcast_to(p.start, (1, STATES)), 0.0
-        a, first = _forward(seq, low[:1], size[:1], a, p, np.zeros(1, bool))
-        log += first[0]
-        for at in range(1, len(low), 64):
-            lo, sz = np.repeat(low[at : at + 64], STATES), np.repeat(size[at : at + 64], STATES)
-            ends, logs = _forward(seq, lo, sz, np.tile(np.eye(STATES), (len(lo) // STATES, 1)), p, np.ones(len(lo), bool))
-            for j in range(0, len(lo), STATES):
-                top = logs[j : j + STATES].max()
-                x = (a[0] * np.exp(logs[j : j + STATES] - top)) @ ends[j : j + STATES]
-                log += top + np.log(x.sum())
-                a = (x / x.sum())[None, :]
-        out[i] = log
+    w = Windows(seq, counts, p, np.float64)
+    ahead, _ = w.edges()
+    for own, begin in w.slices(np.arange(len(w.size)), SLICE):
+        symbols = w.tokens(own, begin)
+        a, log = ahead[:, own], np.zeros(len(own))
+        e = w.emit[:, symbols]
+        for t in range(len(begin) - 1):
+            low, high = begin[t], begin[t + 1]
+            a = a[:, : high - low] if t == 0 else w.turned @ a[:, : high - low]
+            a *= e[:, low:high]
+            scale = a.sum(axis=0)
+            a /= scale
+            e[0, low:high] = scale
+        step = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        log = np.bincount(np.arange(len(symbols)) - begin[step], np.log(e[0]) + np.log(w.top[symbols]), len(own))
+        np.add.at(out, w.text[own], log)
     return out / np.log(10)
 
 
@@ -273,7 +372,7 @@ def _learn(encoded: DataFrame, unigram: np.ndarray) -> States:
         sent = spark.sparkContext.broadcast(p)
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((SYMBOLS + STATES + 2, STATES))
+            total = np.zeros((SYMBOLS + STATES + 1, STATES))
             for batch in batches:
                 for held, counts, symbols in zip(*(batch.column(i).to_pylist() for i in range(3))):
                     counts, seq = _unpack(counts, np.int64), _unpack(symbols, np.int16)
@@ -283,8 +382,8 @@ def _learn(encoded: DataFrame, unigram: np.ndarray) -> States:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), *(pa.array(total[:, j]) for j in range(STATES))], names=["cell", *columns])
 
         parts = encoded.select("held", "counts", "symbols").mapInArrow(count, "cell int, " + ", ".join(f"{c} double" for c in columns))
-        rows = parts.groupBy("cell").agg(*(F.sum(c).alias(c) for c in columns)).collect()  # SYMBOLS + STATES + 2 rows
-        counts = np.zeros((SYMBOLS + STATES + 2, STATES))
+        rows = parts.groupBy("cell").agg(*(F.sum(c).alias(c) for c in columns)).collect()  # SYMBOLS + STATES + 1 rows
+        counts = np.zeros((SYMBOLS + STATES + 1, STATES))
         for r in rows:
             counts[r["cell"]] = [r[c] for c in columns]
         p = States.again(counts, unigram)
@@ -297,7 +396,7 @@ def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.expr(f"{crc_text('doc_id')} % 7 = 2").alias("held"))
-    table = written(_blocks(rows, id_type), ["kind"])
+    table = written(_blocks(rows, id_type))
     blocks, words = table.where("kind = 0").select("block", "ids", "held", "counts", "codes"), table.where("kind = 1").select("block", "word", "code", "class", "learnt")
     counted = written(words.where("learnt > 0").groupBy("word", "class").agg(F.sum("learnt").alias("c")))
     ends = rows.where("not held").count()

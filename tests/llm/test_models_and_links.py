@@ -29,27 +29,62 @@ def crc(i):
 # ---- language model
 
 
-def test_hmm_recursion_is_exact(monkeypatch):
+def plain_counts(texts, p):
+    """log10 likelihoods and expected counts by forward-backward over whole texts, one token after another."""
+    m, s = hmm_language_model.SYMBOLS, hmm_language_model.STATES
+    out, logs = np.zeros((m + s + 1, s)), []
+    for x in texts:
+        f, scale = [], []
+        for t, y in enumerate(x):
+            a = (p.start if t == 0 else f[-1] @ p.move) * p.emit[y]
+            scale.append(a.sum())
+            f.append(a / a.sum())
+        logs.append(sum(math.log10(v) for v in scale))
+        b = np.ones(s)
+        for t in range(len(x) - 1, -1, -1):
+            g = f[t] * b / (f[t] @ b)
+            out[x[t]] += g
+            if t == 0:
+                out[m + s] += g
+            else:
+                c = p.emit[x[t]] * b
+                both = f[t - 1][:, None] * p.move * c
+                out[m : m + s] += both / both.sum()
+                b = p.move @ c
+                b /= b.sum()
+    return logs, out
+
+
+@pytest.mark.parametrize("window, held", [(1 << 12, 1 << 18), (50, 1 << 18), (7, 60), (1, 5)])
+def test_hmm_recursions_equal_plain_ones(monkeypatch, window, held):
     rng = np.random.default_rng(0)
     p = hmm_language_model.States.first(rng.dirichlet(np.ones(hmm_language_model.SYMBOLS)))
-    counts = np.array([1, 5, 300, 64, 65, 2])
+    p.start, p.move = rng.dirichlet(np.ones(hmm_language_model.STATES)), rng.dirichlet(np.ones(hmm_language_model.STATES) * 0.3, hmm_language_model.STATES) * 0.999 + 0.001 / hmm_language_model.STATES
+    counts = np.array([1, 5, 300, 64, 65, 2, 1, 50, 51, 100])
     seq = rng.integers(0, hmm_language_model.SYMBOLS, counts.sum()).astype(np.int16)
-
-    def plain(x):
-        a, log = p.start * p.emit[x[0]], 0.0
-        for y in x[1:]:
-            log += math.log10(a.sum())
-            a = (a / a.sum()) @ p.move * p.emit[y]
-        return log + math.log10(a.sum())
-
-    want = [plain(x) for x in np.split(seq, np.cumsum(counts)[:-1])]
-    assert np.allclose(hmm_language_model.likelihood(seq, counts, p), want, rtol=1e-10)
-    monkeypatch.setattr(hmm_language_model, "LONG", 50)  # by transfer matrices
-    assert np.allclose(hmm_language_model.likelihood(seq, counts, p), want, rtol=1e-10)
-    expected = hmm_language_model.expected(seq, counts, p)
+    monkeypatch.setattr(hmm_language_model, "WINDOW", window)
+    monkeypatch.setattr(hmm_language_model, "SLICE", held)
+    logs, want = plain_counts(np.split(seq, np.cumsum(counts)[:-1]), p)
+    assert np.allclose(hmm_language_model.likelihood(seq, counts, p), logs, rtol=1e-10)
+    got = hmm_language_model.expected(seq, counts, p)
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-5)
     n = hmm_language_model.SYMBOLS
-    windows = int(np.ceil(counts / hmm_language_model.WINDOW).sum())
-    assert np.isclose(expected[:n].sum(), counts.sum()) and np.isclose(expected[n : n + hmm_language_model.STATES].sum(), counts.sum() - windows)
+    assert np.isclose(got[:n].sum(), counts.sum()) and np.isclose(got[n : n + hmm_language_model.STATES].sum(), (counts - 1).sum()) and np.isclose(got[n + hmm_language_model.STATES :].sum(), len(counts))
+
+
+def test_training_raises_the_likelihood():
+    """Each round of Baum-Welch, from counts over texts that are longer than a window, is no worse than the one before."""
+    rng = np.random.default_rng(4)
+    hidden = np.repeat(rng.integers(0, 4, 900), 10)
+    seq = (hidden * 500 + rng.integers(0, 40, len(hidden))).astype(np.int16)
+    counts = np.array([5000, 4000])
+    unigram = np.bincount(seq, minlength=hmm_language_model.SYMBOLS) + 0.01
+    unigram = unigram / unigram.sum()
+    p, values = hmm_language_model.States.first(unigram), []
+    for _ in range(6):
+        values.append(hmm_language_model.likelihood(seq, counts, p).sum())
+        p = hmm_language_model.States.again(hmm_language_model.expected(seq, counts, p), unigram)
+    assert all(b > a - 1 for a, b in zip(values, values[1:])) and values[-1] > values[0] + 1000
 
 
 def test_two_state_forward_sums_to_one():
@@ -57,7 +92,7 @@ def test_two_state_forward_sums_to_one():
     rng = np.random.default_rng(3)
     s = hmm_language_model.STATES
     emit = rng.random((3, s))
-    p = hmm_language_model.States(rng.dirichlet(np.ones(s)), np.full(s, 1 / s), rng.dirichlet(np.ones(s), s), emit / emit.sum(axis=0))
+    p = hmm_language_model.States(rng.dirichlet(np.ones(s)), rng.dirichlet(np.ones(s), s), emit / emit.sum(axis=0))
     seqs = list(itertools.product(range(3), repeat=4))
     got = hmm_language_model.likelihood(np.array(seqs, np.int16).ravel(), np.full(len(seqs), 4), p)
     assert math.isclose((10**got).sum(), 1, rel_tol=1e-9)
