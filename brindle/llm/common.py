@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text bytes that one numpy step works on; a single longer text is a step of its own.
 STEP_BYTES = 4 << 20
 
+#: Bytes of a row group of a scratch table, which a writer holds in memory.
+ROW_GROUP = 16 << 20
+
 #: A-Z to a-z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -30,10 +33,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Settings for rows that hold whole texts: setting -> (Spark's default, rows of a batch here). A batch of thousands of
+#: texts takes tens of MB in the JVM and again in Python, several times over; these bound it without more files or tasks.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512")}
+
+
+def for_texts(df: DataFrame) -> DataFrame:
+    """df, in a session whose batches of rows are small enough for texts. What the caller has set stays."""
+    for key, (default, value) in BATCHES.items():
+        if df.sparkSession.conf.get(key, default) == default:
+            df.sparkSession.conf.set(key, value)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one in /tmp where it is unset (local mode)."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode one in /tmp where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"/tmp/brindle-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(_remove, spark, base)
@@ -54,7 +72,7 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     The table goes when the driver's Python exits."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
-    out = df.write
+    out = df.write.option("parquet.block.size", ROW_GROUP)
     if partition_by:
         out = out.partitionBy(*partition_by)
     out.parquet(path)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import for_texts, written
 
 SCOPE = 240
 VALUE = "[A-Za-z0-9+/_.=-]"
@@ -76,7 +76,7 @@ def linked(parts: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row."""
     text = F.col("text")
-    kept = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kept = for_texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = written(kept.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), F.xxhash64("doc_id", "text").alias("h"),
         *(spans(text, *BASE[k], RANK[k]).alias(k) for k in BASE), F.concat(*(spans(text, *WEAK[k], RANK[k]) for k in WEAK)).alias("weak"),

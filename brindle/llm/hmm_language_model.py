@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UNSPACED, crc_text, span_hashes, steps, text_buffers, word_spans, written
+from .common import LOWER, UNSPACED, crc_text, for_texts, span_hashes, steps, text_buffers, word_spans, written
 
 BLOCK_BYTES = 12 << 20
 PIECE_BYTES = 1 << 20  # of a block whose words are told apart at a time
@@ -69,52 +69,50 @@ def _blocks(docs: DataFrame, id_type: str) -> DataFrame:
     """Blocks of rows as code sequences (kind 0) and the blocks' words with training counts (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
-        for batch in steps(batches, most=BLOCK_BYTES):
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            held = batch.column(batch.schema.get_field_index("held")).to_numpy(zero_copy_only=False)
-            word, kind, learnt, code, counts = told_apart(batch)
-            block = (part << 32) | number
-            number += 1
-            yield pa.RecordBatch.from_arrays([
-                pa.array([0], pa.int32()), pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                pa.array([_pack(held)], pa.binary()), pa.array([_pack(counts)], pa.binary()), pa.array([_pack(code)], pa.binary()),
-                *(pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())),
-            ], names=NAMES)
-            for low in range(0, len(word), 1 << 14):
-                own = slice(low, low + (1 << 14))
-                m = len(word[own])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.ones(m, np.int32)), pa.array(np.full(m, block)), pa.nulls(m, pa.list_(ids.type)), *(pa.nulls(m, pa.binary()) for _ in range(3)),
-                    pa.array(word[own].view(np.int64)), pa.array(np.arange(low, low + m, dtype=np.int32)), pa.array(kind[own]), pa.array(learnt[own]),
-                ], names=NAMES)
-
-    def told_apart(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of a block: its distinct words' hashes, classes and counts in training rows, the frequent ones first, which
-        pack well; the word's number at each place; and the words of each row."""
-        every, counts, codes, done = [], [], [], 0
-        for piece in steps(iter([batch]), most=PIECE_BYTES):
-            data, at = text_buffers(piece.column(piece.schema.get_field_index("text")))
-            data = LOWER[data]
-            s, e, row = word_spans(data, at, UNSPACED)
-            held = piece.column(piece.schema.get_field_index("held")).to_numpy(zero_copy_only=False)
-            counts.append(np.bincount(row, minlength=len(held)).astype(np.int32))
-            if len(s):
-                word, first, code = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
-                every.append((word, suffix_class(data, s[first], e[first]), np.bincount(code, minlength=len(word)), np.bincount(code, ~held[row], len(word)).astype(np.int64)))
-                codes.append((code + done).astype(np.int32))
-                done += len(word)
-        if not every:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.concatenate(counts)
-        words, kinds, seen, learnt = (np.concatenate(x) for x in zip(*every))
+        part, number, pieces, size = TaskContext.get().partitionId(), 0, [], 0
+        for piece in steps(batches, most=PIECE_BYTES):
+            pieces.append(told_apart(piece))
+            size += pieces[-1][-1]
+            if size >= BLOCK_BYTES:
+                yield from joined(pieces, (part << 32) | number)
+                number, pieces, size = number + 1, [], 0
+        if pieces:
+            yield from joined(pieces, (part << 32) | number)
+
+    def told_apart(piece: pa.RecordBatch) -> tuple:
+        """Ids, held and number of words of the rows; hash, class, count and count in training rows of each distinct
+        word; the word's number at each place; and the bytes of text."""
+        ids, text, held = (piece.column(piece.schema.get_field_index(c)) for c in ("doc_id", "text", "held"))
+        data, at = text_buffers(text)
+        data, held = LOWER[data], held.to_numpy(zero_copy_only=False)
+        s, e, row = word_spans(data, at, UNSPACED)
+        word, first, code = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
+        count = lambda x, n: np.bincount(x, minlength=n) if len(x) else np.zeros(n, np.int64)
+        return ids, held, count(row, len(held)).astype(np.int32), word, suffix_class(data, s[first], e[first]), count(code, len(word)), count(code[~held[row]], len(word)), code.astype(np.int32), len(data)
+
+    def joined(pieces: list[tuple], block: int) -> Iterator[pa.RecordBatch]:
+        """The rows of a block: its sequences, and its distinct words, the frequent ones first, which pack well."""
+        ids, held, counts, word, kind, seen, learnt, codes, _ = zip(*pieces)
+        ids, (held, counts, words, kind, seen, learnt) = pa.concat_arrays(ids), (np.concatenate(x) for x in (held, counts, word, kind, seen, learnt))
         word, first, to = np.unique(words, return_index=True, return_inverse=True)
-        order = np.argsort(-np.bincount(to, seen), kind="stable")
+        total = lambda x: np.bincount(to, x, len(word)).astype(np.int64)
+        order = np.argsort(-total(seen), kind="stable")
         place = np.empty(len(word), np.int32)
         place[order] = np.arange(len(word), dtype=np.int32)
-        to = place[to]
-        for code in codes:
-            code[:] = to[code]
-        return word[order], kinds[first][order], np.bincount(to, learnt).astype(np.int64), np.concatenate(codes), np.concatenate(counts)
+        to_, lows = place[to], np.cumsum([0, *(len(x[3]) for x in pieces)])
+        code = np.concatenate([to_[low + x] for low, x in zip(lows, codes)]).astype(np.int32)
+        word, kind, learnt = word[order].view(np.int64), kind[first][order], total(learnt)[order]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([0], pa.int32()), pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+            *(pa.array([_pack(x)], pa.binary()) for x in (held, counts, code)), *(pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())),
+        ], names=NAMES)
+        for low in range(0, len(word), 1 << 14):
+            own = slice(low, low + (1 << 14))
+            m = len(word[own])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.ones(m, np.int32)), pa.array(np.full(m, block)), pa.nulls(m, pa.list_(ids.type)), *(pa.nulls(m, pa.binary()) for _ in range(3)),
+                pa.array(word[own]), pa.array(np.arange(low, low + m, dtype=np.int32)), pa.array(kind[own]), pa.array(learnt[own]),
+            ], names=NAMES)
 
     NAMES = ["kind", "block", "ids", "held", "counts", "codes", "word", "code", "class", "learnt"]
     schema = f"kind int, block long, ids array<{id_type}>, held binary, counts binary, codes binary, word long, code int, class int, learnt long"
@@ -395,7 +393,7 @@ def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", F.expr(f"{crc_text('doc_id')} % 7 = 2").alias("held"))
+    rows = for_texts(docs).select("doc_id", "text", F.expr(f"{crc_text('doc_id')} % 7 = 2").alias("held"))
     table = written(_blocks(rows, id_type))
     blocks, words = table.where("kind = 0").select("block", "ids", "held", "counts", "codes"), table.where("kind = 1").select("block", "word", "code", "class", "learnt")
     counted = written(words.where("learnt > 0").groupBy("word", "class").agg(F.sum("learnt").alias("c")))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, crc_text, steps, text_buffers
+from .common import LOWER, crc_text, for_texts, steps, text_buffers
 
 ORDER = 4  # bytes of the longest n-gram: contexts of up to three bytes
 #: Training sample: rows of a language in expectation, and bytes of a language at most (rows in the order of a hash).
@@ -188,7 +188,7 @@ class Model:
 
 def train(docs: DataFrame, rows: int = ROWS) -> Model:
     """Context trees from a bounded sample: rows whose hash falls under each language's share."""
-    known = docs.where(f"text is not null and lang is not null and {crc_text('doc_id')} % 5 != 0").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    known = for_texts(docs).where(f"text is not null and lang is not null and {crc_text('doc_id')} % 5 != 0").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     per = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not per:
         return Model({})
@@ -214,7 +214,7 @@ def has_letter(text: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `__brindle_lang` (string), `__brindle_score` and `__brindle_bits` (bits a byte, null for `und`)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    sent = for_texts(docs).sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     added = [T.StructField("__brindle_lang", T.StringType()), T.StructField("__brindle_score", T.DoubleType()), T.StructField("__brindle_bits", T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

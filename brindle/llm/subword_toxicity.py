@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_text, span_hashes, steps, text_buffers
+from .common import LOWER, crc_text, for_texts, span_hashes, steps, text_buffers
 
 #: Labelled rows of each class that training may use, in expectation (picked by hash).
 SAMPLE = 3000
@@ -228,7 +228,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[list
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, labels)))  # BUCKETS numbers
+    sent = for_texts(docs).sparkSession.sparkContext.broadcast(train(*sample(docs, labels)))  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, b = sent.value

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, steps, text_buffers, word_codes, word_spans
+from .common import ALNUM, LOWER, for_texts, steps, text_buffers, word_codes, word_spans
 
 WINDOW = 10
 #: Bytes of benchmark text sent to executors at a time; a larger benchmark goes in several blocks, one pass each.
@@ -184,6 +184,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tu
 def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with `__brindle_found` (FOUND): map-only, a pass for each block of the benchmark."""
     name = "__brindle_found"
+    docs = for_texts(docs)
     for block in blocks(benchmark, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(block)
         has = name in docs.columns

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import steps, text_buffers, word_codes
+from .common import for_texts, steps, text_buffers, word_codes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁".encode()
@@ -302,7 +302,7 @@ def encode_columns(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """docs with `ids` (array of int), `n_tokens` and `round_trip` (whether decoding gives the text back)."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))  # the size of a vocabulary
     added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
-    docs = docs.drop(*(f.name for f in added))
+    docs = for_texts(docs).drop(*(f.name for f in added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(sent)

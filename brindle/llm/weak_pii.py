@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import for_texts, written
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("local_phone", "spelled_email", "national_id", "iban", "person", "birth_date")
@@ -217,7 +217,7 @@ def scan(docs: DataFrame) -> DataFrame:
             flat = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[x for s in b for x in s] for b in base], flat), pa.array([[x for s in c for x in s] for c in loose], flat)], names=["doc_id", "base", "loose"])
 
-    found = written(docs.select("doc_id", "text").mapInArrow(find, f"doc_id {id_type}, base array<int>, loose array<int>"))
+    found = written(for_texts(docs).select("doc_id", "text").mapInArrow(find, f"doc_id {id_type}, base array<int>, loose array<int>"))
     # Five numbers a candidate: start, rank, end, votes, shape.
     each = found.where(F.size("loose") > 0).select(F.explode(F.expr("transform(sequence(0, size(loose) div 5 - 1), i -> struct(loose[5 * i + 1] as rank, loose[5 * i + 3] as votes, loose[5 * i + 4] as shape))")).alias("c"))
     counts = each.groupBy("c.rank", "c.votes", "c.shape").count().collect()  # at most kinds x 81 x 4 rows
