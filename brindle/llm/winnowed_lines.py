@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, for_texts, written
 
 GRAM_WORDS, RUN_WORDS = 25, 50
 
@@ -47,6 +47,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__brindle_k"), F.xxhash64("doc_id", "text").alias("__brindle_h"))
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for body with a value bound to a name: it is computed once, however often body uses it, lambdas included."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _run(words: int, hashed: bool, most: int, z: str, seed: int) -> str:
     """SQL for the shortest run from each line on with so many words, looking at `most` lines: words n, lines m, hash g."""
     g = ", xxhash64(a.g, y.x) as g" if hashed else ""
@@ -54,32 +59,36 @@ def _run(words: int, hashed: bool, most: int, z: str, seed: int) -> str:
         (a, y) -> if(a.n >= {words}, a, struct(a.n + y.w as n, a.m + 1 as m{g})))"""
 
 
-def _runs(words: int, hashed: bool, z: str = "z", seed: int = 42):
-    """Runs from all lines: most need few lines, and none more lines than words, as each line has a word at least."""
-    return F.expr(f"transform(transform({z}, (y, i) -> {_run(words, hashed, 3, z, seed)}), (r, i) -> if(r.n >= {words} or r.m < 3, r, {_run(words, hashed, words, z, seed)}))")
+def _runs(words: int, hashed: bool, z: str = "z", seed: int = 42) -> str:
+    """SQL for the runs from all lines: most need few lines, and none more lines than words, as each line has a word at least."""
+    return f"transform(transform({z}, (y, i) -> {_run(words, hashed, 3, z, seed)}), (r, i) -> if(r.n >= {words} or r.m < 3, r, {_run(words, hashed, words, z, seed)}))"
+
+
+#: SQL for the number of words of a line l. Where its words have one space between them and none around, spaces tell.
+WORDS = r"""if(l = '', 0, if(l rlike '[\t\x0B\f\r]|  |^ | $', regexp_count(l, '[^\\s]+'), length(l) - length(replace(l, ' ', '')) + 1))"""
 
 
 def _marked(docs: DataFrame) -> DataFrame:
     """k, h, id, z and s of each document once. z: the lines with words as structs of place p (from 0), hash x and words w;
     s: fingerprints (g, i), sorted, where i is the gram's first line in z, from 1."""
-    z = F.expr("filter(transform(split(text, '\\n', -1), (l, i) -> struct(i as p, xxhash64(l) as x, regexp_count(l, '[^\\\\s]+') as w)), y -> y.w > 0)")
-    rows = docs.where("text is not null").select(F.col("__brindle_k").alias("k"), F.col("__brindle_h").alias("h"), F.col("doc_id").alias("id"), z.alias("z")).where("size(z) > 0")
-    found = rows.select("k", "h", "id", "z", _runs(GRAM_WORDS, True).alias("grams"), _runs(RUN_WORDS, False).alias("runs"))
-    least = F.expr(f"""transform(filter(transform(runs, (r, i) -> struct(r.n as n, r.m as m, i as i)), r -> r.n >= {RUN_WORDS}),
-        r -> array_min(filter(transform(slice(grams, r.i + 1, r.m), (g, j) -> struct(g.g as g, -(r.i + j + 1) as i, j + g.m as e, g.n as n)), g -> g.e <= r.m and g.n >= {GRAM_WORDS})))""")
-    prints = found.select("k", "h", "id", "z", least.alias("s")).select("k", "h", "id", "z", F.expr("array_sort(array_distinct(transform(s, y -> struct(y.g as g, -y.i as i))))").alias("s"))
-    return prints.groupBy("k", "h").agg(*(F.first(c).alias(c) for c in ("id", "z", "s")))
+    z = f"filter(transform(split(text, '\\n', -1), (l, i) -> struct(i as p, xxhash64(l) as x, {WORDS} as w)), y -> y.w > 0)"
+    least = f"""transform(filter(transform({_runs(RUN_WORDS, False)}, (r, i) -> struct(r.n as n, r.m as m, i as i)), r -> r.n >= {RUN_WORDS}),
+        r -> array_min(filter(transform(slice(grams, r.i + 1, r.m), (g, j) -> struct(g.g as g, -(r.i + j + 1) as i, j + g.m as e, g.n as n)), g -> g.e <= r.m and g.n >= {GRAM_WORDS})))"""
+    prints = _let(_runs(GRAM_WORDS, True), "grams", f"array_sort(array_distinct(transform({least}, y -> struct(y.g as g, -y.i as i))))")
+    both = F.expr(_let(z, "z", f"struct(z as z, {prints} as s)"))
+    rows = docs.where("text is not null").select(F.col("__brindle_k").alias("k"), F.col("__brindle_h").alias("h"), F.col("doc_id").alias("id"), both.alias("b"))
+    return rows.groupBy("k", "h").agg(F.first("id").alias("id"), F.first("b").alias("b")).select("k", "h", "id", "b.z", "b.s").where("size(z) > 0")
 
 
 def _met(marked: DataFrame) -> DataFrame:
     """k, h, i and lead (whether it is the document's first of its hash) of the fingerprints seen twice or more, with
     their first occurrence k2, h2, i2 and the number n of documents, as a table."""
     prints = marked.select("k", "h", "id", F.explode(F.expr("transform(s, (y, j) -> struct(y.g as g, y.i as i, j = 0 or get(s, j - 1).g <> y.g as lead))")).alias("y"))
-    prints = written(prints.select("k", "h", "id", "y.g", "y.i", "y.lead"))
+    prints = prints.select("k", "h", "id", "y.g", "y.i", "y.lead")
     first = prints.groupBy("g").agg(F.min(F.struct("id", "h", "k", "i")).alias("f"), F.count_if("lead").alias("n"), F.count("*").alias("all")).where("all > 1")
     first = written(first.select("g", F.col("f.h").alias("h2"), F.col("f.k").alias("k2"), F.col("f.i").alias("i2"), "n"))
     out = written(prints.join(first, "g").select("k", "h", "i", "lead", "k2", "h2", "i2", "n"))
-    discard(prints, first)
+    discard(first)
     return out
 
 
@@ -88,25 +97,24 @@ def _diagonals(marked: DataFrame, met: DataFrame) -> DataFrame:
     same = "transform(filter(transform(s, (y, j) -> struct(y.g as g, y.i as i, get(s, j - 1) as b)), y -> y.b.g = y.g), y -> y.i - y.b.i)"
     own = marked.select("k", "h", F.explode(F.expr(f"array_distinct({same})")).alias("d")).select("k", "h", F.col("k").alias("k2"), F.col("h").alias("h2"), "d")
     across = met.where("lead and n > 1 and (k <> k2 or h <> h2)").select("k", "h", "k2", "h2", F.expr("i - i2").alias("d"))
-    return written(own.unionByName(across).distinct())
+    return own.unionByName(across).distinct()
 
 
-def _repeated(marked: DataFrame, met: DataFrame) -> DataFrame:
-    """k, h and r: the range of line places of each shortest run, from a line on or up to one, that occurred before, as a table."""
+def _repeated(marked: DataFrame, met: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """k, h and r: the range of line places of each shortest run, from a line on or up to one, that occurred before; and
+    the scratch tables that it reads."""
     seen = met.groupBy("k", "h").agg(F.collect_list(F.expr("i - 1")).alias("q"))
-    runs = marked.select("k", "h", "id", "z", F.reverse("z").alias("back")).join(seen, ["k", "h"])
-    runs = runs.select("k", "h", "id", "z", "q", _runs(RUN_WORDS, True).alias("on"), _runs(RUN_WORDS, True, "back", 43).alias("up"))
+    runs = marked.select("k", "h", "id", "z").join(seen, ["k", "h"])
     # Runs up to a line that are also the shortest from their first line on are there already.
     every = f"""concat(
         transform(filter(transform(on, (r, i) -> struct(r as r, i as a)), y -> y.r.n >= {RUN_WORDS}), y -> struct(y.r.g as g, y.a as a, y.a + y.r.m - 1 as b)),
         transform(filter(transform(up, (r, i) -> struct(r as r, size(z) - i - r.m as a)), y -> y.r.n >= {RUN_WORDS} and get(on, y.a).m <> y.r.m), y -> struct(y.r.g as g, y.a as a, y.a + y.r.m - 1 as b)))"""
-    held = F.expr(f"transform(filter({every}, y -> exists(q, i -> i between y.a and y.b)), y -> struct(y.g as g, get(z, y.a).p as a, get(z, y.b).p as b))")
-    runs = written(runs.select("k", "h", "id", F.explode(held).alias("y")).select("k", "h", "id", "y.g", "y.a", "y.b"))
+    held = f"transform(filter({every}, y -> exists(q, i -> i between y.a and y.b)), y -> struct(y.g as g, get(z, y.a).p as a, get(z, y.b).p as b))"
+    held = _let(_runs(RUN_WORDS, True), "on", _let("reverse(z)", "back", _let(_runs(RUN_WORDS, True, "back", 43), "up", held)))
+    runs = written(runs.select("k", "h", "id", F.explode(F.expr(held)).alias("y")).select("k", "h", "id", "y.g", "y.a", "y.b"))
     first = runs.groupBy("g").agg(F.min(F.struct("id", "h", "k", "a")).alias("f"), F.count("*").alias("n")).where("n > 1")
     first = written(first.select("g", F.col("f.h").alias("h2"), F.col("f.k").alias("k2"), F.col("f.a").alias("a2")))
-    out = written(runs.join(first, "g").where("k <> k2 or h <> h2 or a <> a2").select("k", "h", F.array(F.struct("a", "b")).alias("r")))
-    discard(runs, first)
-    return out
+    return runs.join(first, "g").where("k <> k2 or h <> h2 or a <> a2").select("k", "h", F.array(F.struct("a", "b")).alias("r")), [runs, first]
 
 
 def _deleted(marked: DataFrame, diagonals: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -130,12 +138,12 @@ def _deleted(marked: DataFrame, diagonals: DataFrame, repeated: DataFrame) -> Da
 
 def _with_text(docs: DataFrame) -> DataFrame:
     """docs with __brindle_text, its text without repeated runs, __brindle_lines and __brindle_removed."""
-    keyed = _keyed(docs)
+    keyed = _keyed(for_texts(docs))
     marked = written(_marked(keyed))
     met = _met(marked)
-    diagonals, repeated = _diagonals(marked, met), _repeated(marked, met)
-    gone = written(_deleted(marked, diagonals, repeated).select(F.col("k").alias("__brindle_k"), F.col("h").alias("__brindle_h"), F.col("r").alias("__brindle_r")))
-    discard(marked, met, diagonals, repeated)
+    repeated, scratch = _repeated(marked, met)
+    gone = written(_deleted(marked, _diagonals(marked, met), repeated).select(F.col("k").alias("__brindle_k"), F.col("h").alias("__brindle_h"), F.col("r").alias("__brindle_r")))
+    discard(marked, met, *scratch)
     # Always a sort-merge join: what is deleted grows with the input, so it isn't broadcast where it happens to be small.
     out = keyed.join(gone.hint("merge"), ["__brindle_k", "__brindle_h"], "left")
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> not exists(__brindle_r, y -> i between y.a and y.b)), '\\n')")
