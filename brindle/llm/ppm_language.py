@@ -3,8 +3,12 @@
 Each language has a context tree of orders 0 to ORDER-1 with method-C escapes,
 counted once on a bounded sample and then frozen. A text's code length under a
 language is the exact sum, over its bytes, of the cost of the byte in its longest
-known context plus the escapes on the way there. The shortest code names the
-language.
+known context plus the escapes on the way there; a byte that even order 0 has not
+seen costs the escape from there and eight bits, so the costs make a code. The
+shortest code names the language.
+
+Trees are held for GROUP languages at a time, so what is sent to executors and
+the work for a text grow in proportion to the number of languages.
 
 Letters are lower-cased (A-Z) and all runs of other ASCII bytes become one space
 before coding, so digits, marks and layout cost the same in every language.
@@ -30,6 +34,9 @@ from .common import LOWER, crc_text, for_texts, steps, text_buffers
 ORDER = 4  # bytes of the longest n-gram: contexts of up to three bytes
 #: Training sample: rows of a language in expectation, and bytes of a language at most (rows in the order of a hash).
 ROWS, BYTES = 1000, 6 << 20
+#: Code points that training takes of a row: a stretch that begins at a place given by a hash.
+STRETCH = 1 << 15
+GROUP = 16  # languages whose trees share one table
 #: The score is the posterior as if the text had this many bytes, so that long texts don't all score 1.
 SCORE_BYTES = 40
 #: A text is rejected if its best code needs more bits a byte than storing the bytes.
@@ -103,16 +110,32 @@ class Slots:
 
 
 class Model:
-    """Frozen context trees of all languages."""
+    """Frozen context trees of all languages, in groups."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(texts)
-        n = len(self.languages)
-        counts = []
-        for name in self.languages:
-            raw = [t.encode("utf-8", "surrogatepass") for t in texts[name]]
-            x, _ = folded(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
-            counts.append([np.unique(grams(x, k), return_counts=True) for k in range(1, ORDER + 1)])
+        self.groups = [Trees([counted(texts[name]) for name in self.languages[low : low + GROUP]]) for low in range(0, len(self.languages), GROUP)]
+
+    def bits(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Code length of each folded text in each language."""
+        return np.concatenate([g.bits(x, at) for g in self.groups], axis=1) if self.groups else np.zeros((len(at) - 1, 0))
+
+
+def counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1 to ORDER, the distinct grams that end with a byte of a text (not with padding) and their counts."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    x, at = folded(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+    body = np.ones(max(0, len(x) - PAD), bool)
+    if len(at) > 2:
+        body[(at[1:-1, None] - PAD + np.arange(PAD)).ravel()] = False
+    return [np.unique(grams(x, k)[body], return_counts=True) for k in range(1, ORDER + 1)]
+
+
+class Trees:
+    """Frozen context trees of a few languages: one row for each gram that any of them has, one column for each language."""
+
+    def __init__(self, counts: list[list[tuple[np.ndarray, np.ndarray]]]):
+        n = len(counts)
         # Order by order: cost of each gram's last byte in the context before it, and the context's escape cost.
         # A text's first contexts are padding and end no gram, so the contexts of the next order are taken in as well.
         self.keys = [np.unique(np.concatenate([np.zeros(0, np.uint32), *(c[k][0] for c in counts), *(c[k + 1][0] >> np.uint32(8) for c in counts if k + 1 < ORDER)])) for k in range(ORDER)]
@@ -127,26 +150,28 @@ class Model:
                 context = seen >> np.uint32(8)
                 _, group, kinds = np.unique(context, return_inverse=True, return_counts=True)
                 total = np.bincount(group, count) + kinds if len(seen) else np.zeros(0)
-                lower = self._lower(keys, k, j)
-                cost[:, j] = lower
-                at = np.searchsorted(keys, seen)
-                cost[at, j] = np.log2(total[group] / count) if len(seen) else 0
+                if k == 0:  # an escape from order 0, if the language has any byte, then one of all bytes
+                    cost[:, j] = 8 + (np.log2(total[0] / kinds[0]) if len(seen) else 0)
+                else:
+                    cost[:, j] = self._lower(keys, k, j)
+                if len(seen):
+                    cost[np.searchsorted(keys, seen), j] = np.log2(total[group] / count)
             self.cost.append(cost)
             self.escape.append(escape)
             for j in range(n):  # what the grams of this order, as contexts, charge for an escape to their own order
                 if k + 1 < ORDER:
                     seen, count = counts[j][k + 1]
                     context, group, kinds = np.unique(seen >> np.uint32(8), return_inverse=True, return_counts=True)
-                    total = np.bincount(group, count) + kinds if len(seen) else np.zeros(0)
-                    at = np.searchsorted(keys, context)
-                    ok = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == context)
-                    escape[at[ok], j] = np.log2(total / kinds)[ok] if len(seen) else 0
-        self.escape0 = np.zeros(n, np.float32)
+                    if len(seen):
+                        total = np.bincount(group, count) + kinds
+                        at = np.searchsorted(keys, context)
+                        ok = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == context)
+                        escape[at[ok], j] = np.log2(total / kinds)[ok]
 
     def _lower(self, keys: np.ndarray, k: int, j: int) -> np.ndarray:
         """Cost of each gram of order k in language j when its own context hasn't seen its last byte."""
         if k == 0:
-            return np.full(len(keys), 8.0 + 4.0, np.float32)  # escape from order 0, then a uniform byte
+            return self.cost[0][keys, j]
         context = self.slots[k - 1].find(keys >> np.uint32(8))
         charge = np.where(context >= 0, self.escape[k - 1][np.maximum(context, 0), j], 0)
         shorter = keys & np.uint32((1 << 8 * k) - 1)
@@ -162,7 +187,7 @@ class Model:
         n = len(at) - 1
         each = self.costs(grams(x, ORDER))
         # Row i of each codes byte i + PAD; the rows between two texts, which code padding, are left out.
-        out = np.zeros((n, len(self.languages)))
+        out = np.zeros((n, each.shape[1]))
         full = np.flatnonzero(np.diff(at) > PAD)
         if len(full):
             cuts = np.stack([at[full], at[full + 1] - PAD], axis=1).ravel()
@@ -170,7 +195,7 @@ class Model:
         return out
 
     def costs(self, key: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(key), len(self.languages)), np.float32)
+        out = np.zeros((len(key), self.cost[0].shape[1]), np.float32)
         left = np.arange(len(key))
         for k in range(ORDER - 1, -1, -1):
             row = self.slots[k].find(key)
@@ -189,17 +214,18 @@ class Model:
 def train(docs: DataFrame, rows: int = ROWS) -> Model:
     """Context trees from a bounded sample: rows whose hash falls under each language's share."""
     known = for_texts(docs).where(f"text is not null and lang is not null and {crc_text('doc_id')} % 5 != 0").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    stretch = F.expr(f"substring(text, 1 + cast(pmod(h, greatest(1, length(text) - {STRETCH} + 1)) as int), {STRETCH})")
     per = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not per:
         return Model({})
     share = F.create_map(*(F.lit(y) for k, n in per.items() for y in (k, min(1_000_000, -(-1_000_000 * rows // n)))))
-    picked = known.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]).collect()
+    picked = known.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "h", stretch.alias("text")).collect()
     texts: dict[str, list[str]] = {}
     size: dict[str, int] = {}
     for r in sorted(picked, key=lambda r: (r["h"], r["text"])):
         if size.get(r["lang"], 0) < BYTES:
             texts.setdefault(r["lang"], []).append(r["text"])
-            size[r["lang"]] = size.get(r["lang"], 0) + len(r["text"])
+            size[r["lang"]] = size.get(r["lang"], 0) + len(r["text"].encode("utf-8", "surrogatepass"))
     return Model(texts)
 
 
@@ -220,7 +246,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         names = np.array([*m.languages, "und"], object)
-        for batch in steps(batches, most=(8 << 20) // max(4, len(m.languages))):
+        for batch in steps(batches, most=(8 << 20) // min(GROUP, max(4, len(m.languages)))):
             text = batch.column(batch.schema.get_field_index("text"))
             data, at = text_buffers(text)
             letter = has_letter(text, data, at)

@@ -187,22 +187,40 @@ def plain_bits(model_texts, x):
             if x[i] in c:
                 total += math.log2((sum(c.values()) + len(c)) / c[x[i]])
                 break
-            if k:
-                total += math.log2((sum(c.values()) + len(c)) / len(c))
+            total += math.log2((sum(c.values()) + len(c)) / len(c))
         else:
-            total += 12.0
+            total += 8.0
     return total
 
 
-def test_code_lengths_are_exact():
-    model = ppm_language.Model({"a": ["the cat sat on the mat, the end"], "b": ["le chat est sur la table"]})
-    texts = ["the cat", "sur la", "zzz éé", "", "  ", "A1b2"]
+@pytest.mark.parametrize("group", [1, 2, 16])
+def test_code_lengths_are_exact(monkeypatch, group):
+    monkeypatch.setattr(ppm_language, "GROUP", group)
+    learnt = {"a": ["the cat sat on the mat, the end", "a", "", "then the dog"], "b": ["le chat est sur la table", "été", "la la"], "c": ["..."]}
+    model = ppm_language.Model(learnt)
+    texts = ["the cat", "sur la", "zzz éé", "", "  ", "A1b2", "日本語"]
     data, at = text_buffers(pa.array(texts))
     x, new = ppm_language.folded(data, at)
     got = model.bits(x, new)
-    for j, name in enumerate(("the cat sat on the mat, the end", "le chat est sur la table")):
+    for j, name in enumerate("abc"):
         for i in range(len(texts)):
-            assert math.isclose(got[i, j], plain_bits([name], bytes(x[new[i] : new[i + 1]])), rel_tol=1e-5, abs_tol=1e-6)
+            assert math.isclose(got[i, j], plain_bits(learnt[name], bytes(x[new[i] : new[i + 1]])), rel_tol=1e-5, abs_tol=1e-6)
+
+
+def test_costs_make_a_code():
+    """In any context the probabilities of all bytes add up to at most one."""
+    texts = ["the cat sat on the mat, the end", "then the dog", "été"]
+    model = ppm_language.Model({"a": texts})
+    for context in (b"   ", b"the", b" th", b"zqx", b"he ", "té".encode()):
+        keys = np.array([int.from_bytes(context[-3:] + bytes([b]), "big") for b in range(256)], np.uint32)
+        assert np.exp2(-model.groups[0].costs(keys).astype(float)).sum() <= 1 + 1e-5
+    assert np.exp2(-model.groups[0].cost[0].astype(float)).sum() <= 1 + 1e-6
+
+
+def test_ties_go_to_the_smaller_language(spark):
+    model = ppm_language.Model({"b": ["same text here"], "a": ["same text here"]})
+    row = ppm_language.identify(docs(spark, ["same text"]), model).first()
+    assert (row["__brindle_lang"], row["__brindle_score"]) == ("a", 0.5)
 
 
 def test_language_held_out_accuracy_and_odd_rows(spark, data):
