@@ -2,19 +2,28 @@
 
 Each step of documents (a shard) is turned into word codes and one suffix array
 is built over them. Every suffix of every benchmark item is then binary-searched
-in it, word by word, which gives all verbatim matches with their places. A
-document is contaminated if a window of `WINDOW` consecutive item words (or a
-whole shorter item) occurs in it.
+in it, packed words at a time, which gives the range of document places where its
+next `WINDOW` words stand (all its words, if the item has fewer). A document is
+contaminated if there is such a place in it. A match starts where the words before
+differ, and is followed to its end once, so an item of any length that stands in a
+document as a whole costs time in proportion to its length.
+
+A benchmark above `BLOCK_BYTES` is searched block by block: one map pass over the
+documents for each, whose finds are written by a hash of the text and joined in the
+end. The driver and the executors hold one block at a time.
 
 Defined cases: null or empty text and texts without words have no words and no
 hits; an item with null id or without words takes no part; items that repeat an
 id count once; rows that repeat are each judged alone; an empty benchmark leaves
-all documents clean. Extra columns are passed through by `decontaminate` and
-never clash: own columns there start with `__brindle_`.
+all documents clean; of longest matches of equal length the one of the smallest
+item id (as a string) and then the first place is told. Extra columns are passed
+through by `decontaminate` and never clash: own columns there start with
+`__brindle_`.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -24,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, for_texts, steps, text_buffers, word_codes, word_spans
+from .common import ALNUM, LOWER, discard, for_texts, steps, text_buffers, word_codes, word_spans, written
 
 WINDOW = 10
-#: Bytes of benchmark text sent to executors at a time; a larger benchmark goes in several blocks, one pass each.
+#: Bytes of benchmark text held at a time (in expectation; an item is never cut); a larger benchmark goes in several blocks.
 BLOCK_BYTES = 8 << 20
 
 FOUND = T.StructType([
@@ -45,43 +54,68 @@ _FOUND = pa.struct([
 
 
 class SuffixArray:
-    """Suffixes of an integer sequence, sorted on their first `depth` elements at least."""
+    """Places of an integer sequence, sorted by the `depth` elements from each, which are kept as columns of packed keys."""
 
     def __init__(self, seq: np.ndarray, alphabet: int, depth: int):
         self.bits = max(1, int(alphabet).bit_length())
         self.per = max(1, 62 // self.bits)
-        self.seq = np.concatenate([seq.astype(np.int64), np.zeros(depth + self.per, np.int64)])
-        n = len(seq)
-        key = self.packed(self.seq, n)
-        order = np.argsort(key, kind="stable") if n else np.zeros(0, np.int64)
-        self.keys, self.order = key[order], order
-        # Ties go on with the next elements; only tied suffixes are sorted again.
-        same = np.concatenate([[False], self.keys[1:] == self.keys[:-1]]) if n else np.zeros(0, bool)
-        done = self.per
-        while done < depth and same.any():
+        n, columns = len(seq), -(-depth // self.per)
+        padded = np.concatenate([seq, np.zeros(columns * self.per, np.int64)])
+        first = self.packed(padded, np.arange(n))
+        order = np.argsort(first, kind="stable")
+        self.order, self.keys = order, [first[order]]
+        same = np.append(False, self.keys[0][1:] == self.keys[0][:-1])[:n]
+        for c in range(1, columns):
+            key = self.packed(padded, order + c * self.per)
             tied = same.copy()
             tied[:-1] |= same[1:]
             at = np.flatnonzero(tied)
-            group = np.cumsum(~same)[at]
-            nxt = self.packed(self.seq, 0, self.order[at] + done)
-            again = np.lexsort((nxt, group))
-            self.order[at] = self.order[at][again]
-            nxt = nxt[again]
-            new = np.concatenate([[False], (nxt[1:] == nxt[:-1]) & (group[1:] == group[:-1])])
-            same[at] = new
-            done += self.per
-
-    def packed(self, seq: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
-        """`per` elements from each place (0 to n, or `at`) as one integer."""
-        out = np.zeros(n if at is None else len(at), np.int64)
+            if len(at):  # only ties are sorted again
+                again = np.lexsort((key[at], np.cumsum(~same)[at]))
+                for x in (order, key, *self.keys[1:]):
+                    x[at] = x[at][again]
+            same &= np.append(False, key[1:] == key[:-1])[:n]
+            self.keys.append(key)
+
+    def packed(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """`per` elements from each place as one integer."""
+        out = np.zeros(len(at), np.int64)
         for k in range(self.per):
-            out = (out << self.bits) | (seq[k : k + n] if at is None else seq[np.minimum(at + k, len(seq) - 1)])
+            out = (out << self.bits) | seq[at + k]
         return out
 
-    def narrow(self, low: int, high: int, depth: int, value: int) -> tuple[int, int]:
-        """Of the suffixes low..high, equal in `depth` elements, those whose next element is value."""
-        nxt = self.seq[self.order[low:high] + depth]
-        return low + int(np.searchsorted(nxt, value, "left")), low + int(np.searchsorted(nxt, value, "right"))
+    def find(self, test: np.ndarray, first: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix test[first:], the range of sorted places that go on with its first `need` elements."""
+        padded = np.concatenate([test, np.zeros(len(self.keys) * self.per, np.int64)])
+        for c, keys in enumerate(self.keys):
+            take = np.clip(need - c * self.per, 0, self.per)
+            spare = self.bits * (self.per - take)
+            low = self.packed(padded, first + c * self.per) >> spare << spare
+            high = low + (np.int64(1) << spare) - 1
+            if c == 0:
+                lo, hi = np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
+            else:
+                deep = np.flatnonzero((take > 0) & (lo < hi))
+                lo[deep], hi[deep] = bisect(keys, lo[deep], hi[deep], low[deep], False), bisect(keys, lo[deep], hi[deep], high[deep], True)
+        return lo, np.maximum(lo, hi)
+
+
+def bisect(keys: np.ndarray, low: np.ndarray, high: np.ndarray, target: np.ndarray, right: bool) -> np.ndarray:
+    """searchsorted in a sorted range of its own for each target."""
+    low, high = low.copy(), high.copy()
+    while len(open_ := np.flatnonzero(low < high)):
+        mid = (low[open_] + high[open_]) >> 1
+        less = keys[mid] <= target[open_] if right else keys[mid] < target[open_]
+        low[open_[less]] = mid[less] + 1
+        high[open_[~less]] = mid[~less]
+    return low
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The whole numbers of each range low..high, laid end to end, and the range of each."""
+    count = high - low
+    whose = np.repeat(np.arange(len(low)), count)
+    return np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count) + low[whose], whose
 
 
 class Items:
@@ -99,7 +133,7 @@ class Items:
         left = stops - np.arange(len(self.s))
         need = np.minimum(window, counts[self.row]) if len(self.s) else left
         self.from_, self.stop, self.need = np.flatnonzero(left >= need), stops, need
-        self.longest = int(counts.max()) if len(counts) else 0
+        _, self.rank = np.unique(np.array(ids, object).astype(str), return_inverse=True) if ids else (None, np.zeros(0, np.int64))  # items of one id rank alike
 
 
 def scan_step(text: pa.Array, items: Items) -> list[dict]:
@@ -108,101 +142,149 @@ def scan_step(text: pa.Array, items: Items) -> list[dict]:
     n, low = len(text), LOWER[data]
     s, e, row = word_spans(low, at, ALNUM)
     words = np.bincount(row, minlength=n) if len(s) else np.zeros(n, np.int64)
-    found = [{"n_words": int(w), "hits": [], "items": [], "longest": 0, "longest_at": None, "longest_item": None} for w in words]
+    found = [{"n_words": w, "hits": [], "items": [], "longest": 0, "longest_at": None, "longest_item": None} for w in words.tolist()]
     m = len(items.s)
     if not m or not len(s):
         return found
-    # One dictionary for items and documents; 0 stands between documents and matches nothing.
+    # One dictionary for items and documents; 0 stands after each document and matches nothing.
     both = np.concatenate([items.data, low])
     codes, kinds = word_codes(both, np.concatenate([items.s, s + len(items.data)]), np.concatenate([items.e, e + len(items.data)]))
     codes += 1
-    test, alphabet = codes[:m], len(kinds)
-    place = np.arange(len(s)) + row  # a 0 after each document
+    test = codes[:m]
     seq = np.zeros(len(s) + n, np.int64)
-    seq[place] = codes[m:]
-    owner = np.repeat(np.arange(n), words + 1)
-    array = SuffixArray(seq, alphabet, items.longest)
-    start_of = np.concatenate([[0], np.cumsum(words + 1)])[:-1]
-    per = array.per
-    padded = np.concatenate([test, np.zeros(per, np.int64)])
-    first = items.from_
-    # The first `per` words of all test suffixes at once; shorter needs keep what they need.
-    take = np.minimum(per, items.need[first])
-    key = np.zeros(len(first), np.int64)
-    for k in range(per):
-        key = (key << array.bits) | np.where(k < take, padded[first + k], 0)
-    spare = array.bits * (per - take)
-    lows = np.searchsorted(array.keys, key, "left")
-    highs = np.searchsorted(array.keys, key + (np.int64(1) << spare), "left")
-    for i in np.flatnonzero(highs > lows):
-        w, a, b, depth = int(first[i]), int(lows[i]), int(highs[i]), int(take[i])
-        need, stop = int(items.need[w]), int(items.stop[w])
-        while depth < need and a < b:
-            a, b = array.narrow(a, b, depth, int(test[w + depth]))
-            depth += 1
-        if a >= b:
-            continue
-        name = items.ids[int(items.row[w])]
-        for p in array.order[a:b]:
-            one = found[owner[p]]
-            one["hits"] += [int(p - start_of[owner[p]]), int(p - start_of[owner[p]]) + depth]
-            if not one["items"] or one["items"][-1] != name:
-                one["items"].append(name)
-        while a < b:
-            for p in array.order[a:b]:
-                one = found[owner[p]]
-                if depth > one["longest"]:
-                    one |= {"longest": depth, "longest_at": int(p - start_of[owner[p]]), "longest_item": name}
-            if w + depth >= stop:
-                break
-            a, b = array.narrow(a, b, depth, int(test[w + depth]))
-            depth += 1
+    seq[np.arange(len(s)) + row] = codes[m:]
+    owner, start_of = np.repeat(np.arange(n), words + 1), np.cumsum(words + 1) - words - 1
+    array = SuffixArray(seq, len(kinds), items.window)
+    lo, hi = array.find(test, items.from_, items.need[items.from_])
+    met = np.flatnonzero(hi > lo)
+    if not len(met):
+        return found
+    w, need, lo, hi = items.from_[met], items.need[items.from_[met]], lo[met], hi[met]
+    # A window is a distinct range and length; g: the window of each item place.
+    _, one, g = np.unique(lo * (items.window + 1) + need, return_index=True, return_inverse=True)
+    place, window = spread(lo[one], hi[one])
+    p, size = array.order[place], need[one][window]
+    _mark(found, p, size, owner, start_of)
+    _name(found, items, owner[p], window, items.rank[items.row[w]], g)
+    _lengthen(found, items, test, seq, p, size, window, w, g, owner, start_of)
     return found
 
 
-def _merged(old: dict | None, new: dict) -> dict:
-    if old is None:
-        return new
-    best = new if new["longest"] > (old["longest"] or 0) else old
-    return new | {"hits": (old["hits"] or []) + new["hits"], "items": (old["items"] or []) + new["items"]} | {k: best[k] for k in ("longest", "longest_at", "longest_item")}
-
-
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
-    """The benchmark's items in blocks of at most block_bytes. They come through the driver one at a time; only
-    a block and what is already packed are held, and a block is what executors hold."""
-    out, size = [[]], 0
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
-    for r in items.toLocalIterator():
-        if size and size + len(r.t) > block_bytes:
-            out.append([])
-            size = 0
-        out[-1].append((r.i, r.t))
-        size += len(r.t)
-    return out
+def _mark(found: list[dict], p: np.ndarray, size: np.ndarray, owner: np.ndarray, start_of: np.ndarray) -> None:
+    """Sets `hits`: the maximal ranges of words inside any window."""
+    change = np.zeros(len(owner) + 1, np.int64)
+    np.add.at(change, p, 1)
+    np.add.at(change, p + size, -1)
+    inside = np.cumsum(change) > 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside]).astype(np.int8)))
+    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):  # ranges end at their document's 0
+        d = owner[a]
+        found[d]["hits"] += [int(a - start_of[d]), int(b - start_of[d])]
+
+
+def _name(found: list[dict], items: Items, doc: np.ndarray, window: np.ndarray, rank: np.ndarray, g: np.ndarray) -> None:
+    """Sets `items`. Windows of the same items count as one, so a long shared passage is looked at once a document."""
+    k = len(items.ids)
+    pairs = np.unique(g * k + rank)
+    begin = np.searchsorted(pairs // k, np.arange(int(g.max()) + 2))
+    of = [tuple((pairs[a:b] % k).tolist()) for a, b in zip(begin[:-1], begin[1:])]
+    number = {x: i for i, x in enumerate(dict.fromkeys(of))}
+    sets, kind = list(number), np.array([number[x] for x in of])
+    names = dict(zip(items.rank.tolist(), items.ids))
+    for key in np.unique(doc * len(sets) + kind[window]).tolist():
+        found[key // len(sets)]["items"] += sets[key % len(sets)]
+    for d in np.unique(doc).tolist():
+        found[d]["items"] = [names[r] for r in sorted(set(found[d]["items"]))]
+
+
+def _lengthen(found: list[dict], items: Items, test: np.ndarray, seq: np.ndarray, p: np.ndarray, size: np.ndarray, window: np.ndarray, w: np.ndarray, g: np.ndarray, owner: np.ndarray, start_of: np.ndarray) -> None:
+    """Sets the longest match. It begins at a window whose predecessors differ; only those are followed."""
+    # The window at each document place and each item place; shorter items have one window each and no neighbours.
+    full = size == items.window
+    at_doc = np.full(len(seq) + 1, -1)
+    at_doc[p[full]] = window[full]
+    at_item = np.full(len(test) + 1, -1)
+    at_item[w] = g
+    before = np.where((w > 0) & (items.row[w] == items.row[w - 1]), at_item[w - 1], -1)
+    order = np.lexsort((before, g))
+    w, g, before = w[order], g[order], before[order]
+    previous = np.where(full, at_doc[p - 1], -1)  # of place 0: the spare last slot, -1
+    keys = g * (int(g.max()) + 2) + before + 1
+    base = window * (int(g.max()) + 2)
+    low, high = np.searchsorted(g, window, "left"), np.searchsorted(g, window, "right")
+    skip_low = np.where(previous >= 0, np.searchsorted(keys, base + previous + 1, "left"), high)
+    skip_high = np.where(previous >= 0, np.searchsorted(keys, base + previous + 1, "right"), high)
+    i, whose = spread(np.concatenate([low, skip_high]), np.concatenate([skip_low, high]))
+    start, place = w[i], p[whose % len(p)]
+    length = size[whose % len(p)].copy()
+    stop, live, reach = items.stop[start], np.arange(len(start)), 4
+    test, seq = np.concatenate([test, np.zeros(1, np.int64)]), np.concatenate([seq, np.zeros(1, np.int64)])
+    while len(live):  # ever longer stretches of what goes on
+        step = np.arange(reach)
+        a = np.minimum(start[live, None] + length[live, None] + step, len(test) - 1)
+        b = np.minimum(place[live, None] + length[live, None] + step, len(seq) - 1)
+        equal = (test[a] == seq[b]) & (a < stop[live, None])
+        equal = np.logical_and.accumulate(equal, axis=1)
+        length[live] += equal.sum(axis=1)
+        live = live[equal[:, -1]]
+        reach = min(2 * reach, max(4, (1 << 20) // max(1, len(live))))
+    doc, rank = owner[place], items.rank[items.row[start]]
+    best = np.lexsort((place, rank, -length, doc))
+    best = best[np.append(True, doc[best][1:] != doc[best][:-1])]
+    names = dict(zip(items.rank.tolist(), items.ids))
+    for d, k, r, x in zip(doc[best].tolist(), length[best].tolist(), rank[best].tolist(), place[best].tolist()):
+        found[d] |= {"longest": k, "longest_at": int(x - start_of[d]), "longest_item": names[r]}
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """Items with id and text, as i and t."""
+    return benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
+
+
+def _scanned(docs: DataFrame, block: list[tuple[str, str]], window: int, met_only: bool = False) -> tuple[DataFrame, object]:
+    """docs with `__brindle_found` (FOUND) for a block, all rows or those with a hit; and the broadcast block."""
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items([i for i, _ in sent.value], [t for _, t in sent.value], window)
+        for batch in steps(batches):
+            got = scan_step(batch.column(batch.schema.get_field_index("text")), items)
+            if met_only:
+                some = [k for k, x in enumerate(got) if x["hits"]]
+                batch, got = batch.take(pa.array(some, pa.int64())), [got[k] for k in some]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, _FOUND)], names=[*batch.schema.names, "__brindle_found"])
+
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("__brindle_found", FOUND)])), sent
 
 
 def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with `__brindle_found` (FOUND): map-only, a pass for each block of the benchmark."""
-    name = "__brindle_found"
-    docs = for_texts(docs)
-    for block in blocks(benchmark, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        has = name in docs.columns
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, has=has) -> Iterator[pa.RecordBatch]:
-            items = Items([i for i, _ in sent.value], [t for _, t in sent.value], window)
-            for batch in steps(batches):
-                got = scan_step(batch.column(batch.schema.get_field_index("text")), items)
-                columns, names = batch.columns, batch.schema.names
-                if has:
-                    k = names.index(name)
-                    got = [_merged(x, y) for x, y in zip(columns[k].to_pylist(), got)]
-                    columns, names = columns[:k] + columns[k + 1 :], names[:k] + names[k + 1 :]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(got, _FOUND)], names=[*names, name])
-
-        plain = docs.drop(name) if has else docs
-        docs = docs.select(*plain.columns, *([name] if has else [])).mapInArrow(scan, T.StructType([*plain.schema.fields, T.StructField(name, FOUND)]))
-    return docs
+    """docs with `__brindle_found` (FOUND). One block: map-only. More: a pass for each, its finds written, then a join."""
+    docs, items = for_texts(docs), _items(benchmark)
+    number = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
+    if number == 1:
+        return _scanned(docs, [tuple(r) for r in items.collect()], window)[0]
+    key = docs.select(F.md5("text").alias("__brindle_key"), "text")
+    parts = []
+    for k in range(number):  # by a hash of the id, so the rows of one id are together
+        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(number)) == k).collect()]
+        part, sent = _scanned(key, block, window, met_only=True)
+        parts.append(written(part.select("__brindle_key", "__brindle_found").dropDuplicates(["__brindle_key"])))
+        sent.destroy()
+    f = F.col("__brindle_found")
+    every = functools.reduce(DataFrame.unionByName, parts).groupBy("__brindle_key").agg(
+        F.flatten(F.collect_list(f["hits"])).alias("hits"), F.array_sort(F.flatten(F.collect_list(f["items"]))).alias("items"),
+        F.max(f["longest"]).alias("longest"), F.collect_list(F.struct(f["longest"].alias("n"), f["longest_item"].alias("i"), f["longest_at"].alias("a"))).alias("each"),
+    )
+    best = F.array_min(F.filter("each", lambda x: x["n"] == F.col("longest")))
+    every = written(every.select("__brindle_key", "hits", "items", "longest", best.alias("best")))
+    discard(*parts)
+    plain, _ = _scanned(docs.withColumn("__brindle_key", F.md5("text")), [], window)  # counts the words
+    none = F.expr("named_struct('hits', cast(array() as array<int>), 'items', cast(array() as array<string>))")
+    out = F.struct(
+        F.col("__brindle_found.n_words").alias("n_words"), F.coalesce("hits", none["hits"]).alias("hits"), F.coalesce("items", none["items"]).alias("items"),
+        F.coalesce("longest", F.lit(0)).alias("longest"), F.col("best.a").alias("longest_at"), F.col("best.i").alias("longest_item"),
+    )
+    return plain.join(every, "__brindle_key", "left").select(*(F.col(f"`{c}`") for c in docs.columns), out.alias("__brindle_found"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -259,6 +260,64 @@ def test_decontamination_equals_brute_force(spark, block):
     assert clean.columns == frame.columns and sorted(r["doc_id"] for r in clean.collect()) == [i for i, w in enumerate(want) if not w[4]]
 
 
+def brute_longest(text, items, window=10):
+    """(words, place, id) of the longest common run of words that has a window's length or is a whole shorter item."""
+    w, best = words(text), None
+    for name, item in items:
+        x = words(item)
+        least = min(window, len(x))
+        for i in range(len(w)):
+            for j in range(len(x)):
+                k = 0
+                while i + k < len(w) and j + k < len(x) and w[i + k] == x[j + k]:
+                    k += 1
+                if k and k >= least:
+                    best = min(best or (1, "", 0), (-k, str(name), i)) if best else (-k, str(name), i)
+    return (-best[0], best[2], best[1]) if best else (0, None, None)
+
+
+@pytest.mark.parametrize("block", [8 << 20, 200])
+def test_longest_matches_equal_brute_force(spark, block):
+    rng = random.Random(8)
+    alphabet = ["a", "b", "c", "dd"]
+    items = [(i, " ".join(rng.choice(alphabet) for _ in range(n))) for i, n in enumerate([3, 12, 12, 20, 25, 40, 9])] + [(40, "a " * 15), (5, "b a " * 10)]
+    texts = ["a " * 50, "", None, "b a " * 12 + "c"]
+    for _ in range(40):
+        w = [rng.choice(alphabet) for _ in range(rng.randint(0, 40))]
+        x = rng.choice(items)[1].split()
+        cut = rng.randrange(len(x))
+        w[rng.randint(0, len(w)) :] = x[cut : cut + rng.randint(1, 40)] * rng.randint(1, 3)
+        texts.append(" ".join(w))
+    texts.append(texts[-1])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = suffix_decontamination.report(docs(spark, texts), bench, block_bytes=block).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r["longest_words"], r["longest_at"], r["longest_item"]) == brute_longest(texts[r["doc_id"]], items), r
+
+
+def test_a_long_item_found_whole_is_quick():
+    rng = random.Random(3)
+    item = " ".join(f"w{rng.randrange(5000)}" for _ in range(20_000))
+    again = "so it goes on and on " * 4000
+    items = suffix_decontamination.Items(["x", "y"], [item, again], 10)
+    began = time.time()
+    found = suffix_decontamination.scan_step(pa.array([f"a b {item} c", f"q {again} r", item[: len(item) // 2] + " z " + item]), items)
+    assert time.time() - began < 10
+    assert [(x["longest"], x["longest_item"], x["longest_at"]) for x in found[:2]] == [(20_000, "x", 2), (24_000, "y", 1)] and found[2]["longest"] == 20_000
+
+
+def test_blocks_run_one_python_node_a_stage(spark):
+    rng = random.Random(2)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(40)]
+    texts = [f"lead {x} tail" if k % 3 == 0 else "clean " * 20 for k, (_, x) in enumerate(items)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    clean = suffix_decontamination.decontaminate(docs(spark, texts), bench, block_bytes=sum(len(x) for _, x in items) // 10 + 1)
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert {r["doc_id"] for r in clean.collect()} == {k for k in range(40) if k % 3}
+
+
 def test_longest_match_and_empty_tables(spark):
     item = " ".join(f"w{i}" for i in range(30))
     bench = spark.createDataFrame([("q", item)], "item_id string, text string")
