@@ -8,6 +8,9 @@ bounded sample of labelled rows. As everything before the softmax is linear, a
 text's logit is the mean of its words' values, so scoring needs one number for
 each n-gram bucket.
 
+Each class is sampled at its own rate; the logit is then moved by the log of what
+that did to the odds, so a score means the same at every size of the table.
+
 Long texts dilute a few words in a mean, so a text is scored in segments of
 SEGMENT words, each a bag of its own, and a text is as toxic as its worst one;
 training lets the label of a toxic text speak for that segment.
@@ -31,9 +34,10 @@ from .common import LOWER, crc_text, for_texts, span_hashes, steps, text_buffers
 
 #: Labelled rows of each class that training may use, in expectation (picked by hash).
 SAMPLE = 3000
+STRETCH = 1 << 17  # code points that training takes of a row: a stretch that begins at a place given by a hash
 BUCKETS, DIM, SIZES, SEGMENT = 1 << 18, 4, (4, 5, 6, 8), 48
-STEPS, BATCH, RATE, DECAY = 400, 256, 0.02, 1e-5  # of gradient descent
-SCALE = 8.0  # of the mean vector before the layer
+STEPS, BATCH, RATE, DECAY = 400, 256, 0.04, 1e-5  # of gradient descent
+SCALE = 16.0  # of the mean vector before the layer
 MIN_TEXTS, Z, PRIOR = 4, 4.5, 8  # see train(); neutral words added to each bag
 
 _FOLD = LOWER.copy()
@@ -212,23 +216,27 @@ def train(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     return value, float(bias[1] - bias[0])
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most about `rows` documents of each class, by hash; their ids are a bounded broadcast.
-    Where a class is cut, the two weigh alike, and so 0.5 is the threshold for equal weights."""
-    known = labels.where("doc_id is not null and toxic is not null").where(f"{crc_text('doc_id')} % 5 != 0").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
+    """Texts and labels of at most about `rows` documents of each class, by hash; their ids are a bounded broadcast. And
+    by how much the log-odds of class 1 over all labels differ from those of the two sampling rates."""
+    known = labels.where("doc_id is not null and toxic is not null").where(f"{crc_text('doc_id')} % 5 != 0").groupBy("doc_id").agg((F.max("toxic") != 0).cast("int").alias("toxic"))
     per = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not per:
-        return [], np.zeros(0)
-    share = F.create_map(*(F.lit(y) for k, n in per.items() for y in (k, min(1_000_000, -(-1_000_000 * rows // n)))))
+        return [], np.zeros(0), 0.0
+    rate = {k: min(1_000_000, -(-1_000_000 * rows // n)) for k, n in per.items()}
+    share = F.create_map(*(F.lit(y) for k in per for y in (k, rate[k])))
     ids = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("toxic")])
-    got = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
+    stretch = F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id), greatest(1, length(text) - {STRETCH} + 1)) as int), {STRETCH})")
+    got = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", stretch.alias("text"), "toxic").collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"] for r in got], np.array([int(r["toxic"] != 0) for r in got])
+    return [r["text"] for r in got], np.array([r["toxic"] for r in got]), float(np.log(rate.get(0, 1) / rate.get(1, 1)))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    sent = for_texts(docs).sparkSession.sparkContext.broadcast(train(*sample(docs, labels)))  # BUCKETS numbers
+    texts, toxic, shift = sample(for_texts(docs), labels)
+    value, bias = train(texts, toxic)
+    sent = docs.sparkSession.sparkContext.broadcast((value, bias + shift))  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, b = sent.value
