@@ -25,13 +25,13 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     size = None
     while True:
-        both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = written(_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = _least(large)
         new = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         # Done when a round changes nothing: every edge then points at its root.
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(edges, both, large)
+        discard(edges, large)
         edges = new
         if tuple(now) == size:
             break

@@ -3,9 +3,11 @@
 A document's set is its distinct 5-word shingles. Two sets of a Jaccard
 similarity of 0.8 or more share a token among the first n - ceil(0.8 n) + 1 of
 each, whatever global order the tokens have. Order 0 puts tokens that many
-documents share last, and candidates must share a prefix token in it (a join);
-they must then also pass a bitmap bound, share one in each of the orders 1 to
-ORDERS-1 (hash orders), and what all filters leave is verified exactly.
+documents share last, and candidates must share a prefix token in it (a join).
+Then the prefixes under the orders 1 to ORDERS-1 (hash orders, tokens cut to 32
+bits) and a bitmap of each candidate are fetched, a sixth of a set in all; pairs
+must share a token under every order and pass the bitmaps' bound. Only of what all
+filters leave are whole sets fetched and verified exactly.
 
 Documents with the same set are one node. In a group of nodes with a common
 prefix token, all are first compared with a leader, the node with the fewest
@@ -13,6 +15,10 @@ rarer tokens. Where that leaves a group in several components, the pairs across
 components that pass the length and position filters are verified as well. So every pair that could be linked is verified, or lies in one
 component already; no group is expanded into all its pairs.
 
+Sets that are to be looked at are made anew from their texts. The texts are picked
+by a bitmap of fixed size on their hashes, and where more are asked for than it
+can tell apart, by a join on the hashes.
+
 Shingles are compared by 64-bit hashes.
 
 Defined cases: null and empty texts and texts without words have an empty set, no
@@ -41,7 +47,7 @@ ORDERS = 3
 LOCAL, GLOBAL, MOST, COUNTED = 2, 6, 400_000, 6_000_000
 BLOCK_BYTES = 8 << 20
 SPREAD = 64  # parts that the rows of a heavy token are dealt to
-FILTER_BITS = 24  # of the bitmap of texts whose sets are needed
+FILTER_BITS, FILTER_MOST = 24, 1 << 21  # of the bitmap of texts whose sets are needed, and bits set up to which it is used
 _SEED = (np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -160,59 +166,77 @@ def _postings(docs: DataFrame, heavy: np.ndarray, weight: np.ndarray) -> DataFra
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and node: those whose token another node has too, and all of heavy tokens."""
-    held = None
+    """Of rows sorted by token and node, one for each pair of them: those whose token another node has too, and all of
+    heavy tokens. A row waits for at most one other."""
+    kept, last = None, None  # a row that may yet turn out to be shared; token, node and whether shared of the last row
     for batch in batches:
-        held = batch if held is None else pa.concat_batches([held, batch])
-        token, node = held.column(0).to_numpy(), held.column(1).to_numpy()
-        # The last token may go on in the next batch.
-        cut = int(np.searchsorted(token, token[-1], "left")) if len(token) else 0
-        if cut:
-            yield _kept(held.slice(0, cut))
-            held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield _kept(held)
-
-
-def _kept(rows: pa.RecordBatch) -> pa.RecordBatch:
-    often = rows.column(3).to_numpy(zero_copy_only=False)
-    return rows.filter(pa.array(often | _several(rows.column(0).to_numpy(), rows.column(1).to_numpy()))).select(["token", "node", "place"])
-
-
-def _several(token: np.ndarray, node: np.ndarray) -> np.ndarray:
-    head = np.append(True, token[1:] != token[:-1])
-    group = np.cumsum(head) - 1
-    start = np.flatnonzero(head)
-    last = np.append(start[1:], len(token)) - 1
-    return (node[start] != node[last])[group]
+        rows = batch if kept is None else pa.concat_batches([kept, batch])
+        token, node, often = rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(3).to_numpy(zero_copy_only=False)
+        if not len(token):
+            continue
+        new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
+        head = np.append(True, token[1:] != token[:-1])
+        start = np.flatnonzero(head)
+        end = np.append(start[1:], len(token)) - 1
+        several = node[start] != node[end]
+        if last is not None and last[0] == token[0]:  # the first token goes on from the batch before
+            several[0] |= last[2] or last[1] != node[0]
+            new[0] &= last[1] != node[0] or kept is not None
+        keep = new & (often | several[np.cumsum(head) - 1])
+        yield rows.filter(pa.array(keep)).select(["token", "node", "place"])
+        waits = not several[-1] and not often[-1]
+        kept, last = (rows.slice(start[-1], 1) if waits else None), (token[-1], node[-1], bool(several[-1]))
 
 
 def _of_nodes(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, whole: bool) -> DataFrame:
-    """node, n and set (sorted tokens if whole, else the parity bitmap) of the nodes in pairs, as a table. They are made
-    anew from one text each, which a filter of fixed size on hashes of texts picks. Where it fills up, more sets than needed go
-    through, never fewer."""
+    """node, n and set of the nodes in pairs, as a table: the sorted tokens if whole, else the parity bitmap and `prefixes`
+    in the orders 1 to ORDERS-1. They are made anew from one text each."""
     spark = docs.sparkSession
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("h").distinct()
     bit = F.col("h").bitwiseAND((1 << FILTER_BITS) - 1)
     words = asked.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bitmap[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    texts = docs.select(F.xxhash64("text").alias("h"), "text")
+    if int(np.bitwise_count(bitmap.view(np.uint64)).sum()) > FILTER_MOST:
+        texts, bitmap = texts.join(asked.hint("merge"), "h", "left_semi"), None
     sent = spark.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = sent.value
         for batch in steps(batches):
-            h = batch.column(0).to_numpy()
-            low = h & ((1 << FILTER_BITS) - 1)
-            on = (sent.value[low >> 6] >> (h & 63)) & 1
-            some = batch.filter(pa.array(on == 1))
-            if some.num_rows:
-                x, at = shingles(some.column(1))
+            if on is not None:
+                h = batch.column(0).to_numpy()
+                batch = batch.filter(pa.array((on[(h & ((1 << FILTER_BITS) - 1)) >> 6] >> (h & 63)) & 1 == 1))
+            if batch.num_rows:
+                x, at = shingles(batch.column(1))
                 raw = x.tobytes()
                 sets = [raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:])] if whole else parity(x, at)
-                yield pa.RecordBatch.from_arrays([pa.array(node_ids(x, at)), pa.array(np.diff(at)), pa.array(sets, pa.binary())], names=["node", "n", "set"])
+                first = [b""] * len(sets) if whole else prefixes(x, at)
+                yield pa.RecordBatch.from_arrays([pa.array(node_ids(x, at)), pa.array(np.diff(at)), pa.array(sets, pa.binary()), pa.array(first, pa.binary())], names=["node", "n", "set", "first"])
 
-    made = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "node long, n long, set binary")
-    return written(made.dropDuplicates(["node"]))
+    made = written(texts.mapInArrow(run, "node long, n long, set binary, first binary").dropDuplicates(["node"]))
+    sent.unpersist()
+    return made
+
+
+def prefixes(x: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The prefixes of each set in the orders 1 to ORDERS-1, as 32 bits of each token's rank."""
+    n = np.diff(at)
+    keep = n - least_common(n) + 1
+    ranks = [(mix(x * _SEED[k + 5]) >> np.uint64(32)).astype(np.uint32) for k in range(1, ORDERS)]
+    return [b"".join(np.partition(r[a:b], m - 1)[:m].tobytes() for r in ranks) if b > a else b"" for a, b, m in zip(at[:-1], at[1:], keep)]
+
+
+def share_in_all(a: bytes, b: bytes) -> bool:
+    """Whether two sets have a prefix token in common in every one of the orders 1 to ORDERS-1."""
+    x, y = np.frombuffer(a, np.uint32).reshape(ORDERS - 1, -1), np.frombuffer(b, np.uint32).reshape(ORDERS - 1, -1)
+    for p, q in zip(x, y):
+        both = np.concatenate([np.unique(p), np.unique(q)])
+        both.sort()
+        if not (both[1:] == both[:-1]).any():
+            return False
+    return True
 
 
 def parity(x: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -242,11 +266,7 @@ def may_be_similar(n: int, m: int, a: bytes, b: bytes) -> bool:
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets pass the filters of the orders 1 to ORDERS-1 and then the exact test."""
-    for k in range(1, ORDERS):
-        p, q = (np.partition(y, m - 1)[:m] for y, m in ((mix(z * _SEED[k + 5 if k < 3 else 7]), len(z) - int(least_common(np.int64(len(z)))) + 1) for z in (a, b)))
-        if not np.isin(p, q).any():
-            return False
+    """The exact test of two sorted sets."""
     both = np.concatenate([a, b])
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
@@ -254,11 +274,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked, as a table: first by bitmaps, then what is left by whole sets."""
+    """Of a table of pairs (a, b) those that are linked, as a table: filters first, then whole sets of what they leave."""
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [may_be_similar(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            n, m, a, b, p, q = (batch.column(i).to_pylist() for i in range(2, 8))
+            got = [share_in_all(p[i], q[i]) and may_be_similar(n[i], m[i], a[i], b[i]) for i in range(len(n))]
             yield batch.filter(pa.array(got, pa.bool_())).select(["a", "b"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,11 +287,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             got = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
             yield batch.filter(pa.array(got, pa.bool_())).select(["a", "b"])
 
-    pairs = written(pairs)
-    for test in (bounded, exact):
+    for test in (filtered, exact):
         sets = _of_nodes(docs, pairs, nodes, test is exact)
-        one, two = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("set").alias(f"s{c}")) for c in "ab")
-        met = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
+        one, two = (sets.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}{c}") for x in ("n", "set", "first"))) for c in "ab")
+        met = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "seta", "setb", "firsta", "firstb")
         left = written(met.mapInArrow(test, "a long, b long"))
         discard(pairs, sets)
         pairs = left
@@ -300,7 +320,7 @@ def _placed(docs: DataFrame) -> DataFrame:
     leaders = lead.select("token", F.col("c.node").alias("lead"), F.col("c.place").alias("place"))
     stars = shared.alias("x").join(leaders.alias("y"), F.expr(f"x.token = y.token and x.node <> y.lead and {_LENGTHS} and {_PLACES}"))
     pairs = stars.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    links = _verified(pairs, docs, nodes)
+    links = _verified(written(pairs), docs, nodes)
     roots = written(components(links))
 
     # Groups of three or more that are still in several components: pairs across them.
@@ -308,16 +328,20 @@ def _placed(docs: DataFrame) -> DataFrame:
     main = placed.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
     open_ = written(placed.join(written(main.select("token", F.col("m.root").alias("main"))), "token"))
     across = open_.where("root <> main").alias("x").join(open_.alias("y"), F.expr(f"x.token = y.token and x.root <> y.root and (y.root = y.main or x.node < y.node) and {_LENGTHS} and {_PLACES}"))
-    more = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more_links = _verified(more, docs, nodes)
-    all_links = written(links.unionByName(more_links))
-    discard(shared, lead, links, more_links, roots, placed, open_)
-    roots = written(components(all_links))
+    more = written(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    discard(shared, lead, placed, open_)
+    if more.take(1):
+        more = _verified(more, docs, nodes)
+        both = written(links.unionByName(more))
+        discard(roots)
+        roots = written(components(both))
+        discard(both)
+    discard(links, more)
 
     named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     ids = written(named.groupBy("root").agg(F.min("first").alias("component_id")))
     of_node = written(named.join(ids, "root").select("node", "component_id"))
-    discard(all_links, roots, nodes, ids)
+    discard(roots, nodes, ids)
     out = rows.where("n_shingles > 0").join(of_node, "node").select("doc_id", "n_shingles", "component_id", "h")
     return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "h"))
 

@@ -16,6 +16,7 @@ import pytest
 
 from brindle.llm import credential_linking, hmm_language_model, multi_order_jaccard, ppm_language, weak_pii
 from brindle.llm.common import text_buffers, table
+from brindle.llm.components import components
 
 
 def docs(spark, texts, start=0):
@@ -264,9 +265,10 @@ def brute_components(rows):
     return sorted((i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_copies_equal_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, most", [(1, 1 << 21), (2, 1 << 21), (3, 0)])
+def test_near_copies_equal_brute_force(spark, seed, most, monkeypatch):
     monkeypatch.setattr(multi_order_jaccard, "GLOBAL", 3)
+    monkeypatch.setattr(multi_order_jaccard, "FILTER_MOST", most)  # 0: texts are picked by a join
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(200)]
     shared = [rng.choice(words) for _ in range(60)]
@@ -292,6 +294,58 @@ def test_near_copies_equal_brute_force(spark, seed, monkeypatch):
     assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i, _, c in want if i == c]
 
 
+def test_linked_sets_pass_every_filter():
+    """Sets of a similarity of 0.8 or more share a prefix token in every order, and their bitmaps allow it; others mostly don't."""
+    rng = np.random.default_rng(5)
+    passed = []
+    for n in (1, 2, 5, 40, 41, 300, 2000):
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) >= rng.choice([0, 0.05, 0.1, 0.2, 0.9])], rng.integers(0, 1 << 63, rng.integers(0, 2 + n // 8)).astype(np.uint64)]))
+            if not len(b):
+                continue
+            x, at = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+            (p, q), (s, t) = multi_order_jaccard.prefixes(x, at), multi_order_jaccard.parity(x, at)
+            common = len(np.intersect1d(a, b))
+            linked = 100 * common >= 80 * (len(a) + len(b) - common)
+            got = multi_order_jaccard.share_in_all(p, q) and multi_order_jaccard.may_be_similar(len(a), len(b), s, t)
+            assert multi_order_jaccard.similar(a, b) == linked and (got or not linked)
+            if not linked:
+                passed.append(got)
+    assert np.mean(passed) < 0.3
+
+
+def test_shared_rows_of_any_batches():
+    """Rows of tokens that several nodes have, however they are cut to batches; heavy tokens always; each once."""
+    rng = random.Random(7)
+    for _ in range(200):
+        rows = sorted((rng.randrange(6), rng.randrange(4), 0) for _ in range(rng.randint(1, 30)))
+        heavy = {t for t in range(6) if rng.random() < 0.2}
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows) + 1) for _ in range(rng.randint(0, 8)))})
+        table_ = [(t, n, p, t in heavy) for t, n, p in rows]
+        names = ["token", "node", "place", "often"]
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in table_[a:b]], schema=pa.schema([("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64()), ("often", pa.bool_())])) for a, b in zip(cuts, cuts[1:])]
+        got = [(r["token"], r["node"]) for batch in multi_order_jaccard._shared(iter(batches)) for r in batch.to_pylist()]
+        nodes = collections.defaultdict(set)
+        for t, n, _ in rows:
+            nodes[t].add(n)
+        assert sorted(got) == sorted((t, n) for t in nodes for n in nodes[t] if t in heavy or len(nodes[t]) > 1)
+
+
+# ---- connected components
+
+
+def test_components_of_chains_hubs_and_nothing(spark):
+    rng = random.Random(3)
+    chain = list(range(0, 300))
+    rng.shuffle(chain)
+    links = list(zip(chain, chain[1:])) + [(1000, 1000 + k) for k in range(1, 200)] + [(2000, 2001), (2001, 2000), (2001, 2001), (-5, 7)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {k: -5 for k in range(300)} | {k: 1000 for k in range(1000, 1200)} | {2000: 2000, 2001: 2000, -5: -5}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_copies_odd_rows(spark):
     frame = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (1, "x")], "doc_id long, text string")
     got = [tuple(r) for r in multi_order_jaccard.near_copies(frame).collect()]
