@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UNSPACED, crc_text, for_texts, span_hashes, steps, text_buffers, word_spans, written
+from .common import LOWER, UNSPACED, crc_text, discard, for_texts, span_hashes, steps, text_buffers, word_spans, written
 
 BLOCK_BYTES = 12 << 20
 PIECE_BYTES = 1 << 20  # of a block whose words are told apart at a time
@@ -410,6 +410,7 @@ def scored(docs: DataFrame) -> DataFrame:
     answers = words.join(counted.select("word", "c"), "word", "left").join(F.broadcast(frequent), "word", "left")
     answers = answers.select(F.col("block").alias("own"), "code", "class", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("symbol", F.lit(-1)).alias("symbol"))
     encoded = written(_encode(blocks, answers, spark.sparkContext.broadcast(lex), id_type))
+    discard(table, counted)
     sent = spark.sparkContext.broadcast(_learn(encoded, lex.unigram))
     n = lex.tokens
 
