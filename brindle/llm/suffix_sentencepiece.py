@@ -10,13 +10,20 @@ follow another only if byte-pair merging of the two together leaves both whole;
 with that rule the chain is the one that merging by score gives, so the ids equal
 the tokenizer's. Characters that are no piece become byte pieces.
 
-The vocabulary is read from the model file on the driver (its path is a
-parameter) and sent to executors; nothing is trained.
+Units up to LONG_UNIT bytes are relaxed together, one place of all of them at a
+time. A longer one is relaxed alone, its edges found and walked a SEGMENT at a
+time, so it costs time in proportion to its length, and memory beyond a segment's
+only for its bytes and one number each.
+
+The vocabulary is read from the model file on the driver (its path is a parameter,
+or the setting spark.brindle.tokenizer) and sent to executors; nothing is trained.
 
 Defined cases: null texts count as empty; empty texts have no ids; the mark
 U+2581 in a text encodes as a space, as the tokenizer has it, and so doesn't come
-back; all other texts round-trip exactly; repeated rows encode alike; extra
-columns are ignored, or passed through by `encode_columns`.
+back; all other texts round-trip exactly, of whatever length, and without a space
+in them; repeated rows encode alike; extra columns are ignored by `encode`, and
+passed through by `encode_columns`, which puts its own `ids`, `n_tokens` and
+`round_trip` in the place of columns of those names.
 """
 
 from __future__ import annotations
@@ -31,11 +38,12 @@ from pyspark.sql import types as T
 
 from .common import for_texts, steps, text_buffers, word_codes
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # where neither a parameter nor the setting names one
 SPACE_MARK = "▁".encode()
 FAR = 1 << 30
 #: Text bytes of a step: its lattice takes about a hundred times as much for a moment.
 STEP = 3 << 19
+LONG_UNIT, SEGMENT = 1 << 11, 1 << 19
 
 
 class Vocabulary:
@@ -118,6 +126,17 @@ class Vocabulary:
             self.compatible.clear()
         return out
 
+    def may_follow(self, before: int, piece: int) -> bool:
+        """The same for one piece."""
+        if before < 0 or self.is_byte[before]:
+            return True
+        key = before * self.size + piece
+        got = self.compatible.get(key)
+        if got is None:
+            a, b = self.text[before], self.text[piece]
+            got = self.compatible[key] = self.merged(a + b) == [a, b]
+        return got
+
 
 def _bisect(keys: np.ndarray, low: np.ndarray, high: np.ndarray, target: np.ndarray, right: bool) -> np.ndarray:
     """searchsorted in a range of its own for each target."""
@@ -174,6 +193,66 @@ def edges(data: np.ndarray, ends: np.ndarray, places: np.ndarray, v: Vocabulary)
 
 def encode_units(data: np.ndarray, at: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all units data[at[i]:at[i+1]] laid end to end, and their number for each unit."""
+    size = np.diff(at)
+    long = np.flatnonzero(size > LONG_UNIT)
+    if not len(long):
+        return encode_short(data, at, v)
+    short = np.flatnonzero(size <= LONG_UNIT)
+    alone = [encode_long(data[at[i] : at[i + 1]], v) for i in long]
+    ids, count = encode_short(data[np.repeat(size <= LONG_UNIT, size)], np.concatenate([[0], np.cumsum(size[short])]), v)
+    counts = np.empty(len(size), np.int64)
+    counts[short], counts[long] = count, [len(x) for x in alone]
+    first = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), np.int32)
+    out[gather(first[short], count)] = ids
+    for i, x in zip(long, alone):
+        out[first[i] : first[i] + len(x)] = x
+    return out, counts
+
+
+def encode_long(data: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Ids of one unit, segment by segment."""
+    size = len(data)
+    last = np.full(size + 1, -2, np.int32)  # as in encode_short
+    last[0] = -1
+    for low in range(0, size, SEGMENT):
+        part = data[low : low + SEGMENT + v.depth]  # pieces that start in the segment end in here
+        lead = (part & 0xC0) != 0x80
+        lead[0] |= low == 0
+        places = np.flatnonzero(lead)
+        width = np.diff(np.append(places, len(part)))
+        inside = places < SEGMENT
+        start, piece = edges(part, np.full(int(inside.sum()), len(part)), places[inside], v)
+        end = start + v.width[piece]
+        whole = np.zeros(len(part), np.int64)
+        whole[places] = width
+        known = np.zeros(len(part), bool)
+        known[start[end - start == whole[start]]] = True
+        odd = inside & ~known[places]
+        p = gather(places[odd], width[odd])
+        last[low + p + 1] = v.byte_ids[part[p]]
+        order = np.lexsort((start, end))  # the longest first
+        start, end, piece = start[order] + low, end[order] + low, piece[order]
+        for cut in range(0, len(order), 1 << 16):
+            own = slice(cut, cut + (1 << 16))
+            base = int(start[own].min())
+            seen = last[base : int(end[own].max()) + 1].tolist()
+            for s, e, x in zip((start[own] - base).tolist(), (end[own] - base).tolist(), piece[own].tolist()):
+                if seen[e] == -2 and seen[s] != -2 and v.may_follow(seen[s], x):
+                    seen[e] = x
+            last[base : base + len(seen)] = seen
+    ids, at = [], size
+    while at:
+        t = int(last[at])
+        if t < 0:
+            raise AssertionError("a unit has no encoding")
+        ids.append(t)
+        at -= int(v.width[t])
+    return np.array(ids[::-1], np.int32)
+
+
+def encode_short(data: np.ndarray, at: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of units as in `encode_units`, all relaxed together."""
     n, size = len(at) - 1, len(data)
     unit = np.repeat(np.arange(n), np.diff(at))
     lead = (data & 0xC0) != 0x80
@@ -298,9 +377,14 @@ def _vocabulary(sent) -> Vocabulary:
     return _LOADED[key]
 
 
-def encode_columns(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def _sent(spark, model: str | None):
+    """The vocabulary of a model file as a broadcast of its size."""
+    return spark.sparkContext.broadcast(Vocabulary.load(model or spark.conf.get("spark.brindle.tokenizer", MODEL)))
+
+
+def encode_columns(docs: DataFrame, model: str | None = None) -> DataFrame:
     """docs with `ids` (array of int), `n_tokens` and `round_trip` (whether decoding gives the text back)."""
-    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))  # the size of a vocabulary
+    sent = _sent(docs.sparkSession, model)
     added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
     docs = for_texts(docs).drop(*(f.name for f in added))
 
@@ -318,14 +402,14 @@ def encode_columns(docs: DataFrame, model: str = MODEL) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip for every row."""
     return encode_columns(docs.select("doc_id", "text"), model).select("doc_id", "n_tokens", "ids", "round_trip")
 
 
-def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
+def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id and the text of its ids; null ids count as none."""
-    sent = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    sent = _sent(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(sent)

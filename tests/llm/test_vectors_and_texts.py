@@ -121,6 +121,33 @@ def test_pieces_equal_the_tokenizer(vocabulary):
     assert all(b == t.replace("▁", " ") for b, t in zip(back, texts))
 
 
+def test_long_units_equal_the_tokenizer(vocabulary, monkeypatch):
+    """Units relaxed alone, over the edges of segments, among short ones."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=suffix_sentencepiece.MODEL)
+    monkeypatch.setattr(suffix_sentencepiece, "LONG_UNIT", 12)
+    monkeypatch.setattr(suffix_sentencepiece, "SEGMENT", 37)
+    rng = random.Random(10)
+    letters = ["abcdefghinorstelou", "aeinrst.,'-_0123{}()<>/\n\téüß日本语🤖ийко\x00", "a"]
+    texts = ["", " "] + [" ".join("".join(rng.choice(rng.choice(letters)) for _ in range(rng.randint(1, 150))) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    ids, at = suffix_sentencepiece.encode_texts(pa.array(texts), vocabulary)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == sp.encode(texts)
+
+
+def test_a_word_of_a_million_letters(vocabulary):
+    rng = random.Random(1)
+    texts = ["a short one", "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=1_000_000)), "x" * 1_000_000]
+    began = time.time()
+    ids, at = suffix_sentencepiece.encode_texts(pa.array(texts), vocabulary)
+    assert time.time() - began < 120
+    assert suffix_sentencepiece.decode_ids(ids, at, vocabulary) == texts
+
+
+def test_columns_of_the_same_names_are_replaced(spark):
+    frame = docs(spark, ["Hello world"]).selectExpr("doc_id", "text", "'q' as ids", "1 as n_tokens", "2 as other", "3 as round_trip")
+    got = suffix_sentencepiece.encode_columns(frame)
+    assert got.columns == ["doc_id", "text", "other", "ids", "n_tokens", "round_trip"] and got.first()["round_trip"] is True
+
+
 def test_pieces_of_a_table(spark):
     texts = [None, "", "Hello  world", "Hello  world", "▁", "a\r\nb"]
     frame = docs(spark, texts).selectExpr("doc_id", "text", "1 as n_tokens", "'q' as ids")
