@@ -1,25 +1,34 @@
 """Personal data by weak supervision.
 
 Strong kinds (email, ip, card, phone) are found by fixed patterns and always
-kept. Looser candidates get votes from labelers: form (regex and checksums),
-gazetteer (cue words in five languages close before), context (what surrounds
-the candidate), and repetition of cues. Votes over all documents are counted by
-pattern; expectation-maximisation estimates each labeler's reliability and each
-pattern's posterior; a logistic span classifier is trained on those soft labels,
-and its verdict on a candidate's features adds the span or not.
-
-The counts that training sees are a table of (kind, votes, shape) with a fixed
-number of possible rows, so what reaches the driver is bounded at any size.
-
-Defined cases: null texts are empty; without candidates nothing is added; rows
-that repeat give the same spans each; added spans never overlap base ones; extra
-columns are ignored.
+kept. Looser candidates get votes from labelers: form (regex and checksums), cues
+(fixed words in five languages close before), names (a gazetteer that is learnt
+from the corpus: what follows a title in NAMES_SEEN places or more, and whatever
+the caller adds), context (marks around the candidate) and counter (words that
+speak against it).
+
+Votes over all documents are counted by pattern. For each kind,
+expectation-maximisation estimates how often each labeler votes which way on true
+and on false spans, and so each pattern's posterior. A logistic span classifier is
+trained on these posteriors over a bounded sample of candidates. Its features are
+the votes, but also the words around the candidate, its shape and its place in the
+line, so it can tell apart candidates with the same votes. Its verdict adds a span
+or not.
+
+What reaches the driver is bounded at any size: the counts (kinds by patterns), a
+sample of SAMPLE candidates in expectation, and NAMES_MOST names.
+
+Defined cases: null texts are empty; without candidates nothing is added, nor of a
+kind whose candidates got no vote for them; rows that repeat give the same spans
+each; added spans never overlap base ones, and of candidates that overlap the
+first counts; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +49,21 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile("[0-9]")
 
+# Titles that stand before names; fixed values.
+TITLES = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
+_NAME = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'-]{1,30}"
+#: The last word of a name after a title, for Java's regular expressions.
+TITLED = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(TITLES)})\.?\x20(?:{_NAME}\x20)?({_NAME})(?![\p{{L}}\p{{N}}_])"
+#: Two capitalised words, of which the second must be in the gazetteer.
+BARE = re.compile(rf"(?<!\w){_NAME}(?=\x20({_NAME})(?!\w))")
+
 # Loose forms. All start at a rare character, so scanning is linear.
 LOOSE = {
     "local_phone": re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])", re.A),
     "spelled_email": re.compile(r"(?<=[A-Za-z0-9])(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)(?:[A-Za-z0-9-]{1,63}(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20)){1,3}[A-Za-z]{2,10}\b", re.A),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", re.A),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A),
-    "person": re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20[^\W\d_a-z][^\W\d_]{1,30}(?:\x20[A-ZÀ-Þ][^\W\d_]{1,30})?"),
+    "person": re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.?\x20{_NAME}(?:\x20{_NAME})?(?!\w)"),
     "birth_date": re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9/-])", re.A),
 }
 # Cue words of the gazetteer labeler, by kind; fixed values.
@@ -60,9 +77,14 @@ CUES = {
 }
 AGAINST = ("version", "v", "isbn", "order", "section", "chapter", "page", "invoice", "sku", "part")
 WORD = re.compile(r"[^\W_]+")
-LABELERS = ("form", "gazetteer", "context", "counter")
+LABELERS = ("form", "cues", "names", "context", "counter")
 YES, NO, MUTE = 2, 0, 1
-BEFORE = 40  # code points looked at before a candidate
+BEFORE, AFTER = 40, 24  # code points looked at before and after a candidate
+NAMES_SEEN, NAMES_MOST = 3, 50_000  # places that a learnt name needs, and names kept (the most frequent)
+SAMPLE = 20_000  # candidates that train the classifier, in expectation
+FEATURES, SLOTS = 1024, 6 + len(LABELERS)  # weights, and features of a candidate
+ROUNDS, STEPS, RATE, DECAY = 60, 300, 0.1, 1e-4  # of EM; of the classifier's training
+WIDTH = 4 + SLOTS  # numbers of a candidate: start, rank, end, votes, features
 
 
 def base_spans(t: str) -> list[tuple[int, int, int]]:
@@ -117,11 +139,11 @@ def well_formed(kind: str, s: str) -> int:
         return YES if d[0] not in "01" and d[3] not in "01" else NO
     if kind == "spelled_email":
         return YES if "[" in s or "(" in s else MUTE
-    return YES if len(s.split()) >= 3 or "." in s else MUTE
+    return YES if s.split()[0].rstrip(".") in TITLES else MUTE
 
 
-def candidates(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(start, rank, end, votes, shape) of the loose kinds that overlap no base span and no earlier candidate."""
+def _found(t: str, names: frozenset[str]) -> list[tuple[int, int, int, str]]:
+    """(start, rank, end, kind) of all loose matches."""
     found = []
     digits = _DIGITS.search(t) is not None
     for kind, pattern in LOOSE.items():
@@ -133,42 +155,63 @@ def candidates(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
                 while low > 0 and m.start() - low < 64 and t[low - 1] in _LOCAL:
                     low -= 1
             found.append((low, RANK[kind], m.end(), kind))
-    found.sort()
+    if names:
+        found += [(m.start(), RANK["person"], m.end(1), "person") for m in BARE.finditer(t) if m[1] in names]
+    return sorted(found)
+
+
+def candidates(t: str, base: list[tuple[int, int, int]], names: frozenset[str] = frozenset()) -> list[tuple[int, ...]]:
+    """(start, rank, end, votes, features ...) of the loose kinds that overlap no base span and no earlier candidate."""
     out, reach, taken = [], 0, iter([*base, (len(t) + 1, 0, len(t) + 1)])
     b = next(taken)
-    for low, rank, high, kind in found:
+    for low, rank, high, kind in _found(t, names):
         while b[2] <= low:
             b = next(taken)
         if low < reach or b[0] < high:
             continue
         reach = high
-        ahead = t[max(0, low - BEFORE) : low]
+        span, ahead, behind = t[low:high], t[max(0, low - BEFORE) : low], t[high : high + AFTER]
         words = [w.lower() for w in WORD.findall(ahead)]
-        after = t[high : high + 1]
         votes = (
-            well_formed(kind, t[low:high]),
+            well_formed(kind, span),
             YES if any(w in CUES[kind] for w in words) else MUTE,
-            YES if ahead.rstrip()[-1:] in (":", "=", "(") else NO if ahead[-1:] in ("$", "#", "/", "_") or after in ("%", "_") else MUTE,
+            YES if kind == "person" and span.rpartition(" ")[2] in names else MUTE,
+            YES if ahead.rstrip()[-1:] in (":", "=", "(") else NO if ahead[-1:] in ("$", "#", "/", "_") or behind[:1] in ("%", "_") else MUTE,
             NO if any(w in AGAINST for w in words[-2:]) else MUTE,
         )
-        shape = 2 * bool(ahead[-1:].isspace() or not ahead) + bool(after in ("", ".", ",", ";", ")", "\n", " "))
-        out.append((low, rank, high, sum(v * 3**i for i, v in enumerate(votes)), shape))
+        out.append((low, rank, high, sum(v * 3**i for i, v in enumerate(votes)), *features(kind, votes, span, words, ahead, behind)))
     return out
 
 
+def features(kind: str, votes: tuple[int, ...], span: str, words: list[str], ahead: str, behind: str) -> list[int]:
+    """SLOTS feature numbers below FEATURES: each vote, the words around, the shape and the place."""
+    after = WORD.search(behind)
+    told = [f"{name}={v}" for name, v in zip(LABELERS, votes)]
+    told += [f"before={''.join(words[-1:])}", f"before2={''.join(words[-2:-1])}", f"after={after[0].lower() if after else ''}"]
+    told += [f"shape={re.sub('[0-9]+', '9', re.sub('[A-Z]+', 'A', re.sub('[^A-Z0-9 .,:/()+-]+', 'a', span)))}", f"edges={ahead[-1:]!r}{behind[:1]!r}", "kind"]
+    return [zlib.crc32(f"{kind} {x}".encode("utf-8", "surrogatepass")) % FEATURES for x in told]
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class Aggregation:
-    """Labeler reliabilities by EM over vote counts, and the span classifier trained on the posteriors."""
-
-    def __init__(self, counts: list[tuple[int, int, int, int]], rounds: int = 60):
-        """counts: (rank, votes, shape, n)."""
-        self.kept: set[tuple[int, int, int]] = set()
-        if not counts:
-            self.reliability, self.weights = np.full((len(LABELERS), 2, 3), 1 / 3), np.zeros(0)
-            return
-        rank, votes, shape, n = (np.array(x) for x in zip(*counts))
-        vote = np.stack([votes // 3**i % 3 for i in range(len(LABELERS))], axis=1)
-        # Start from the labelers' majority; YES counts for, NO against.
-        p = 1 / (1 + np.exp(-(vote - 1).sum(axis=1).astype(float)))
+    """Labeler reliabilities and posteriors of each kind by EM over vote counts."""
+
+    def __init__(self, counts: list[tuple[int, int, int]], rounds: int = ROUNDS):
+        """counts: (rank, votes, n)."""
+        self.reliability: dict[int, np.ndarray] = {}  # by kind: labeler, false or true, vote
+        self.prior: dict[int, float] = {}
+        self.posterior: dict[tuple[int, int], float] = {}
+        for kind in sorted({r for r, _, _ in counts}):
+            votes, n = (np.array(x) for x in zip(*((v, n) for r, v, n in counts if r == kind)))
+            vote = np.stack([votes // 3**i % 3 for i in range(len(LABELERS))], axis=1)
+            p = self._of_kind(kind, vote, n, rounds) if (vote == YES).any() else np.zeros(len(n))
+            self.posterior |= {(kind, int(v)): float(x) for v, x in zip(votes, p)}
+
+    def _of_kind(self, kind: int, vote: np.ndarray, n: np.ndarray, rounds: int) -> np.ndarray:
+        p = sigmoid((vote - 1).sum(axis=1).astype(float))  # the labelers' majority, to start from
         for _ in range(rounds):
             table = np.empty((len(LABELERS), 2, 3))
             for i in range(len(LABELERS)):
@@ -180,48 +223,58 @@ class Aggregation:
             table[:, 1, YES] = np.maximum(table[:, 1, YES], table[:, 0, YES])
             table[:, 0, NO] = np.maximum(table[:, 0, NO], table[:, 1, NO])
             table /= table.sum(axis=2, keepdims=True)
-            prior = np.clip((n * p).sum() / n.sum(), 0.05, 0.95)
-            odds = np.log(prior / (1 - prior)) + sum(np.log(table[i, 1, vote[:, i]] / table[i, 0, vote[:, i]]) for i in range(len(LABELERS)))
-            p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        self.reliability = table
-        x = self.features(rank, vote, shape)
-        w, mass = np.zeros(x.shape[1]), n / n.sum()
-        for _ in range(400):
-            q = 1 / (1 + np.exp(-x @ w))
-            hess = (x * (mass * np.maximum(q * (1 - q), 1e-3))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-            move = np.linalg.solve(hess, x.T @ (mass * (p - q)) - 1e-3 * w)
-            w += np.clip(move, -1, 1)
-            if np.abs(move).max() < 1e-8:
-                break
-        self.weights = w
-        good = 1 / (1 + np.exp(-x @ w)) >= 0.5
-        self.kept = {(int(r), int(v), int(s)) for r, v, s, g in zip(rank, votes, shape, good) if g}
-
-    @staticmethod
-    def features(rank: np.ndarray, vote: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        kinds = (rank[:, None] == [RANK[k] for k in ADDED]).astype(float)
-        return np.concatenate([(vote == YES).astype(float), (vote == NO).astype(float), kinds, (shape & 1)[:, None], (shape >> 1)[:, None], np.ones((len(rank), 1))], axis=1)
-
-
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row."""
+            prior = float(np.clip((n * p).sum() / n.sum(), 0.05, 0.95))
+            p = sigmoid(np.log(prior / (1 - prior)) + sum(np.log(table[i, 1, vote[:, i]] / table[i, 0, vote[:, i]]) for i in range(len(LABELERS))))
+        self.reliability[kind], self.prior[kind] = table, prior
+        return p
+
+
+def classifier(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Weights of a logistic model of posteriors p by rows of feature numbers x."""
+    w, m, v = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES)
+    if not len(x):
+        return w
+    for step in range(1, STEPS + 1):
+        off = (sigmoid(w[x].sum(axis=1)) - p) / len(x)
+        grad = np.bincount(x.ravel(), np.repeat(off, x.shape[1]), FEATURES) + DECAY * w
+        m += 0.1 * (grad - m)
+        v += 0.01 * (grad * grad - v)
+        w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return w
+
+
+def learnt_names(docs: DataFrame) -> frozenset[str]:
+    """The gazetteer: last words of names after titles, the NAMES_MOST most frequent of those seen NAMES_SEEN times."""
+    found = docs.select(F.explode(F.regexp_extract_all("text", F.lit(TITLED), F.lit(1))).alias("name"))
+    often = found.groupBy("name").count().where(F.col("count") >= NAMES_SEEN).orderBy(F.desc("count"), "name").limit(NAMES_MOST)
+    return frozenset(r["name"] for r in often.collect())
+
+
+def scan(docs: DataFrame, names: frozenset[str] = frozenset()) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row. names: a gazetteer of surnames to add
+    to the learnt one; it is sent to executors, so the caller bounds it."""
+    spark = for_texts(docs).sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    names = [*BASE, *ADDED]
+    kinds = [*BASE, *ADDED]
+    known = spark.sparkContext.broadcast(learnt_names(docs) | names)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, loose = [], []
             for t in batch.column(1).to_pylist():
                 base.append(base_spans(t or ""))
-                loose.append(candidates(t or "", base[-1]))
+                loose.append(candidates(t or "", base[-1], known.value))
             flat = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[x for s in b for x in s] for b in base], flat), pa.array([[x for s in c for x in s] for c in loose], flat)], names=["doc_id", "base", "loose"])
 
-    found = written(for_texts(docs).select("doc_id", "text").mapInArrow(find, f"doc_id {id_type}, base array<int>, loose array<int>"))
-    # Five numbers a candidate: start, rank, end, votes, shape.
-    each = found.where(F.size("loose") > 0).select(F.explode(F.expr("transform(sequence(0, size(loose) div 5 - 1), i -> struct(loose[5 * i + 1] as rank, loose[5 * i + 3] as votes, loose[5 * i + 4] as shape))")).alias("c"))
-    counts = each.groupBy("c.rank", "c.votes", "c.shape").count().collect()  # at most kinds x 81 x 4 rows
-    kept = Aggregation(sorted((r["rank"], r["votes"], r["shape"], r["count"]) for r in counts)).kept
+    found = written(docs.select("doc_id", "text").mapInArrow(find, f"doc_id {id_type}, base array<int>, loose array<int>"))
+    each = found.where(F.size("loose") > 0).select(F.xxhash64("doc_id").alias("h"), F.explode(F.expr(f"transform(sequence(0, size(loose) div {WIDTH} - 1), i -> slice(loose, {WIDTH} * i + 1, {WIDTH}))")).alias("c"))
+    counts = each.groupBy(F.expr("c[1]").alias("rank"), F.expr("c[3]").alias("votes")).count().collect()  # at most kinds x 3 ** labelers rows
+    em = Aggregation(sorted((r["rank"], r["votes"], r["count"]) for r in counts))
+    rate = min(1_000_000, -(-1_000_000 * SAMPLE // max(1, sum(r["count"] for r in counts))))
+    picked = sorted(tuple(r["c"]) for r in each.where(F.expr(f"pmod(xxhash64(h, c[0]), 1000000) < {rate}")).select("c").collect())
+    weights = spark.sparkContext.broadcast(classifier(np.array([c[4:] for c in picked], np.int64).reshape(-1, SLOTS), np.array([em.posterior[c[1], c[3]] for c in picked])))
+    voted = frozenset(em.reliability)  # kinds with a vote for any candidate
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,13 +283,15 @@ def scan(docs: DataFrame) -> DataFrame:
                 spans = list(zip(b[0::3], b[1::3], b[2::3]))
                 for k in range(len(BASE)):
                     n[k].append(sum(s[1] == k for s in spans))
-                sha.append(hashlib.sha256(_told(spans, names).encode()).hexdigest())
-                more = [(c[i], c[i + 1], c[i + 2]) for i in range(0, len(c), 5) if (c[i + 1], c[i + 3], c[i + 4]) in kept]
-                text.append(_told(sorted(spans + more), names))
+                sha.append(hashlib.sha256(_told(spans, kinds).encode()).hexdigest())
+                loose = np.array(c, np.int64).reshape(-1, WIDTH)
+                good = weights.value[loose[:, 4:]].sum(axis=1) > 0 if len(loose) else []
+                more = [(x[0], x[1], x[2]) for x, g in zip(loose.tolist(), good) if g and x[1] in voted]
+                text.append(_told(sorted(spans + more), kinds))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in n), pa.array(sha, pa.string()), pa.array(text, pa.string())], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
     return found.mapInArrow(tell, f"doc_id {id_type}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string")
 
 
-def _told(spans: list[tuple[int, int, int]], names: list[str]) -> str:
-    return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+def _told(spans: list[tuple[int, int, int]], kinds: list[str]) -> str:
+    return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)

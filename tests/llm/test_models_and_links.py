@@ -165,6 +165,93 @@ def test_reliable_votes_add_spans(spark):
     assert weak_pii.scan(frame.limit(0)).count() == 0
 
 
+def plain_em(rows, rounds):
+    """EM for one kind over single candidates (tuples of votes): reliabilities, prior and posteriors."""
+    m, yes, no = len(weak_pii.LABELERS), weak_pii.YES, weak_pii.NO
+    p = [1 / (1 + math.exp(-sum(v - 1 for v in r))) for r in rows]
+    for _ in range(rounds):
+        table = []
+        for i in range(m):
+            t = [[1 + sum((x if y else 1 - x) for r, x in zip(rows, p) if r[i] == v) for v in range(3)] for y in (0, 1)]
+            t = [[a / sum(u) for a in u] for u in t]
+            t[1][yes], t[0][no] = max(t[1][yes], t[0][yes]), max(t[0][no], t[1][no])
+            table.append([[a / sum(u) for a in u] for u in t])
+        prior = min(0.95, max(0.05, sum(p) / len(p)))
+        p = [1 / (1 + (1 - prior) / prior * math.prod(table[i][0][v] / table[i][1][v] for i, v in enumerate(r))) for r in rows]
+    return table, prior, p
+
+
+def test_em_equals_a_plain_version():
+    rng = random.Random(4)
+    counts = collections.Counter()
+    rows = {4: [], 7: []}
+    for kind in rows:
+        for _ in range(300):
+            true = rng.random() < 0.4
+            votes = tuple(rng.choices((2, 1, 0), (6, 3, 1) if true else (1, 4, 3))[0] for _ in weak_pii.LABELERS)
+            rows[kind].append(votes)
+            counts[kind, sum(v * 3**i for i, v in enumerate(votes))] += 1
+    silent = sum(3**i for i in range(len(weak_pii.LABELERS)))
+    got = weak_pii.Aggregation(sorted([(k, v, n) for (k, v), n in counts.items()] + [(5, silent, 9)]), rounds=25)
+    for kind, own in rows.items():
+        table, prior, p = plain_em(own, 25)
+        assert np.allclose(got.reliability[kind], table, rtol=1e-9) and math.isclose(got.prior[kind], prior, rel_tol=1e-9)
+        for votes, x in zip(own, p):
+            assert math.isclose(got.posterior[kind, sum(v * 3**i for i, v in enumerate(votes))], x, rel_tol=1e-9, abs_tol=1e-12)
+    assert got.posterior[5, silent] == 0 and 5 not in got.reliability  # no vote for it: never added
+    assert weak_pii.Aggregation([]).posterior == {}
+
+
+def planted_pii(rng):
+    """Texts with the spans that are personal data, by kind; the other candidates look alike but aren't."""
+    iban = lambda ok: "DE" + next(f"{c:02d}" for c in range(2, 99) if (int("370400440532013000131400") + c) % 97 == (1 if ok else 5)) + " 3704 0044 0532 0130 00"
+    surnames = ["Kowalski", "Lindgren", "Moreau"]
+    pick = [
+        ("local_phone", lambda k: (f"please call {rng.choice(['me', 'us', 'Ann'])} at my phone ", f"415-555-{2000 + k}", " any day")),
+        ("local_phone", lambda k: ("you can ring ", f"415 555 {2000 + k}", " any day")),  # no cue word: the classifier's
+        (None, lambda k: ("the part ", f"415-555-{2000 + k}", "% in stock")),
+        ("national_id", lambda k: ("with ssn ", f"123-45-{1000 + k}", " on file")),
+        (None, lambda k: ("page ", f"000-45-{1000 + k}", " is lost")),
+        ("iban", lambda k: ("pay to account ", iban(True), " today")),
+        (None, lambda k: ("see section ", iban(False), " there")),
+        ("birth_date", lambda k: ("she was born ", f"{1 + k % 28}.{1 + k % 12}.19{10 + k % 89}", ", they say")),
+        (None, lambda k: ("a release of version ", f"{1 + k % 28}.{1 + k % 12}.1899", " came")),
+        ("spelled_email", lambda k: ("write to ", f"user{k} [at] mail{k} [dot] org", " soon")),
+        ("person", lambda k: ("we met ", f"Dr. Anna {rng.choice(surnames)}", " there")),
+        ("person", lambda k: ("we met ", f"Eva {rng.choice(surnames)}", " there")),  # only the learnt gazetteer knows
+    ]
+    texts, truth = [], set()
+    for k in range(600):
+        kind, make = pick[k % len(pick)]
+        before, span, after = make(k)
+        lead = "words that say little " * rng.randint(0, 3)
+        if rng.random() < 0.2 and kind == "local_phone" and "ring" not in before:
+            before = "call and ring "
+        texts.append(lead + before + span + after)
+        if kind:
+            truth.add((k, kind, len(lead + before), len(lead + before + span)))
+    return texts, truth
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    texts, truth = planted_pii(random.Random(12))
+    added = set()
+    for r in weak_pii.scan(docs(spark, texts)).collect():
+        for x in filter(None, r["spans"].split(",")):
+            kind, a, b = x.split(":")
+            if kind in weak_pii.ADDED:
+                added.add((r["doc_id"], kind, int(a), int(b)))
+    hit = len(added & truth)
+    assert hit / len(added) >= 0.95 and hit / len(truth) >= 0.9, (sorted(added - truth)[:5], sorted(truth - added)[:5], hit, len(added), len(truth))
+    for kind in weak_pii.ADDED:
+        assert sum(x[1] == kind for x in added & truth) >= 0.5 * sum(x[1] == kind for x in truth), kind
+
+
+def test_no_votes_for_a_kind_add_nothing(spark):
+    got = weak_pii.scan(docs(spark, [f"it was on 1.1.{3000 + k} and so" for k in range(20)])).collect()
+    assert all(r["spans"] == "" for r in got)
+
+
 # ---- language
 
 
