@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..sources.tables import table
+from ..sources.tables import register, table
 
 
 @F.pandas_udf(DoubleType())
@@ -49,7 +52,65 @@ def user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", discounted("p_retailprice", "p_size").alias("price"))
 
 
-QUERIES = {f.__name__: f for f in (text_functions, date_functions, json_functions, vector_functions, exploded_words, user_function)}
+def map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    by_user = kinds.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    often = F.map_filter("m", lambda k, v: v >= 10)
+    return by_user.select(
+        "user_id", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("kinds"), F.coalesce(F.try_element_at("m", F.lit("click")), F.lit(0)).alias("clicks"),
+        F.size(often).cast("bigint").alias("often"), F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("events"),
+    )
+
+
+def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, p = F.col("l_quantity"), F.col("l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", F.round(F.sqrt(p), 6).alias("root"), F.round(F.log(q + 1), 8).alias("log"), F.round(F.pow(q, F.lit(1.5)), 4).alias("power"), F.floor(p / 7).cast("bigint").alias("low"), F.ceil(p / 7).cast("bigint").alias("high"),
+        F.pmod(F.col("l_orderkey"), F.lit(7)).cast("bigint").alias("rest"), F.greatest("l_discount", "l_tax").alias("most"), F.round(F.sin("l_tax") + F.atan2("l_tax", "l_quantity"), 8).alias("angle"), F.signum(q - 25).cast("bigint").alias("side"), F.shiftleft(F.col("l_linenumber").cast("bigint"), 3).alias("shifted"),
+    )
+
+
+def variant_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.parse_json(F.concat(F.lit('{"p": '), F.col("props"), F.lit(', "tags": ["a", "'), F.col("event_type"), F.lit('"]}')))
+    return table(spark, sf_dir, "events").withColumn("v", v).select(
+        "event_id", F.variant_get("v", "$.p.k", "bigint").alias("k"), F.variant_get("v", "$.tags[1]", "string").alias("tag"), F.try_variant_get("v", "$.none", "int").alias("none"), F.schema_of_variant("v").like("OBJECT%").alias("is_object"),
+    )
+
+
+@F.pandas_udf(DoubleType())
+def geometric_mean(value: pd.Series) -> float:
+    """An aggregate function over a group's Arrow column; a group must fit into a worker."""
+    return float(np.exp(np.log1p(value).mean()))
+
+
+def grouped_user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(geometric_mean("value").alias("g")).select("user_id", F.round("g", 6).alias("g"))
+
+
+def grouped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function from a group's frame to rows."""
+
+    def shares(orders: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"o_orderkey": orders["o_orderkey"], "share": (orders["o_totalprice"] / orders["o_totalprice"].sum()).round(8)})
+
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice").groupBy("o_custkey").applyInPandas(shares, "o_orderkey long, share double")
+
+
+class Letters:
+    """A table function: the distinct letters of a word with their counts."""
+
+    def eval(self, word: str) -> Iterator[tuple[str, int]]:
+        for letter in sorted(set(word)):
+            yield letter, word.count(letter)
+
+
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.udtf.register("brindle_letters", F.udtf(Letters, returnType="letter string, n int"))
+    register(spark, sf_dir, "part")
+    return spark.sql("SELECT letter, sum(n) AS n, count(*) AS parts FROM part, LATERAL brindle_letters(p_type) GROUP BY letter")
+
+
+QUERIES = {f.__name__: f for f in (text_functions, date_functions, json_functions, vector_functions, exploded_words, user_function, map_functions, math_functions, variant_functions, grouped_user_function, grouped_frames, table_function)}
 SQL = {
     "text_functions": """
 SELECT doc_id, length(text) AS n, md5(text) AS md5, lower(substring(text, 1, 12)) AS head, len(string_split(text, ' ')) AS parts,
@@ -65,6 +126,23 @@ SELECT vec_id, len(embedding) AS size, round(list_sum(list_transform(embedding,
 """,
     "exploded_words": """
 SELECT lang, length(word) AS n, count(*) AS words FROM (SELECT lang, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents) WHERE word <> '' GROUP BY ALL
+""",
+    "map_functions": """
+SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS kinds, CAST(coalesce(sum(n) FILTER (event_type = 'click'), 0) AS BIGINT) AS clicks,
+  count(*) FILTER (n >= 10) AS often, CAST(sum(n) AS BIGINT) AS events
+FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id
+""",
+    "math_functions": """
+SELECT l_orderkey, l_partkey, round(sqrt(l_extendedprice), 6) AS root, round(ln(l_quantity + 1), 8) AS log, round(pow(l_quantity, 1.5), 4) AS power,
+  CAST(floor(l_extendedprice / 7) AS BIGINT) AS low, CAST(ceil(l_extendedprice / 7) AS BIGINT) AS high, l_orderkey % 7 AS rest, greatest(l_discount, l_tax) AS most,
+  round(sin(l_tax) + atan2(l_tax, l_quantity), 8) AS angle, CAST(sign(l_quantity - 25) AS BIGINT) AS side, CAST(l_linenumber AS BIGINT) << 3 AS shifted FROM lineitem
+""",
+    "variant_functions": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS tag, CAST(NULL AS INTEGER) AS none, true AS is_object FROM events",
+    "grouped_user_function": "SELECT user_id, round(exp(avg(ln(value + 1))), 6) AS g FROM events GROUP BY user_id",
+    "grouped_frames": "SELECT o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 8) AS share FROM orders",
+    "table_function": """
+SELECT letter, CAST(sum(n) AS BIGINT) AS n, count(*) AS parts FROM (
+  SELECT p_partkey, letter, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(p_type, '')) AS letter FROM part) WHERE letter <> '' GROUP BY ALL) GROUP BY letter
 """,
     "user_function": "SELECT p_partkey, round(p_retailprice * (1 - p_size / 1000), 4) AS price FROM part",
 }

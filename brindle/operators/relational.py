@@ -109,9 +109,44 @@ def orders_with_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("o_orderkey")
 
 
+def not_in(left: DataFrame, key: str, right: DataFrame, listed: str) -> DataFrame:
+    """The rows of left for which `key NOT IN (SELECT listed FROM right)` is true: none if the list holds a null, and none
+    with a null key unless the list is empty. A null-aware anti join would have to broadcast the whole list; this takes a
+    plain anti join and two counts of the list."""
+    facts = right.agg(F.count("*").alias("n"), F.count_if(F.col(listed).isNull()).alias("nulls"))
+    apart = left.join(right.select(F.col(listed).alias("__listed")), F.col(key) == F.col("__listed"), "left_anti")
+    return apart.where((facts.select("nulls").scalar() == 0) & (F.col(key).isNotNull() | (facts.select("n").scalar() == 0)))
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def orders_without_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey", "o_orderstatus")
+    return not_in(table(spark, sf_dir, "orders"), "o_orderkey", table(spark, sf_dir, "lineitem"), "l_orderkey").select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 10)")
+def orders_of_small_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 10")
+    return table(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT CASE WHEN l_quantity < 49 THEN l_orderkey END FROM lineitem)")
+def not_in_a_list_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No row at all: the list holds nulls."""
+    listed = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_quantity") < 49, F.col("l_orderkey")).alias("k"))
+    return not_in(table(spark, sf_dir, "orders"), "o_orderkey", listed, "k").select("o_orderkey")
+
+
+BANDS = [("debt", -1000.0, 0.0), ("low", 0.0, 3000.0), ("high", 3000.0, 10000.0), ("top", 9000.0, 10000.0)]
+
+
+@query("""
+SELECT c_custkey, band FROM customer JOIN (VALUES ('debt', -1000, 0), ('low', 0, 3000), ('high', 3000, 10000), ('top', 9000, 10000)) AS b(band, low, high)
+  ON c_acctbal >= low AND c_acctbal < high
+""")
+def balance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A theta join without any equality; its other side is the literal table of bands, and so has a known size."""
+    bands = spark.createDataFrame(BANDS, "band string, low double, high double")
+    return table(spark, sf_dir, "customer").join(F.broadcast(bands), F.expr("c_acctbal >= low and c_acctbal < high")).select("c_custkey", "band")
 
 
 @query("""
@@ -133,6 +168,12 @@ def dearer_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.expr("a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_retailprice < b.p_retailprice")).select(F.col("a.p_partkey").alias("cheap"), F.col("b.p_partkey").alias("dear"))
 
 
+@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def regions_by_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cross join of two dimension tables."""
+    return table(spark, sf_dir, "region").select("r_name").crossJoin(table(spark, sf_dir, "nation").select("n_name"))
+
+
 @query("SELECT r_name, band FROM region CROSS JOIN (SELECT unnest(['low', 'mid', 'high']) AS band)")
 def region_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select("r_name", F.explode(F.array(F.lit("low"), F.lit("mid"), F.lit("high"))).alias("band"))
