@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import register, table
+from .temporal import sessionized
 
 
 def order_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +42,8 @@ def running_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of a user's events with gaps of at most thirty minutes."""
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.coalesce(F.col("ts") > F.lag("ts").over(by) + F.expr("interval 30 minutes"), F.lit(True))).cast("int").alias("new"))
-    numbered = events.withColumn("session", F.sum("new").over(by))
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    numbered = sessionized(events, "user_id", "ts", "event_id", 30 * 60)
     return numbered.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
