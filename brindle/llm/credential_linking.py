@@ -11,18 +11,24 @@ is an interval join on buckets of SCOPE code points; each bucket is first reduce
 to the first and last place of each role, which decide the question exactly, so
 no pairs are made.
 
-Defined cases: null texts are empty; rows that repeat give the same spans each;
-a null doc_id is kept; extra columns are ignored.
+The scope is measured from the start of a part to the start of the other.
+
+Defined cases: null texts are empty; a text of any length and number of matches
+costs time in proportion to them; rows that repeat give the same spans each; a null
+doc_id is kept; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import for_texts, written
 
 SCOPE = 240
+CHUNK = 64
 VALUE = "[A-Za-z0-9+/_.=-]"
 #: kind -> (pattern, group whose length counts, least length), in the order of the report.
 BASE = {
@@ -40,20 +46,35 @@ RANK = {kind: i for i, kind in enumerate([*BASE, *WEAK])}
 SPAN = "array<struct<start: int, rank: int, end: int>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums of an array, in chunks of CHUNK: no array that grows by one is copied more than that many times."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int")), lambda c: F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK)))
+    grown = lambda xs, first: F.aggregate(xs, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
+    heads = grown(F.transform(chunks, total), F.lit(0))  # one more than there are chunks
+    return F.flatten(F.filter(F.zip_with(chunks, heads, lambda xs, head: F.slice(grown(xs, head), 2, F.size(xs))), lambda xs: xs.isNotNull()))
+
+
 def spans(text: Column, pattern: str, group: int, least: int, rank: int) -> Column:
     """Leftmost non-overlapping matches as structs (start, rank, end); those whose group is too short are left out."""
+    none = F.expr(f"cast(array() as {SPAN})")
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))  # one more than there are matches
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    each = F.zip_with(F.zip_with(whole, part, lambda w, p: F.struct(F.length(w).alias("w"), F.length(p).alias("p"))), F.slice(between, 1, F.size(whole)), lambda m, b: F.struct(b.alias("b"), m["w"].alias("w"), m["p"].alias("p")))
-    begun = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("found"))
+    each = F.zip_with(F.zip_with(whole, part, lambda w, p: F.struct(F.length(w).alias("w"), F.length(p).alias("p"))), between, lambda m, b: F.struct(b.alias("b"), m["w"].alias("w"), m["p"].alias("p")))
 
-    def step(acc: Column, m: Column) -> Column:
-        one = F.struct((acc["at"] + m["b"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + m["b"] + m["w"]).alias("end"))
-        return F.struct((acc["at"] + m["b"] + m["w"]).alias("at"), F.when(m["p"] >= least, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
+    def placed(each: Column) -> Column:
+        ends = _let(F.transform(each, lambda m: m["b"] + m["w"]), _running)
+        found = F.zip_with(each, ends, lambda m, end: F.when(m["p"] >= least, F.struct((end - m["w"]).alias("start"), F.lit(rank).alias("rank"), end.alias("end"))))
+        return F.filter(found, lambda x: x.isNotNull())
 
-    found = F.aggregate(each, begun, step, lambda acc: acc["found"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    found = _let(F.filter(each, lambda m: m["w"].isNotNull()), placed)
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
 
 
 def told(all_spans: Column) -> Column:
