@@ -25,7 +25,8 @@ deleted runs stay.
 
 Lines, and the shortest runs, count as equal by 64-bit hashes.
 
-Defined cases: null texts stay null and empty ones empty, without lines; lines
+Defined cases: null texts stay null and empty ones empty, without lines; texts of
+any length are whole, and cost time in proportion to their lines and deleted ranges; lines
 are split at newlines only; rows that repeat (same doc_id and text) count as one
 document and get the same result each; rows of one doc_id with different texts
 are different documents; a null doc_id comes first; extra columns are ignored by
@@ -146,7 +147,10 @@ def _with_text(docs: DataFrame) -> DataFrame:
     discard(marked, met, *scratch)
     # Always a sort-merge join: what is deleted grows with the input, so it isn't broadcast where it happens to be small.
     out = keyed.join(gone.hint("merge"), ["__brindle_k", "__brindle_h"], "left")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> not exists(__brindle_r, y -> i between y.a and y.b)), '\\n')")
+    # Between two deleted ranges, before the first and after the last, lines stay.
+    cuts = "concat(array(struct(-1 as a, -1 as b)), __brindle_r, array(struct(size(x) as a, 0 as b)))"
+    stay = "flatten(transform(sequence(0, size(c) - 2), k -> slice(x, c[k].b + 2, c[k + 1].a - c[k].b - 1)))"
+    kept = F.expr(f"array_join({_let("split(text, '\\n', -1)", 'x', _let(cuts, 'c', stay))}, '\\n')")
     return out.select(
         *(F.col(f"`{c}`") for c in docs.columns),
         F.when(F.col("__brindle_r").isNull(), F.col("text")).otherwise(kept).alias("__brindle_text"),

@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -305,6 +306,15 @@ def test_costs_make_a_code():
     assert np.exp2(-model.groups[0].cost[0].astype(float)).sum() <= 1 + 1e-6
 
 
+def test_languages_of_very_long_and_odd_texts(spark):
+    model = ppm_language.Model({"en": ["the cat sat on the mat and the dog ran to the house"] * 3, "fr": ["le chat est sur la table et le chien va à la maison"] * 3})
+    texts = ["the dog " * 200_000, "le chien " * 200_000, "z" * 1_000_000, "\x00\x01a", "日本語" * 1000]
+    got = ppm_language.identify(docs(spark, texts), model).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert (by[0]["__brindle_lang"], by[1]["__brindle_lang"]) == ("en", "fr") and all(0 < r["__brindle_score"] <= 1 for r in got)
+    assert by[0]["__brindle_bits"] < 3 and by[4]["__brindle_bits"] > ppm_language.REJECT_BITS  # a script that no language has
+
+
 def test_ties_go_to_the_smaller_language(spark):
     model = ppm_language.Model({"b": ["same text here"], "a": ["same text here"]})
     row = ppm_language.identify(docs(spark, ["same text"]), model).first()
@@ -440,6 +450,14 @@ def test_near_copies_odd_rows(spark):
     assert multi_order_jaccard.near_copies(frame.limit(0)).count() == 0
 
 
+def test_near_copies_of_very_long_texts(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(10**5)}" for _ in range(150_000)]
+    texts = [" ".join(long), " ".join(long[:-500] + ["x"] * 20), " ".join(long[:60_000]), "a" * 500_000, "a" * 500_000, "b c " * 100_000]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in multi_order_jaccard.near_copies(docs(spark, texts)).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5} and got[3][0] == 1 and got[5][0] == 2 and got[0][0] > 149_000
+
+
 def test_near_copies_link_through_a_null_id(spark):
     words = [f"w{i}" for i in range(100)]
     texts = [" ".join(words), " ".join(words[8:]), " ".join(words[16:] + ["x0", "x1", "x2", "x3", "x4", "x5"])]
@@ -492,6 +510,16 @@ def test_secrets_equal_brute_force(spark):
     assert credential_linking.scan(frame.limit(0)).count() == 0
 
 
+def test_secrets_of_texts_with_many_matches(spark):
+    texts = ["password=abcdef12 user=bob " * n for n in (63, 64, 65, 128, 129)] + ["x " * 50_000 + "token=abcdef " * 20_000]
+    names = list(credential_linking.RANK)
+    began = time.time()
+    for r in credential_linking.scan(docs(spark, texts)).collect():
+        want = brute_secrets(texts[r["doc_id"]])
+        assert r["n_assign"] == len(want) and r["base_sha256"] == hashlib.sha256(",".join(f"{names[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+    assert time.time() - began < 60
+
+
 def test_secret_scan_runs_no_python(spark):
     frame = credential_linking.scan(docs(spark, ["user=bob pwd=hunter22"]))
     plan = frame._jdf.queryExecution().executedPlan().toString()

@@ -227,6 +227,23 @@ def test_no_long_run_of_lines_stays_twice(spark, seed):
         assert r["text"] == "\n".join(x for p, x in enumerate(texts[i].split("\n")) if p not in want[i] | rule[i])
 
 
+def test_lines_of_very_long_texts(spark):
+    rng = random.Random(4)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(8))
+    shared = [line() for _ in range(20)]
+    long = [x for k in range(2000) for x in ([line()] if k % 50 else [line(), *shared])]
+    texts = ["\n".join(shared), "\n".join(long), "x " * 300_000, "\n".join(["x " * 300_000, "tail"]), "a" * 1_000_000, "\n" * 200_000]
+    got = {r["doc_id"]: r for r in winnowed_lines.deduplicated(docs(spark, texts)).collect()}
+    assert got[0]["text"] == texts[0] and got[1]["text"] == "\n".join(x for x in long if x not in set(shared)) and got[1]["n_removed"] == 40 * 20
+    assert got[3]["text"] == "tail" and all(got[i]["text"] == texts[i] for i in (2, 4, 5))
+
+
+def test_line_dedup_runs_no_python(spark):
+    frame = winnowed_lines.deduplicated(docs(spark, ["a b\nc d"] * 3))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_lines_odd_rows(spark):
     block = "\n".join(" ".join(f"w{i}{j}" for j in range(20)) for i in range(5))
     rows = [(1, block), (1, block), (2, block), (None, block), (3, None), (4, ""), (5, "\n\n")]
@@ -334,6 +351,14 @@ def test_a_long_item_found_whole_is_quick():
     assert [(x["longest"], x["longest_item"], x["longest_at"]) for x in found[:2]] == [(20_000, "x", 2), (24_000, "y", 1)] and found[2]["longest"] == 20_000
 
 
+def test_decontamination_of_very_long_texts():
+    item = "one two three four five six seven eight nine ten"
+    items = suffix_decontamination.Items(["q"], [item], 10)
+    texts = ["w " * 400_000 + item + " w" * 10, "a" * 2_000_000, item.replace(" ", "  ")]
+    found = suffix_decontamination.scan_step(pa.array(texts), items)
+    assert [(x["n_words"], x["hits"], x["longest_at"]) for x in found] == [(400_020, [400_000, 400_010], 400_000), (1, [], None), (10, [0, 10], 0)]
+
+
 def test_blocks_run_one_python_node_a_stage(spark):
     rng = random.Random(2)
     items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(40)]
