@@ -211,13 +211,13 @@ class Trees:
         return out
 
 
-def train(docs: DataFrame, rows: int = ROWS) -> Model:
-    """Context trees from a bounded sample: rows whose hash falls under each language's share."""
+def sample(docs: DataFrame, rows: int = ROWS) -> dict[str, list[str]]:
+    """Training texts by language: of rows whose hash falls under each language's share, in the order of the hash."""
     known = for_texts(docs).where(f"text is not null and lang is not null and {crc_text('doc_id')} % 5 != 0").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     stretch = F.expr(f"substring(text, 1 + cast(pmod(h, greatest(1, length(text) - {STRETCH} + 1)) as int), {STRETCH})")
     per = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not per:
-        return Model({})
+        return {}
     share = F.create_map(*(F.lit(y) for k, n in per.items() for y in (k, min(1_000_000, -(-1_000_000 * rows // n)))))
     picked = known.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "h", stretch.alias("text")).collect()
     texts: dict[str, list[str]] = {}
@@ -226,7 +226,12 @@ def train(docs: DataFrame, rows: int = ROWS) -> Model:
         if size.get(r["lang"], 0) < BYTES:
             texts.setdefault(r["lang"], []).append(r["text"])
             size[r["lang"]] = size.get(r["lang"], 0) + len(r["text"].encode("utf-8", "surrogatepass"))
-    return Model(texts)
+    return texts
+
+
+def train(docs: DataFrame, rows: int = ROWS) -> Model:
+    """Context trees from a bounded sample."""
+    return Model(sample(docs, rows))
 
 
 def has_letter(text: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray:
