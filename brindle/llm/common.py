@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import remove, scratch_path
+
 #: Text bytes that one numpy step works on; a single longer text is a step of its own.
 STEP_BYTES = 4 << 20
 
@@ -46,37 +46,12 @@ def for_texts(df: DataFrame) -> DataFrame:
     return df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in local mode one in /tmp where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"/tmp/brindle-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(_remove, spark, base)
-    return base
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may be gone already; the folder is scratch
-        pass
-
-
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs one stage.
-    The table goes when the driver's Python exits."""
+    The table goes when the driver's Python exits, or with `discard`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
-    out = df.write.option("parquet.block.size", ROW_GROUP)
-    if partition_by:
-        out = out.partitionBy(*partition_by)
-    out.parquet(path)
-    atexit.register(_remove, spark, path)
+    path = scratch_path(spark)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.scratch_path = path
     return back
@@ -85,7 +60,7 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes scratch tables that nothing still to be computed reads."""
     for df in tables:
-        _remove(df.sparkSession, df.scratch_path)
+        remove(df.sparkSession, df.scratch_path)
 
 
 def crc_text(column: str) -> str:

@@ -305,7 +305,7 @@ _PLACES = f"9 * least({_N.format('x.place')} - {_POS.format('x.place')}, {_N.for
 def _placed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and h, a hash of the text, for every row."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = written(_sets(for_texts(docs), id_type), ["kind"])
+    found = written(_sets(for_texts(docs), id_type))
     rows = found.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node", "h")
     nodes = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("h").alias("h")))
     heavy = found.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= GLOBAL).orderBy(F.desc("n"), "node").limit(MOST).toArrow()
