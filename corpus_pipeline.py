@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import multi_order_jaccard, ppm_language, suffix_decontamination, suffix_sentencepiece, winnowed_lines
-from brindle.llm.common import table, written
+from brindle.llm.common import discard, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -56,7 +56,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        discard(*done)  # what the stage before has written is read
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
