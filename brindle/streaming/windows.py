@@ -21,10 +21,10 @@ def event_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 1) -> Data
     return source.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame) -> DataFrame:
+def drained(stream: DataFrame, path: str | None = None) -> DataFrame:
     """All that a stream gives in append mode for the input that is there now, through a Parquet table in the shared folder.
-    Its checkpoint stands beside it, so a stream that is stopped goes on without losing or repeating rows."""
-    path = scratch_path(stream.sparkSession)
+    Its checkpoint stands beside it, so a stream that is stopped goes on, from the same path, without losing or repeating rows."""
+    path = path or scratch_path(stream.sparkSession)
     stream.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/table")
 
@@ -106,11 +106,24 @@ def stream_clicks_then_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(bought_after_click(event_stream(spark, sf_dir)))
 
 
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of a stream that is stopped, and goes on with the first day's events a second time: all of them are
+    later than the watermark and count no more."""
+    path = scratch_path(spark)
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(f"{path}/in")
+    counted = hourly(spark.readStream.schema(events.schema).parquet(f"{path}/in"))
+    drained(counted, path)
+    first_day = events.where(F.col("ts") < events.agg(F.min("ts") + F.expr("interval 1 day")).scalar())
+    first_day.write.mode("append").parquet(f"{path}/in")
+    return drained(counted, path)
+
+
 def stream_user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(counted_by_user(event_stream(spark, sf_dir)), "user_id")
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly, stream_sliding, stream_sessions, stream_once, stream_clicks_then_purchases, stream_user_totals)}
+QUERIES = {f.__name__: f for f in (stream_hourly, stream_sliding, stream_sessions, stream_once, stream_clicks_then_purchases, stream_late, stream_user_totals)}
 #: A window is given out when the watermark, ten minutes behind the latest event, has passed its end.
 SQL = {
     "stream_hourly": """
@@ -132,6 +145,10 @@ GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM
     "stream_clicks_then_purchases": """
 SELECT a.user_id, a.event_id AS click_id, b.event_id AS buy_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click'
   AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR
+""",
+    "stream_late": """
+SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL
 """,
     "stream_user_totals": "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id",
 }
