@@ -9,7 +9,10 @@ prunes by length only. What is left is verified with exact integer products.
 
 Queries and vectors meet in a grid: query blocks x vector shards, with bounded
 cells. Each query first gets a lower bound of its k-th best score from SEEDS of
-the longest vectors (a bounded broadcast), so every cell prunes at once.
+the longest vectors (a bounded broadcast), so every cell prunes at once. Shards
+are cut by length: a query is not sent to shards whose longest vector cannot reach
+its bound, and a shard only to blocks with a query that is sent to it. Inside a
+cell, lengths are cut again to buckets.
 
 Defined cases: vectors null, empty, or with null or non-finite components take
 no part, nor do rows with null id; vectors of other dimensions than the query's
@@ -29,11 +32,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 TOP = 5
 #: The longest vectors, sent to all executors to seed the thresholds.
 SEEDS = 1024
 #: Rows of a grid cell's sides at most (in the mean).
 CELL_QUERIES, CELL_VECTORS = 2048, 8192
+#: Groups of lengths that shards are cut by, and pairs of a query block and a group up to which they are sent to all.
+GROUPS, PAIRS_MOST = 64, 1 << 18
 #: Rows of a bucket at least, and the ratio of lengths at which a bucket ends.
 BUCKET_ROWS, BUCKET_RATIO = 512, 0.9
 #: From this local threshold on, coordinates prune; this many of the query's largest are looked at.
@@ -168,15 +175,19 @@ def search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, v: np.ndarray, v
     return best
 
 
-def topk(embeddings: DataFrame, k: int = TOP, every: int = 50) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best vectors for each row whose vec_id is divisible by `every`."""
+def grid(embeddings: DataFrame, k: int = TOP, every: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Queries with their bounds, and vectors, by cell (a, g, h): query block, length group, shard of the group."""
     spark = embeddings.sparkSession
-    vectors = quantized(embeddings)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
+    vectors = quantized(embeddings).withColumn("length", length)
     asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    counts = vectors.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
-    across, down = max(1, -(-counts.q // CELL_QUERIES)), max(1, -(-counts.n // CELL_VECTORS))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
-    seeds = spark.sparkContext.broadcast([(r.vec_id, r.v) for r in vectors.orderBy(norm.desc(), "vec_id").limit(SEEDS).collect()])
+    cuts = F.percentile_approx("length", [i / GROUPS for i in range(1, GROUPS)], 10_000).alias("cuts")
+    facts = vectors.agg(F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q"), cuts).first()
+    across, bounds = max(1, -(-facts.q // CELL_QUERIES)), sorted(set(facts.cuts or []))
+    vectors = vectors.withColumn("g", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("length"))) if bounds else F.lit(0))
+    groups = [(r.g, r.n, r.longest) for r in vectors.groupBy("g").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()]  # at most GROUPS rows
+    shards = F.create_map(*(F.lit(x) for g, n, _ in groups for x in (g, -(-n // CELL_VECTORS)))) if groups else F.create_map(F.lit(0), F.lit(1))
+    seeds = spark.sparkContext.broadcast([(r.vec_id, r.v) for r in vectors.orderBy(F.desc("length"), "vec_id").limit(SEEDS).select("vec_id", "v").collect()])
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_size: dict[int, list] = {}
@@ -193,10 +204,23 @@ def topk(embeddings: DataFrame, k: int = TOP, every: int = 50) -> DataFrame:
                         floor[at : at + 256] = best.bound()
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(q), pa.list_(pa.float64())), pa.array(floor)], names=["vec_id", "v", "floor"])
 
-    asked = asked.mapInArrow(seeded, "vec_id long, v array<double>, floor double")
-    # The grid: query block a meets vector shard b in cell (a, b).
-    left = asked.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(across)).alias("a")).select("*", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("b"))
-    right = vectors.select("*", F.pmod(F.xxhash64("vec_id", "v"), F.lit(down)).cast("int").alias("b")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint"))).alias("a"))
+    asked = written(asked.mapInArrow(seeded, "vec_id long, v array<double>, floor double").withColumn("length", length))
+    # The grid: query block a meets shard h of the vectors of length group g in cell (a, g, h), if any of its queries can
+    # reach its bound there.
+    each = F.array(*(F.struct(F.lit(g).alias("g"), F.lit(longest).alias("longest")) for g, _, longest in groups)) if groups else F.array(F.struct(F.lit(0).alias("g"), F.lit(0.0).alias("longest")))
+    reached = F.filter(each, lambda x: ~(F.col("length") * x["longest"] * (1 + 1e-9) + 1e-6 < F.col("floor")))
+    left = asked.select("vec_id", "v", "floor", F.pmod(F.xxhash64("vec_id"), F.lit(across)).alias("a"), F.explode(F.transform(reached, lambda x: x["g"])).alias("g"))
+    right = vectors.select("vec_id", "v", "g", F.pmod(F.xxhash64("vec_id", "v"), shards[F.col("g")]).cast("int").alias("h"))
+    if across * len(groups) <= PAIRS_MOST:
+        wanted = left.select(F.col("a").alias("block"), F.col("g").alias("group")).distinct()
+        right = right.join(F.broadcast(wanted), F.col("g") == F.col("group")).select("vec_id", "v", "g", "h", F.col("block").alias("a"))
+    else:
+        right = right.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint"))).alias("a"))
+    return left.select("*", F.explode(F.sequence(F.lit(0), (shards[F.col("g")] - 1).cast("int"))).alias("h")), right
+
+
+def topk(embeddings: DataFrame, k: int = TOP, every: int = 50) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best vectors for each row whose vec_id is divisible by `every`."""
 
     def cell(key, qs: pa.Table, vs: pa.Table) -> pa.Table:
         got = [np.zeros(0, np.int64)] * 3
@@ -209,6 +233,7 @@ def topk(embeddings: DataFrame, k: int = TOP, every: int = 50) -> DataFrame:
                     got = [np.concatenate([x, y]) for x, y in zip(got, (q_ids[r], best.id[r, c], best.score[r, c]))]
         return pa.table(got, names=["query_id", "vec_id", "score"])
 
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(cell, OUT)
+    left, right = grid(embeddings, k, every)
+    found = left.groupBy("a", "g", "h").cogroup(right.groupBy("a", "g", "h")).applyInArrow(cell, OUT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -36,8 +36,9 @@ def brute_topk(rows, k, every):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_topk_equals_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, pairs", [(1, 1 << 18), (2, 1 << 18), (3, 0)])
+def test_topk_equals_brute_force(spark, seed, pairs, monkeypatch):
+    monkeypatch.setattr(norm_topk, "PAIRS_MOST", pairs)
     monkeypatch.setattr(norm_topk, "CELL_VECTORS", 100)
     monkeypatch.setattr(norm_topk, "CELL_QUERIES", 3)
     monkeypatch.setattr(norm_topk, "BUCKET_ROWS", 16)
@@ -52,6 +53,20 @@ def test_topk_equals_brute_force(spark, seed, monkeypatch):
     assert got == brute_topk(rows, 5, 50)
 
 
+def test_short_vectors_are_not_sent(spark, monkeypatch):
+    """Vectors of a length that no query can use are dropped before the shuffle."""
+    monkeypatch.setattr(norm_topk, "SEEDS", 50)
+    rng = np.random.default_rng(1)
+    unit = np.abs(rng.standard_normal((2000, 8)))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    rows = [(i, [float(x) for x in (4.0 if i % 10 == 0 else 0.1) * unit[i]], 0) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    queries, vectors = norm_topk.grid(frame)
+    assert vectors.count() < 300 and queries.select("vec_id").distinct().count() == 40
+    got = norm_topk.topk(frame)
+    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == brute_topk([r[:2] for r in rows], 5, 50)
+
+
 def test_topk_of_no_vectors(spark):
     assert norm_topk.topk(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
