@@ -1,20 +1,17 @@
 """Toxicity from subword-bag embeddings and a linear softmax, trained jointly.
 
 A word's vector is the mean of the vectors of its character n-grams (with word
-ends); a text's is the mean over its words; a softmax over a linear layer gives
-the probability. A misspelling shares most n-grams with the word it hides, so it
+ends); a text's is the mean over its words, those without any known n-gram left
+out; a softmax over a linear layer gives the probability. A misspelling shares most n-grams with the word it hides, so it
 lands near it unseen. Embeddings and layer are trained together in numpy on a
 bounded sample of labelled rows. As everything before the softmax is linear, a
 text's logit is the mean of its words' values, so scoring needs one number for
-each n-gram bucket.
+each n-gram bucket. N-grams that lean to neither class in the sample have no
+vector: with one for each, the few thousand rows are learnt by heart (README).
 
 Each class is sampled at its own rate; the logit is then moved by the log of what
 that did to the odds, so a score means the same at every size of the table.
 
-Long texts dilute a few words in a mean, so a text is scored in segments of
-SEGMENT words, each a bag of its own, and a text is as toxic as its worst one;
-training lets the label of a toxic text speak for that segment.
-
 Defined cases: null and empty texts and texts without words score as the bias of
 an empty bag; without labelled rows of both classes every text scores the share
 of toxic ones (0 if none); a document labelled twice is toxic if any label says
@@ -35,7 +32,7 @@ from .common import LOWER, crc_text, for_texts, span_hashes, steps, text_buffers
 #: Labelled rows of each class that training may use, in expectation (picked by hash).
 SAMPLE = 3000
 STRETCH = 1 << 17  # code points that training takes of a row: a stretch that begins at a place given by a hash
-BUCKETS, DIM, SIZES, SEGMENT = 1 << 18, 4, (4, 5, 6, 8), 48
+BUCKETS, DIM, SIZES = 1 << 18, 4, (4, 5, 6, 8)
 STEPS, BATCH, RATE, DECAY = 400, 256, 0.04, 1e-5  # of gradient descent
 SCALE = 16.0  # of the mean vector before the layer
 MIN_TEXTS, Z, PRIOR = 4, 4.5, 8  # see train(); neutral words added to each bag
@@ -46,7 +43,7 @@ _FOLD[65:91] = np.arange(97, 123)
 
 
 class Bags:
-    """N-gram buckets of texts: by word, and words by segment and text."""
+    """N-gram buckets of texts by word, and words by text."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
         n = len(at) - 1
@@ -56,23 +53,14 @@ class Bags:
         place[at[:-1] + np.arange(n)] = False
         x[: len(data) + n][place] = _FOLD[data]
         gap = x == 32
-        begin = np.flatnonzero(gap[:-1] & ~gap[1:])  # the space before each word
+        self.starts = begin = np.flatnonzero(gap[:-1] & ~gap[1:])  # the space before each word
         row = np.searchsorted(at[:-1] + np.arange(n), begin, "right") - 1
-        self.starts = begin
+        self.new = np.ones(len(begin), bool)
         if len(begin):  # a word just repeated counts once
             end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
             name = span_hashes(x, begin + 1, end)
-            new = np.concatenate([[True], (name[1:] != name[:-1]) | (row[1:] != row[:-1])])
-            self.new, begin, row = new, begin[new], row[new]
-        self.n, self.words, self.row = n, begin, row
-        count = np.bincount(row, minlength=n) if len(row) else np.zeros(n, np.int64)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        # Segments of SEGMENT words; a short last one joins its neighbour.
-        parts = np.maximum(1, count // SEGMENT)
-        first = np.cumsum(parts) - parts
-        self.segment = first[row] + np.minimum(within // SEGMENT, parts[row] - 1) if len(row) else row
-        self.segments, self.owner = int(parts.sum()), np.repeat(np.arange(n), parts)
-        self.x, self.gap = x, gap
+            self.new[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
+        self.n, self.row, self.x, self.gap = n, row[self.new], x, gap
 
     def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each n-gram size: the bucket at every byte, and whether an n-gram of one word starts there."""
@@ -90,27 +78,22 @@ class Bags:
                 yield ((cut * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - 18)).astype(np.int32), ok & ~(self.gap[:size] & self.gap[n - 1 : n - 1 + size])
 
     def logits(self, value: np.ndarray, bias: float) -> np.ndarray:
-        """Of each text: the highest of its segments' mean word values, plus the bias."""
+        """Of each text: the mean of its words' values, plus the bias."""
         out = np.full(self.n, bias)
-        if not len(self.words):
+        if not len(self.row):
             return out
-        total, number = np.zeros(len(self.x) - 8, np.float32), np.zeros(len(self.x) - 8, np.int32)
+        total, number, known = (np.zeros(len(self.x) - 8, kind) for kind in (np.float32, np.int32, np.int32))
         for bucket, ok in self.grams():
-            total += np.where(ok, value[bucket], np.float32(0))
+            own = np.where(ok, value[bucket], np.float32(0))
+            total += own
             number += ok
+            known |= own != 0
         word = np.add.reduceat(total, self.starts, dtype=np.float64)[self.new] / np.maximum(1, np.add.reduceat(number, self.starts)[self.new])
-        size = np.bincount(self.segment, minlength=self.segments)
-        mean = np.bincount(self.segment, word, minlength=self.segments) / (size + PRIOR)
-        some = np.flatnonzero(np.bincount(self.row, minlength=self.n))
-        worst = np.full(self.n, -np.inf)
-        np.maximum.at(worst, self.owner[size > 0], mean[size > 0])
-        out[some] = worst[some] + bias
-        return out
+        known = np.maximum.reduceat(known, self.starts)[self.new]
+        return out + np.bincount(self.row, word, self.n) / (np.bincount(self.row, known, self.n) + PRIOR)
 
     def sparse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Segment, bucket and weight of all n-grams, so that the segment's mean is a weighted sum."""
-        if not len(self.words):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        """Word, bucket and weight in the word's mean of all n-grams."""
         places, buckets = [], []
         for bucket, ok in self.grams():
             p = np.flatnonzero(ok)
@@ -118,13 +101,9 @@ class Bags:
             buckets.append(bucket[p])
         p, b = np.concatenate(places), np.concatenate(buckets).astype(np.int64)
         word = np.searchsorted(self.starts, p, "right") - 1
-        p, b, word = p[self.new[word]], b[self.new[word]], (np.cumsum(self.new) - 1)[word[self.new[word]]]
-        per = np.bincount(word, minlength=len(self.words))
-        size = np.bincount(self.segment, minlength=self.segments)
-        seg = self.segment[word]
-        key, inverse = np.unique(seg * BUCKETS + b, return_inverse=True)
-        weight = np.bincount(inverse, 1.0 / (per[word] * (size[seg] + PRIOR)))
-        return key // BUCKETS, key % BUCKETS, weight
+        kept = self.new[word] if len(word) else np.zeros(0, bool)
+        b, word = b[kept], (np.cumsum(self.new) - 1)[word[kept]]
+        return word, b, 1.0 / np.bincount(word, minlength=len(self.row))[word] if len(word) else np.zeros(0)
 
 
 def _chunks(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, Bags]]:
@@ -153,26 +132,25 @@ def train(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     y, n = np.asarray(toxic, np.float32), len(texts)
     every, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for low, bags in _chunks(texts):
-        seg, bucket, _ = bags.sparse()
-        text, gram = np.divmod(np.unique(bags.owner[seg] * BUCKETS + bucket), BUCKETS)
+        word, bucket, _ = bags.sparse()
+        text, gram = np.divmod(np.unique(bags.row[word] * BUCKETS + bucket), BUCKETS)
         every += np.bincount(gram, minlength=BUCKETS)
         bad += np.bincount(gram, y[low + text], BUCKETS)
     lean = np.abs(bad - share * every) / np.sqrt(np.maximum(share * (1 - share) * every * (1 - every / n), 1e-9))
     leaning = (lean >= Z) & (every >= MIN_TEXTS)
-    parts, segments, owner = [], 0, []
+    parts = []
     for low, bags in _chunks(texts):
-        seg, bucket, weight = bags.sparse()
+        word, bucket, weight = bags.sparse()
         kept = leaning[bucket]
-        parts.append((seg[kept] + segments, bucket[kept], (weight[kept] * SCALE).astype(np.float32)))
-        owner.append(bags.owner + low)
-        segments += bags.segments
-    seg, bucket, weight = (np.concatenate(x) for x in zip(*parts))
-    owner = np.concatenate(owner)
+        word, bucket, weight = word[kept], bucket[kept], weight[kept]
+        words = np.bincount(bags.row[np.unique(word)], minlength=bags.n) + PRIOR  # the known ones of each text
+        key, where = np.unique(bags.row[word] * BUCKETS + bucket, return_inverse=True)
+        parts.append((key // BUCKETS + low, key % BUCKETS, (np.bincount(where, weight, len(key)) * SCALE / words[key // BUCKETS]).astype(np.float32)))
+    text, bucket, weight = (np.concatenate(x) for x in zip(*parts))
     used, bucket = np.unique(bucket, return_inverse=True)
     if not len(used):
         return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
-    first = np.searchsorted(seg, np.arange(segments + 1))
-    of_text = np.searchsorted(owner, np.arange(n + 1))
+    first = np.searchsorted(text, np.arange(n + 1))
     rng = np.random.default_rng(7)
     emb = (rng.standard_normal((len(used), DIM)) * 0.05).astype(np.float32)
     layer, bias = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32), np.zeros(2, np.float32)
@@ -185,24 +163,13 @@ def train(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, float]:
         rate = RATE * (1 - 0.9 * epoch / epochs)
         for low in range(0, n, BATCH):
             docs = order[low : low + BATCH]
-            segs = np.concatenate([np.arange(of_text[d], of_text[d + 1]) for d in docs])
-            entry = np.concatenate([np.arange(first[s], first[s + 1]) for s in segs])
-            local = np.repeat(np.arange(len(segs)), first[segs + 1] - first[segs])
+            size = first[docs + 1] - first[docs]
+            local = np.repeat(np.arange(len(docs)), size)
+            entry = np.arange(len(local)) - np.repeat(np.cumsum(size) - size, size) + first[docs][local]
             b, w = bucket[entry], weight[entry]
-            vec = np.stack([np.bincount(local, w * emb[b, k], minlength=len(segs)) for k in range(DIM)], axis=1).astype(np.float32)
+            vec = np.stack([np.bincount(local, w * emb[b, k], minlength=len(docs)) for k in range(DIM)], axis=1).astype(np.float32)
             out = vec @ layer + bias
-            p = sigmoid(out[:, 1] - out[:, 0]).astype(np.float32)
-            # The label is the worst segment's; every segment of a clean text is clean.
-            lead = np.concatenate([[0], np.cumsum(of_text[docs + 1] - of_text[docs])])
-            g = np.zeros(len(segs), np.float32)
-            for i, d in enumerate(docs):
-                part = slice(lead[i], lead[i + 1])
-                if y[d] and 10 * epoch >= epochs:
-                    k = lead[i] + int(p[part].argmax())
-                    g[k] = p[k] - 1
-                else:
-                    g[part] = (p[part] - y[d]) / (lead[i + 1] - lead[i])
-            g /= len(docs)
+            g = ((sigmoid(out[:, 1] - out[:, 0]) - y[docs]) / len(docs)).astype(np.float32)
             both = np.stack([-g, g], axis=1)
             back = both @ layer.T
             grads = [np.stack([np.bincount(b, w * back[local, k], minlength=len(used)) for k in range(DIM)], axis=1).astype(np.float32) + DECAY * emb, vec.T @ both + DECAY * layer, both.sum(axis=0)]
