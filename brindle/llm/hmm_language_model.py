@@ -407,7 +407,8 @@ def scored(docs: DataFrame) -> DataFrame:
     for r in top:
         rest[:, r["class"]] -= r["c"], 1
     lex = Lexicon(totals["n"] + ends, totals["v"] + (ends > 0), ends, rest[0], rest[1], np.array([r["c"] for r in top], float))
-    answers = words.join(counted.select("word", "c"), "word", "left").join(F.broadcast(frequent), "word", "left")
+    # The distinct words of a partition are hashed, so the far more rows of all blocks need no sort.
+    answers = words.join(counted.select("word", "c").hint("shuffle_hash"), "word", "left").join(F.broadcast(frequent), "word", "left")
     answers = answers.select(F.col("block").alias("own"), "code", "class", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("symbol", F.lit(-1)).alias("symbol"))
     encoded = written(_encode(blocks, answers, spark.sparkContext.broadcast(lex), id_type))
     discard(table, counted)
