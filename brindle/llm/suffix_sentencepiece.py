@@ -42,7 +42,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # where neither a parameter nor t
 SPACE_MARK = "▁".encode()
 FAR = 1 << 30
 #: Text bytes of a step: its lattice takes about a hundred times as much for a moment.
-STEP = 3 << 19
+STEP = 1 << 20
 LONG_UNIT, SEGMENT = 1 << 11, 1 << 19
 
 
@@ -276,26 +276,32 @@ def encode_short(data: np.ndarray, at: np.ndarray, v: Vocabulary) -> tuple[np.nd
         m = length[odd]
         p = np.repeat(odd - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
         last[slot(p + 1, unit[p])] = v.byte_ids[data[p]]
-    # Edges by end, then longest first; ends are relaxed in the order of their place in the unit.
+    # Edges by the place of their end in the unit, then by end, then longest first. One key holds all three.
     end = start + width
     level = end - at[:-1][unit[start]]
-    if size < 1 << 27 and int(level.max(initial=0)) < 1 << 28:  # one key holds all three
-        order = np.argsort(level << 35 | end << 8 | (255 - width))
+    if size < 1 << 27 and int(level.max(initial=0)) < 1 << 28:
+        key = level << 35 | end << 8 | (255 - width)
+        order = np.argsort(key)
+        key, piece = key[order], piece[order]
+        level, end, start = key >> 35, (key >> 8) & ((1 << 27) - 1), ((key >> 8) & ((1 << 27) - 1)) - 255 + (key & 255)
+        del key, order, width
     else:
         order = np.lexsort((-width, end, level))
-    start, piece, end, level = start[order], piece[order], end[order], level[order]
+        start, piece, end, level = start[order], piece[order], end[order], level[order]
     own = unit[start] if len(start) else start
-    head = np.ones(len(end), bool)
-    head[1:] = end[1:] != end[:-1]
-    rank = np.arange(len(end)) - np.flatnonzero(head)[np.cumsum(head) - 1] if len(end) else end
+    start, end = slot(start, own), slot(end, own)
     cuts = np.append(np.flatnonzero(np.append(True, level[1:] != level[:-1])), len(level)) if len(level) else np.zeros(1, np.int64)
+    del own, level
     for a, b in zip(cuts[:-1], cuts[1:]):
-        s, e, p, r = slot(start[a:b], own[a:b]), slot(end[a:b], own[a:b]), piece[a:b], rank[a:b]
-        for k in range(int(r.max()) + 1):
-            now = np.flatnonzero((r == k) & (last[e] == -2) & (last[s] > -2))
-            if len(now):
-                ok = now[v.follows(last[s[now]], p[now].astype(np.int64))]
-                last[e[ok]] = p[ok]
+        before = last[start[a:b]]
+        live = np.flatnonzero((before > -2) & (last[end[a:b]] == -2))  # from places that are reached to such that are not yet
+        e, p, f = end[a:b][live], piece[a:b][live].astype(np.int64), before[live]
+        while len(e):  # the longest of each end that is left
+            first = np.append(True, e[1:] != e[:-1])
+            ok = v.follows(f[first], p[first])
+            last[e[first][ok]] = p[first][ok]
+            rest = ~first & (last[e] == -2)
+            e, p, f = e[rest], p[rest], f[rest]
     # Back from each unit's end.
     ids, whose = [], []
     where, live = at[1:] + np.arange(n), np.arange(n)
