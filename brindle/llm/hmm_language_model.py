@@ -45,7 +45,7 @@ ROUNDS = 6  # of Baum-Welch, each over all training texts
 WINDOW = 1 << 12  # longer texts are cut to windows of this many tokens, which transfer matrices join exactly
 SLICE = 1 << 18  # tokens of windows that a recursion holds at a time
 MIX = 1e-4  # share of an even spread in each state's moves: keeps short products of them from vanishing
-SCALED = 4  # tokens between two scalings
+SCALED, LEAST = 6, 1e-30  # tokens between two scalings; a token's unscaled mass below which a block is done again in doubles
 SYMBOLS = TOP + CLASSES + 1
 END = SYMBOLS - 1
 _CODEC = {"level": 1}
@@ -224,7 +224,7 @@ class Windows:
         at = np.full(len(self.size), -1)
         at[pick] = np.arange(len(pick))
         for own, begin in self.slices(pick, SLICE):
-            e = self.emit[:, self.tokens(own, begin)]
+            e = self.emit.take(self.tokens(own, begin), axis=1)
             x = np.repeat(np.eye(STATES, dtype=self.kind)[:, None, :], len(own), axis=1)  # state after, window, state before
             log = np.zeros((len(own), STATES))
             for t in range(len(begin) - 1):
@@ -271,23 +271,24 @@ class Windows:
         """Forward vectors after the windows picked, which begin their texts."""
         out = np.empty((STATES, len(self.size)))
         for own, begin in self.slices(pick, SLICE):
-            f = self.forward(own, begin, self.emit[:, self.tokens(own, begin)], self.p.start[:, None].repeat(len(own), 1))
+            f, _ = self.forward(begin, self.emit.take(self.tokens(own, begin), axis=1), self.p.start[:, None].repeat(len(own), 1))
             out[:, own] = f[:, begin[self.size[own] - 1] + np.arange(len(own))]
         return out[:, pick] / out[:, pick].sum(axis=0)
 
-    def forward(self, own: np.ndarray, begin: np.ndarray, e: np.ndarray, a: np.ndarray) -> np.ndarray:
-        """Forward vectors at all tokens of a slice, scaled now and then, from vectors a before the first."""
-        f = np.empty_like(e)
-        np.multiply(a.astype(self.kind), e[:, : len(own)], out=f[:, : len(own)])
+    def forward(self, begin: np.ndarray, e: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward vectors at all tokens of a slice from vectors a before the first, and what each was divided by."""
+        f, by = np.empty_like(e), np.ones(e.shape[1], self.kind)
+        np.multiply(a.astype(self.kind), e[:, : begin[1]], out=f[:, : begin[1]])
         for t in range(1, len(begin) - 1):
             low, high = begin[t], begin[t + 1]
-            n = high - low
-            x = self.turned @ f[:, begin[t - 1] : begin[t - 1] + n]
-            x *= e[:, low:high]
-            if t % SCALED == 0:
-                x /= x.sum(axis=0)
-            f[:, low:high] = x
-        return f
+            x = self.turned @ f[:, begin[t - 1] : begin[t - 1] + high - low]
+            if t % SCALED:
+                np.multiply(x, e[:, low:high], out=f[:, low:high])
+            else:
+                x *= e[:, low:high]
+                by[low:high] = x.sum(axis=0)
+                np.divide(x, by[low:high], out=f[:, low:high])
+        return f, by
 
     def backward(self, own: np.ndarray, begin: np.ndarray, e: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Backward vectors at all tokens of a slice, scaled now and then, from vectors b at the last."""
@@ -298,48 +299,46 @@ class Windows:
         for t in range(len(begin) - 3, -1, -1):
             low, high = begin[t + 1], begin[t + 2]
             n = high - low
-            x = self.move @ (e[:, low:high] * out[:, low:high])
+            x = np.matmul(self.move, e[:, low:high] * out[:, low:high], out=out[:, begin[t] : begin[t] + n])
             if t % SCALED == 0:
                 x /= x.sum(axis=0)
-            out[:, begin[t] : begin[t] + n] = x
         return out
 
 
-def expected(seq: np.ndarray, counts: np.ndarray, p: States) -> np.ndarray:
+def expected(seq: np.ndarray, counts: np.ndarray, p: States, kind: type = np.float32) -> np.ndarray:
     """Expected counts (as in `States.again`) over texts laid end to end, by forward-backward over whole texts."""
     total = np.zeros((SYMBOLS + STATES + 1, STATES))
     if not len(seq):
         return total
-    w = Windows(seq, counts, p)
+    w = Windows(seq, counts, p, kind)
     ahead, back = w.edges()
     for own, begin in w.slices(np.arange(len(w.size)), SLICE):
-        symbols = w.tokens(own, begin)
-        e = w.emit[:, symbols]
-        f, b = w.forward(own, begin, e, ahead[:, own]), w.backward(own, begin, e, back[:, own])
-        g = f * b
-        g /= g.sum(axis=0)
+        symbols, n = w.tokens(own, begin), len(own)
+        e = w.emit.take(symbols, axis=1)
+        (f, by), b = w.forward(begin, e, ahead[:, own]), w.backward(own, begin, e, back[:, own])
+        e *= b  # what comes with each token, seen from the states before it
+        b *= f
+        mass = b.sum(axis=0)
+        if kind is np.float32 and not mass.min() > LEAST:  # a text that contradicts the states at every step
+            return expected(seq, counts, p, np.float64)
+        b /= mass
         for j in range(STATES):
-            total[:SYMBOLS, j] += np.bincount(symbols, g[j], SYMBOLS)
+            total[:SYMBOLS, j] += np.bincount(symbols, b[j], SYMBOLS)
         starts = w.number[own] == 0
-        total[SYMBOLS + STATES] += g[:, : len(own)][:, starts].sum(axis=1)
-        # Moves: each token after a window's first, with the one before it; each window's first, with the window before.
-        e *= b
+        total[SYMBOLS + STATES] += b[:, :n][:, starts].sum(axis=1)
+        # Moves: each token after a window's first, with the one before it; each window's first, with the window before. A
+        # token's moves add up to one: their mass is that of its states, but for what its forward vector was divided by.
+        mass *= by
+        e /= mass
         live = np.diff(begin)
-        n = len(own)
         before = np.arange(n, len(symbols)) - np.repeat(live[:-1], live[1:])
-        total[SYMBOLS : SYMBOLS + STATES] += _moves(f[:, before], e[:, n:], w.move)
+        total[SYMBOLS : SYMBOLS + STATES] += w.move * (f.take(before, axis=1) @ e[:, n:].T)
         cut = np.flatnonzero(~starts)
         if len(cut):
-            total[SYMBOLS : SYMBOLS + STATES] += _moves(w.before[:, own[cut] - 1].astype(w.kind), e[:, cut], w.move)
+            total[SYMBOLS : SYMBOLS + STATES] += w.move * (w.before[:, own[cut] - 1].astype(w.kind) @ e[:, cut].T)
     return total
 
 
-def _moves(f: np.ndarray, coming: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Expected moves between the states of f and those that follow, each pair of columns one move in all."""
-    coming = coming / ((move.T @ f) * coming).sum(axis=0)
-    return move * (f @ coming.T)
-
-
 def likelihood(seq: np.ndarray, counts: np.ndarray, p: States) -> np.ndarray:
     """log10 of the exact likelihood of each of the texts laid end to end in seq."""
     out = np.zeros(len(counts))
@@ -348,7 +347,7 @@ def likelihood(seq: np.ndarray, counts: np.ndarray, p: States) -> np.ndarray:
     for own, begin in w.slices(np.arange(len(w.size)), SLICE):
         symbols = w.tokens(own, begin)
         a, log = ahead[:, own], np.zeros(len(own))
-        e = w.emit[:, symbols]
+        e = w.emit.take(symbols, axis=1)
         for t in range(len(begin) - 1):
             low, high = begin[t], begin[t + 1]
             a = a[:, : high - low] if t == 0 else w.turned @ a[:, : high - low]

@@ -74,6 +74,21 @@ def test_hmm_recursions_equal_plain_ones(monkeypatch, window, held):
     assert np.isclose(got[:n].sum(), counts.sum()) and np.isclose(got[n : n + hmm_language_model.STATES].sum(), (counts - 1).sum()) and np.isclose(got[n + hmm_language_model.STATES :].sum(), len(counts))
 
 
+def test_hmm_counts_of_texts_that_contradict_the_states():
+    """States that hardly ever change, and symbols that each want another one: products of floats would vanish."""
+    s, m = hmm_language_model.STATES, hmm_language_model.SYMBOLS
+    emit = np.full((m, s), 1e-12)
+    emit[np.arange(s), np.arange(s)] = 1.0
+    move = (1 - hmm_language_model.MIX) * np.eye(s) + hmm_language_model.MIX / s
+    p = hmm_language_model.States(np.full(s, 1 / s), move, emit / emit.sum(axis=0))
+    counts = np.array([40, 5000, 1])
+    seq = (np.arange(counts.sum()) % s).astype(np.int16)
+    logs, want = plain_counts(np.split(seq, np.cumsum(counts)[:-1]), p)
+    got = hmm_language_model.expected(seq, counts, p)
+    assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-4, atol=1e-5)
+    assert np.allclose(hmm_language_model.likelihood(seq, counts, p), logs, rtol=1e-10)
+
+
 def test_training_raises_the_likelihood():
     """Each round of Baum-Welch, from counts over texts that are longer than a window, is no worse than the one before."""
     rng = np.random.default_rng(4)
