@@ -50,13 +50,11 @@ def sessionized(events: DataFrame, key: str, time: str, order: str, gap: int, se
     over from one row for each key and bucket."""
     cut = events.withColumn("__bucket", _bucket(time, seconds))
     within = Window.partitionBy(key, "__bucket").orderBy(time, order)
-    edges = cut.groupBy(F.col(key).alias("__key"), F.col("__bucket").alias("__b")).agg(F.min(time).alias("__first"), F.max(time).alias("__last"))
     by = Window.partitionBy("__key").orderBy("__b")
     far = lambda now, before: F.coalesce(now > before + F.expr(f"interval {gap} seconds"), F.lit(True))
     own = cut.withColumn("__new", far(F.col(time), F.lag(time).over(within)))  # a bucket's first row counts as new here
-    begun = own.groupBy(F.col(key).alias("__key"), F.col("__bucket").alias("__b")).agg(F.count_if("__new").alias("__n"))
-    begun = begun.select(F.col("__key").alias("__k"), F.col("__b").alias("__c"), "__n")
-    edges = edges.join(begun, F.col("__key").eqNullSafe(F.col("__k")) & F.col("__b").eqNullSafe(F.col("__c"))).drop("__k", "__c").withColumn("__joins", ~far(F.col("__first"), F.lag("__last").over(by)))
+    edges = own.groupBy(F.col(key).alias("__key"), F.col("__bucket").alias("__b")).agg(F.min(time).alias("__first"), F.max(time).alias("__last"), F.count_if("__new").alias("__n"))
+    edges = edges.withColumn("__joins", ~far(F.col("__first"), F.lag("__last").over(by)))
     edges = edges.withColumn("__before", F.coalesce(F.sum(F.col("__n") - F.col("__joins").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = own.withColumn("__own", F.sum(F.col("__new").cast("int")).over(within))
     same = F.col(key).eqNullSafe(F.col("__key")) & F.col("__bucket").eqNullSafe(F.col("__b"))
