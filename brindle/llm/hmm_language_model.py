@@ -42,8 +42,8 @@ BLOCK_BYTES = 12 << 20
 PIECE_BYTES = 1 << 20  # of a block whose words are told apart at a time
 TOP, CLASSES, STATES = 2000, 512, 8
 ROUNDS = 6  # of Baum-Welch, each over all training texts
-WINDOW = 1 << 12  # longer texts are cut to windows of this many tokens, which transfer matrices join exactly
-SLICE = 1 << 18  # tokens of windows that a recursion holds at a time
+WINDOW = 1 << 11  # longer texts are cut to windows of this many tokens, which transfer matrices join exactly
+SLICE = 1 << 17  # tokens of windows that a recursion holds at a time
 MIX = 1e-4  # share of an even spread in each state's moves: keeps short products of them from vanishing
 SCALED, LEAST = 6, 1e-30  # tokens between two scalings; a token's unscaled mass below which a block is done again in doubles
 SYMBOLS = TOP + CLASSES + 1
