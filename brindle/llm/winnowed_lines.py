@@ -145,8 +145,9 @@ def _with_text(docs: DataFrame) -> DataFrame:
     repeated, scratch = _repeated(marked, met)
     gone = written(_deleted(marked, _diagonals(marked, met), repeated).select(F.col("k").alias("__brindle_k"), F.col("h").alias("__brindle_h"), F.col("r").alias("__brindle_r")))
     discard(marked, met, *scratch)
-    # Always a sort-merge join: what is deleted grows with the input, so it isn't broadcast where it happens to be small.
-    out = keyed.join(gone.hint("merge"), ["__brindle_k", "__brindle_h"], "left")
+    # What is deleted grows with the input, so it isn't broadcast where it happens to be small; a partition of it is hashed,
+    # and texts need no sort.
+    out = keyed.join(gone.hint("shuffle_hash"), ["__brindle_k", "__brindle_h"], "left")
     # Between two deleted ranges, before the first and after the last, lines stay.
     cuts = "concat(array(struct(-1 as a, -1 as b)), __brindle_r, array(struct(size(x) as a, 0 as b)))"
     stay = "flatten(transform(sequence(0, size(c) - 2), k -> slice(x, c[k].b + 2, c[k + 1].a - c[k].b - 1)))"
