@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UNSPACED, crc_text, discard, for_texts, span_hashes, steps, text_buffers, word_spans, written
+from .common import LOWER, UNSPACED, crc_text, discard, for_texts, span_hashes, steps, text_buffers, tidy, word_spans, written
 
 BLOCK_BYTES = 12 << 20
 PIECE_BYTES = 1 << 20  # of a block whose words are told apart at a time
@@ -116,7 +116,7 @@ def _blocks(docs: DataFrame, id_type: str) -> DataFrame:
 
     NAMES = ["kind", "block", "ids", "held", "counts", "codes", "word", "code", "class", "learnt"]
     schema = f"kind int, block long, ids array<{id_type}>, held binary, counts binary, codes binary, word long, code int, class int, learnt long"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 class Lexicon:
@@ -378,7 +378,7 @@ def _learn(encoded: DataFrame, unigram: np.ndarray) -> States:
                     total += expected(seq[own], counts[learn], sent.value)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), *(pa.array(total[:, j]) for j in range(STATES))], names=["cell", *columns])
 
-        parts = encoded.select("held", "counts", "symbols").mapInArrow(count, "cell int, " + ", ".join(f"{c} double" for c in columns))
+        parts = encoded.select("held", "counts", "symbols").mapInArrow(tidy(count), "cell int, " + ", ".join(f"{c} double" for c in columns))
         rows = parts.groupBy("cell").agg(*(F.sum(c).alias(c) for c in columns)).collect()  # SYMBOLS + STATES + 1 rows
         counts = np.zeros((SYMBOLS + STATES + 1, STATES))
         for r in rows:
@@ -422,4 +422,4 @@ def scored(docs: DataFrame) -> DataFrame:
                 value = likelihood(symbols, counts, sent.value) + lexical
                 yield pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(counts), pa.array(known), pa.array(np.full(len(counts), n)), pa.array(base), pa.array(value)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return encoded.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return encoded.mapInArrow(tidy(score), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UNSPACED, discard, for_texts, mix, span_hashes, steps, text_buffers, word_spans, written
+from .common import LOWER, UNSPACED, discard, for_texts, mix, span_hashes, steps, text_buffers, tidy, word_spans, written
 from .components import components
 
 WORDS = 5
@@ -121,7 +121,7 @@ def _sets(docs: DataFrame, id_type: str) -> DataFrame:
             yield often(parts, kind)
 
     names = ["kind", "doc_id", "n", "node", "h"]
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, f"kind int, doc_id {id_type}, n long, node long, h long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(tidy(run), f"kind int, doc_id {id_type}, n long, node long, h long")
 
 
 def ordered_prefix(x: np.ndarray, at: np.ndarray, heavy: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ def _postings(docs: DataFrame, heavy: np.ndarray, weight: np.ndarray) -> DataFra
                 own = slice(low, low + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(token[own].view(np.int64)), pa.array(node[owner[own]]), pa.array(n[owner[own]] << 32 | place[own]), pa.array(often[own])], names=["token", "node", "place", "often"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long, place long, often boolean")
+    return docs.select("text").mapInArrow(tidy(run), "token long, node long, place long, often boolean")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +215,7 @@ def _of_nodes(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, whole: bool)
                 first = [b""] * len(sets) if whole else prefixes(x, at)
                 yield pa.RecordBatch.from_arrays([pa.array(node_ids(x, at)), pa.array(np.diff(at)), pa.array(sets, pa.binary()), pa.array(first, pa.binary())], names=["node", "n", "set", "first"])
 
-    made = written(texts.mapInArrow(run, "node long, n long, set binary, first binary").dropDuplicates(["node"]))
+    made = written(texts.mapInArrow(tidy(run), "node long, n long, set binary, first binary").dropDuplicates(["node"]))
     sent.unpersist()
     return made
 
@@ -291,7 +291,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         sets = _of_nodes(docs, pairs, nodes, test is exact)
         one, two = (sets.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}{c}") for x in ("n", "set", "first"))) for c in "ab")
         met = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "seta", "setb", "firsta", "firstb")
-        left = written(met.mapInArrow(test, "a long, b long"))
+        left = written(met.mapInArrow(tidy(test), "a long, b long"))
         discard(pairs, sets)
         pairs = left
     return pairs
@@ -314,7 +314,7 @@ def _placed(docs: DataFrame) -> DataFrame:
     # One shuffle brings the rows of a token together; those of heavy tokens are spread, as they are known to be shared.
     postings = _postings(docs, token[order], weight[order])
     dealt = postings.repartition(F.col("token"), F.when(F.col("often"), F.xxhash64("node") % SPREAD).otherwise(0)).sortWithinPartitions("token", "node")
-    shared = written(dealt.mapInArrow(_shared, "token long, node long, place long").groupBy("token", "node").agg(F.min("place").alias("place")))
+    shared = written(dealt.mapInArrow(tidy(_shared), "token long, node long, place long").groupBy("token", "node").agg(F.min("place").alias("place")))
     # Every node of a group against its leader.
     lead = written(shared.groupBy("token").agg(F.min(F.struct(F.expr(_POS.format("place")).alias("p"), "node", "place")).alias("c"), F.count("*").alias("size")).where("size > 1"))
     leaders = lead.select("token", F.col("c.node").alias("lead"), F.col("c.place").alias("place"))

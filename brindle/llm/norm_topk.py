@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 TOP = 5
 #: The longest vectors, sent to all executors to seed the thresholds.
@@ -203,7 +203,7 @@ def grid(embeddings: DataFrame, k: int = TOP, every: int = 50) -> tuple[DataFram
                         floor[at : at + 256] = best.bound()
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(q), pa.list_(pa.float64())), pa.array(floor)], names=["vec_id", "v", "floor"])
 
-    asked = written(asked.mapInArrow(seeded, "vec_id long, v array<double>, floor double").withColumn("length", length))
+    asked = written(asked.mapInArrow(tidy(seeded), "vec_id long, v array<double>, floor double").withColumn("length", length))
     # The grid: query block a meets shard h of the vectors of length group g in cell (a, g, h), if any of its queries can
     # reach its bound there.
     each = F.array(*(F.struct(F.lit(g).alias("g"), F.lit(longest).alias("longest")) for g, _, longest in groups)) if groups else F.array(F.struct(F.lit(0).alias("g"), F.lit(0.0).alias("longest")))

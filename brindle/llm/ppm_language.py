@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, crc_text, for_texts, steps, text_buffers
+from .common import LOWER, crc_text, for_texts, steps, text_buffers, tidy
 
 ORDER = 4  # bytes of the longest n-gram: contexts of up to three bytes
 #: Training sample: rows of a language in expectation, and bytes of a language at most (rows in the order of a hash).
@@ -251,7 +251,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         names = np.array([*m.languages, "und"], object)
-        for batch in steps(batches, most=(8 << 20) // min(GROUP, max(4, len(m.languages)))):
+        for batch in steps(batches, most=(4 << 20) // min(GROUP, max(4, len(m.languages)))):
             text = batch.column(batch.schema.get_field_index("text"))
             data, at = text_buffers(text)
             letter = has_letter(text, data, at)
@@ -268,7 +268,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 names=[*batch.schema.names, *(f.name for f in added)],
             )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *added]))
 
 
 def predict(docs: DataFrame) -> DataFrame:

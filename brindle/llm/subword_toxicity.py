@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_text, for_texts, span_hashes, steps, text_buffers
+from .common import LOWER, crc_text, for_texts, span_hashes, steps, text_buffers, tidy
 
 #: Labelled rows of each class that training may use, in expectation (picked by hash).
 SAMPLE = 3000
@@ -212,5 +212,5 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             p = sigmoid(Bags(data, at).logits(v, b))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    out = docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select("doc_id", F.expr(f"{crc_text('doc_id')} % 5 = 0").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

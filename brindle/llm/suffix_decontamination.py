@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, discard, for_texts, steps, text_buffers, word_codes, word_spans, written
+from .common import ALNUM, LOWER, discard, for_texts, steps, text_buffers, tidy, word_codes, word_spans, written
 
 WINDOW = 10
 #: Bytes of benchmark text held at a time (in expectation; an item is never cut); a larger benchmark goes in several blocks.
@@ -254,7 +254,7 @@ def _scanned(docs: DataFrame, block: list[tuple[str, str]], window: int, met_onl
                 batch, got = batch.take(pa.array(some, pa.int64())), [got[k] for k in some]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, _FOUND)], names=[*batch.schema.names, "__brindle_found"])
 
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("__brindle_found", FOUND)])), sent
+    return docs.mapInArrow(tidy(scan), T.StructType([*docs.schema.fields, T.StructField("__brindle_found", FOUND)])), sent
 
 
 def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -305,7 +305,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
     OUT = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in (
         ("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()),
         ("longest_words", T.IntegerType()), ("longest_at", T.IntegerType()), ("longest_item", T.StringType())))])
-    return found.select("doc_id", "__brindle_found").mapInArrow(digest, OUT)
+    return found.select("doc_id", "__brindle_found").mapInArrow(tidy(digest), OUT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

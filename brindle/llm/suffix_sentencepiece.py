@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import for_texts, steps, text_buffers, word_codes
+from .common import for_texts, steps, text_buffers, tidy, word_codes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # where neither a parameter nor the setting names one
 SPACE_MARK = "▁".encode()
@@ -405,7 +405,7 @@ def encode_columns(docs: DataFrame, model: str | None = None) -> DataFrame:
                 names=[*batch.schema.names, *(f.name for f in added)],
             )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *added]))
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -425,4 +425,4 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decode_ids(ids, np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64), v), pa.string())], names=["doc_id", "text"])
 
     id_type = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", F.col("ids")).mapInArrow(run, f"doc_id {id_type}, text string")
+    return encoded.select("doc_id", F.col("ids")).mapInArrow(tidy(run), f"doc_id {id_type}, text string")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_texts, written
+from .common import for_texts, tidy, written
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("local_phone", "spelled_email", "national_id", "iban", "person", "birth_date")
@@ -267,7 +267,7 @@ def scan(docs: DataFrame, names: frozenset[str] = frozenset()) -> DataFrame:
             flat = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[x for s in b for x in s] for b in base], flat), pa.array([[x for s in c for x in s] for c in loose], flat)], names=["doc_id", "base", "loose"])
 
-    found = written(docs.select("doc_id", "text").mapInArrow(find, f"doc_id {id_type}, base array<int>, loose array<int>"))
+    found = written(docs.select("doc_id", "text").mapInArrow(tidy(find), f"doc_id {id_type}, base array<int>, loose array<int>"))
     each = found.where(F.size("loose") > 0).select(F.xxhash64("doc_id").alias("h"), F.explode(F.expr(f"transform(sequence(0, size(loose) div {WIDTH} - 1), i -> slice(loose, {WIDTH} * i + 1, {WIDTH}))")).alias("c"))
     counts = each.groupBy(F.expr("c[1]").alias("rank"), F.expr("c[3]").alias("votes")).count().collect()  # at most kinds x 3 ** labelers rows
     em = Aggregation(sorted((r["rank"], r["votes"], r["count"]) for r in counts))
@@ -290,7 +290,7 @@ def scan(docs: DataFrame, names: frozenset[str] = frozenset()) -> DataFrame:
                 text.append(_told(sorted(spans + more), kinds))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in n), pa.array(sha, pa.string()), pa.array(text, pa.string())], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
-    return found.mapInArrow(tell, f"doc_id {id_type}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string")
+    return found.mapInArrow(tidy(tell), f"doc_id {id_type}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string")
 
 
 def _told(spans: list[tuple[int, int, int]], kinds: list[str]) -> str:
