@@ -9,14 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.scratch import remove, scratch_path
+from ..sources.scratch import discard, written  # noqa: F401  (shared by all operators here)
 
 #: Text bytes that one numpy step works on; a single longer text is a step of its own.
 STEP_BYTES = 4 << 20
 
-#: Bytes of a row group of a scratch table, which a writer holds in memory.
-ROW_GROUP = 16 << 20
-
 #: A-Z to a-z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -47,23 +44,6 @@ def for_texts(df: DataFrame) -> DataFrame:
     return df
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs one stage.
-    The table goes when the driver's Python exits, or with `discard`."""
-    spark = df.sparkSession
-    path = scratch_path(spark)
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.scratch_path = path
-    return back
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes scratch tables that nothing still to be computed reads."""
-    for df in tables:
-        remove(df.sparkSession, df.scratch_path)
-
-
 def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """run for mapInArrow, giving free memory back to the system at its end: an idle Python worker, kept for the next
     task, otherwise holds what its largest step took."""

@@ -72,3 +72,38 @@ WITH RECURSIVE d AS (
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
 FROM d LEFT JOIN named USING (rid) LEFT JOIN comp USING (k)
 """
+
+#: crc32 of the UTF-8 bytes of w, bit by bit.
+_CRC32 = """xor(list_reduce(list_transform(range(1, octet_length(encode(w)) + 1), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i - 1, 2) AS BIGINT)),
+  lambda c, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384), xor(c, x)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+ORACLES["op11_importance_resampling"] = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+), raw AS (
+  SELECT rid, unnest(ws) AS w FROM d
+), target AS (
+  SELECT unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark
+), named AS MATERIALIZED (
+  SELECT w, {_CRC32} % 10000 AS b FROM (SELECT w FROM raw UNION SELECT w FROM target)
+), s AS (
+  SELECT b, count(*) AS s FROM raw JOIN named USING (w) GROUP BY b
+), t AS (
+  SELECT b, count(*) AS t FROM target JOIN named USING (w) GROUP BY b
+), n AS (
+  SELECT (SELECT count(*) FROM raw) AS s_all, (SELECT count(*) FROM target) AS t_all
+), gain AS (
+  SELECT b, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (s_all + 10000) / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (t_all + 10000)))) AS BIGINT) AS g
+  FROM s FULL JOIN t USING (b), n
+), weights AS (
+  SELECT rid, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM raw JOIN named USING (w) JOIN gain USING (b) GROUP BY rid
+), scored AS (
+  SELECT rid, doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((
+    CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (rid)
+), able AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN CAST(rank AS BIGINT) END AS rank
+FROM scored LEFT JOIN able USING (rid)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credential_linking, hmm_language_model, multi_order_jaccard, norm_topk, ppm_language, subword_toxicity, suffix_decontamination, suffix_sentencepiece, weak_pii, winnowed_lines
+from . import credential_linking, hmm_language_model, importance_resampling, multi_order_jaccard, norm_topk, ppm_language, subword_toxicity, suffix_decontamination, suffix_sentencepiece, weak_pii, winnowed_lines
 from .common import table
 from .oracles import ORACLES
 
@@ -50,5 +50,9 @@ def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credential_linking.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_norm_topk, op2_subword_toxicity, op3_suffix_sentencepiece, op4_winnowed_lines, op5_suffix_decontamination, op6_hmm_language_model, op7_weak_pii, op8_ppm_language, op9_multi_order_jaccard, op10_credential_linking)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_norm_topk, op2_subword_toxicity, op3_suffix_sentencepiece, op4_winnowed_lines, op5_suffix_decontamination, op6_hmm_language_model, op7_weak_pii, op8_ppm_language, op9_multi_order_jaccard, op10_credential_linking, op11_importance_resampling)}
 SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
