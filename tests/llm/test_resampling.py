@@ -61,7 +61,7 @@ def test_ranks_equal_a_plain_version(spark, run, most, percent):
 
 def test_drawn_texts_are_those_with_a_rank(spark):
     rows = corpus(random.Random(5), 200)
-    docs = spark.createDataFrame([(i, t, f"s{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, score string").repartition(3)
+    docs = spark.createDataFrame([(i, t, f"s{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, score string")
     bench = spark.createDataFrame([("alpha beta pi rho",)], "text string")
     ranks = [r for r in op.ranked(docs, bench, percent=30).collect() if r["rank"]]
     got = op.drawn(docs, bench, percent=30)
