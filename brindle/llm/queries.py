@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credential_linking, hmm_language_model, importance_resampling, multi_order_jaccard, norm_topk, ppm_language, subword_toxicity, suffix_decontamination, suffix_sentencepiece, sum_of_squares_packing, weak_pii, winnowed_lines
+from . import credential_linking, filter_audit, hmm_language_model, importance_resampling, multi_order_jaccard, norm_topk, ppm_language, subword_toxicity, suffix_decontamination, suffix_sentencepiece, sum_of_squares_packing, weak_pii, winnowed_lines
 from .common import table
 from .oracles import ORACLES
 
@@ -58,5 +58,9 @@ def op12_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sum_of_squares_packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_norm_topk, op2_subword_toxicity, op3_suffix_sentencepiece, op4_winnowed_lines, op5_suffix_decontamination, op6_hmm_language_model, op7_weak_pii, op8_ppm_language, op9_multi_order_jaccard, op10_credential_linking, op11_importance_resampling, op12_sum_of_squares_packing)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_norm_topk, op2_subword_toxicity, op3_suffix_sentencepiece, op4_winnowed_lines, op5_suffix_decontamination, op6_hmm_language_model, op7_weak_pii, op8_ppm_language, op9_multi_order_jaccard, op10_credential_linking, op11_importance_resampling, op12_sum_of_squares_packing, op13_filter_audit)}
 SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
