@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..functions import scalar
-from ..operators import aggregates, intervals, ordered, relational, skew, temporal, windows
+from ..operators import aggregates, intervals, ordered, relational, sketches, skew, temporal, windows
 from ..streaming import windows as streams
 
-_PARTS = (relational, aggregates, windows, temporal, ordered, intervals, skew, scalar, streams)
+_PARTS = (relational, aggregates, windows, temporal, ordered, intervals, skew, sketches, scalar, streams)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
