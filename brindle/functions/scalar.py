@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..sources.tables import register, table
+from .partial import GeometricMean, MiddleMagnitude, aggregate
 
 
 @F.pandas_udf(DoubleType())
@@ -77,14 +77,15 @@ def variant_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@F.pandas_udf(DoubleType())
-def geometric_mean(value: pd.Series) -> float:
-    """An aggregate function over a group's Arrow column; a group must fit into a worker."""
-    return float(np.exp(np.log1p(value).mean()))
+def grouped_user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user aggregate with partial states, so a user's events needn't fit into a worker."""
+    means = aggregate(table(spark, sf_dir, "events"), ["user_id"], ["value"], GeometricMean(), "g")
+    return means.select("user_id", F.round("g", 6).alias("g"))
 
 
-def grouped_user_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(geometric_mean("value").alias("g")).select("user_id", F.round("g", 6).alias("g"))
+def typical_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user aggregate whose state is a histogram: the middle magnitude of the lines' prices, by flag and supplier."""
+    return aggregate(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_suppkey"], ["l_extendedprice"], MiddleMagnitude(), "magnitude")
 
 
 def grouped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +111,7 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT letter, sum(n) AS n, count(*) AS parts FROM part, LATERAL brindle_letters(p_type) GROUP BY letter")
 
 
-QUERIES = {f.__name__: f for f in (text_functions, date_functions, json_functions, vector_functions, exploded_words, user_function, map_functions, math_functions, variant_functions, grouped_user_function, grouped_frames, table_function)}
+QUERIES = {f.__name__: f for f in (text_functions, date_functions, json_functions, vector_functions, exploded_words, user_function, map_functions, math_functions, variant_functions, grouped_user_function, typical_magnitudes, grouped_frames, table_function)}
 SQL = {
     "text_functions": """
 SELECT doc_id, length(text) AS n, md5(text) AS md5, lower(substring(text, 1, 12)) AS head, len(string_split(text, ' ')) AS parts,
@@ -139,6 +140,9 @@ SELECT l_orderkey, l_partkey, round(sqrt(l_extendedprice), 6) AS root, round(ln(
 """,
     "variant_functions": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS tag, CAST(NULL AS INTEGER) AS none, true AS is_object FROM events",
     "grouped_user_function": "SELECT user_id, round(exp(avg(ln(value + 1))), 6) AS g FROM events GROUP BY user_id",
+    "typical_magnitudes": """
+SELECT l_returnflag, l_suppkey, CAST(quantile_disc(m, 0.5) AS INTEGER) AS magnitude FROM (SELECT *, CAST(floor(log2(l_extendedprice)) + 1 AS INTEGER) AS m FROM lineitem) GROUP BY ALL
+""",
     "grouped_frames": "SELECT o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 8) AS share FROM orders",
     "table_function": """
 SELECT letter, CAST(sum(n) AS BIGINT) AS n, count(*) AS parts FROM (
