@@ -46,3 +46,15 @@ def test_sketches_are_close(spark, data):
     exact = {r[0]: r[1] for r in table(spark, data, "events").groupBy("event_type").agg(F.count_distinct("user_id")).collect()}
     for r in catalog.QUERIES["approximate_users"](spark, data).collect():
         assert abs(r["users"] - exact[r["event_type"]]) <= max(2, 0.1 * exact[r["event_type"]])
+
+
+def test_sketched_medians_are_close(spark, data):
+    """The rank of the sketch's median among the values is within its stated accuracy (1 in 10,000) and one value."""
+    from pyspark.sql import functions as F
+
+    from brindle.sources.tables import table
+
+    events = table(spark, data, "events")
+    found = catalog.QUERIES["approximate_users"](spark, data)
+    rows = events.join(found, "event_type").groupBy("event_type").agg(F.avg((F.col("value") <= F.col("med")).cast("int")).alias("upto"), F.avg((F.col("value") < F.col("med")).cast("int")).alias("below"), F.count("*").alias("n")).collect()
+    assert rows and all(r["below"] <= 0.5 + 1e-4 + 1 / r["n"] and r["upto"] >= 0.5 - 1e-4 - 1 / r["n"] for r in rows)
