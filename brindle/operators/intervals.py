@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import written
 from ..sources.tables import table
 from .registry import Registry
 from .temporal import sessionized
@@ -119,15 +120,15 @@ def overlap_join(left: DataFrame, left_span: tuple[str, str], right: DataFrame,
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of a user's events with gaps of at most six hours."""
+    """Runs of a user's events with gaps of at most two hours, written, as a join reads each side three times."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    numbered = sessionized(events, "user_id", "ts", "event_id", 6 * 3600)
-    return numbered.groupBy("user_id", "session").agg(F.min("event_id").alias("id"), F.min("ts").alias("low"), F.max("ts").alias("high"))
+    numbered = sessionized(events, "user_id", "ts", "event_id", 2 * 3600)
+    return written(numbered.groupBy("user_id", "session").agg(F.min("event_id").alias("id"), F.min("ts").alias("low"), F.max("ts").alias("high")))
 
 
 _SESSIONS = """
 WITH n AS (
-  SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events
+  SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events
 ), s AS (
   SELECT min(event_id) AS id, user_id, min(ts) AS low, max(ts) AS high
   FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM n) GROUP BY user_id, session
