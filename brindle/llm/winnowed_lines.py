@@ -104,14 +104,17 @@ def _diagonals(marked: DataFrame, met: DataFrame) -> DataFrame:
 def _repeated(marked: DataFrame, met: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """k, h and r: the range of line places of each shortest run, from a line on or up to one, that occurred before; and
     the scratch tables that it reads."""
-    seen = met.groupBy("k", "h").agg(F.collect_list(F.expr("i - 1")).alias("q"))
+    seen = met.groupBy("k", "h").agg(F.array_sort(F.collect_set(F.expr("i - 1"))).alias("q"))
     runs = marked.select("k", "h", "id", "z").join(seen, ["k", "h"])
     # Runs up to a line that are also the shortest from their first line on are there already.
     every = f"""concat(
         transform(filter(transform(on, (r, i) -> struct(r as r, i as a)), y -> y.r.n >= {RUN_WORDS}), y -> struct(y.r.g as g, y.a as a, y.a + y.r.m - 1 as b)),
         transform(filter(transform(up, (r, i) -> struct(r as r, size(z) - i - r.m as a)), y -> y.r.n >= {RUN_WORDS} and get(on, y.a).m <> y.r.m), y -> struct(y.r.g as g, y.a as a, y.a + y.r.m - 1 as b)))"""
-    held = f"transform(filter({every}, y -> exists(q, i -> i between y.a and y.b)), y -> struct(y.g as g, get(z, y.a).p as a, get(z, y.b).p as b))"
-    held = _let(_runs(RUN_WORDS, True), "on", _let("reverse(z)", "back", _let(_runs(RUN_WORDS, True, "back", 43), "up", held)))
+    # before[j]: how many of the fingerprints q start above line j, laid out from the gaps between them.
+    gap = "if(t = size(q), size(z), q[t]) - if(t = 0, -1, q[t - 1])"
+    before = f"flatten(transform(sequence(0, size(q)), t -> array_repeat(t, {gap})))"
+    held = f"transform(filter({every}, y -> before[y.b + 1] > before[y.a]), y -> struct(y.g as g, get(z, y.a).p as a, get(z, y.b).p as b))"
+    held = _let(before, "before", _let(_runs(RUN_WORDS, True), "on", _let("reverse(z)", "back", _let(_runs(RUN_WORDS, True, "back", 43), "up", held))))
     runs = written(runs.select("k", "h", "id", F.explode(F.expr(held)).alias("y")).select("k", "h", "id", "y.g", "y.a", "y.b"))
     first = runs.groupBy("g").agg(F.min(F.struct("id", "h", "k", "a")).alias("f"), F.count("*").alias("n")).where("n > 1")
     first = written(first.select("g", F.col("f.h").alias("h2"), F.col("f.k").alias("k2"), F.col("f.a").alias("a2")))
@@ -123,17 +126,19 @@ def _deleted(marked: DataFrame, diagonals: DataFrame, repeated: DataFrame) -> Da
     later = marked.select("k", "h", F.expr("transform(z, y -> y.x)").alias("x"), F.expr("transform(z, y -> y.w)").alias("w"), F.expr("transform(z, y -> y.p)").alias("p"))
     earlier = marked.select(F.col("k").alias("k2"), F.col("h").alias("h2"), F.expr("transform(z, y -> y.x)").alias("x2"))
     faced = diagonals.join(later, ["k", "h"]).join(earlier, ["k2", "h2"])
-    # Along the diagonal: runs of equal lines, closed by a differing line or the end.
-    runs = F.expr(f"""aggregate(sequence(greatest(1, 1 + d), least(size(x), size(x2) + d) + 1), struct(0 as a, 0 as n, cast(array() as array<struct<a: int, b: int>>) as r),
-        (t, i) -> if(i <= least(size(x), size(x2) + d) and get(x, i - 1) = get(x2, i - d - 1),
-            struct(if(t.n = 0, i, t.a) as a, t.n + get(w, i - 1) as n, t.r as r),
-            struct(0 as a, 0 as n, if(t.n >= {GRAM_WORDS}, concat(t.r, array(struct(get(p, t.a - 1) as a, get(p, i - 2) as b))), t.r) as r)),
-        t -> t.r)""")
+    # Along the diagonal: the runs of equal lines between two cuts, which are differing lines or the end.
+    end = "least(size(x), size(x2) + d) + 1"
+    cuts = f"filter(sequence(greatest(1, 1 + d), {end}), i -> i = {end} or get(x, i - 1) <> get(x2, i - d - 1))"
+    between = "transform(cuts, (c, j) -> struct(if(j = 0, greatest(1, 1 + d), cuts[j - 1] + 1) as a, c - 1 as b))"
+    long = f"filter({between}, y -> y.b >= y.a and aggregate(slice(w, y.a, y.b - y.a + 1), 0, (n, v) -> n + v) >= {GRAM_WORDS})"
+    runs = F.expr(_let(cuts, "cuts", f"transform({long}, y -> struct(get(p, y.a - 1) as a, get(p, y.b - 1) as b))"))
     found = faced.where("least(size(x), size(x2) + d) >= greatest(1, 1 + d)").select("k", "h", runs.alias("r")).where("size(r) > 0")
     whole = found.unionByName(repeated).groupBy("k", "h").agg(F.array_sort(F.flatten(F.collect_set("r"))).alias("r"))
-    merged = F.expr("""aggregate(r, struct(-2 as a, -2 as b, cast(array() as array<struct<a: int, b: int>>) as r),
-        (t, y) -> if(y.a <= t.b + 1, struct(t.a as a, greatest(t.b, y.b) as b, t.r as r), struct(y.a as a, y.b as b, if(t.a < 0, t.r, concat(t.r, array(struct(t.a as a, t.b as b)))) as r)),
-        t -> concat(t.r, array(struct(t.a as a, t.b as b))))""")
+    # With starts and ends sorted each by itself, a merged range begins at a start beyond the end of rank one less, and ends
+    # at the end that stands before the next such start.
+    heads = "filter(sequence(0, size(r) - 1), j -> j = 0 or r[j].a > ends[j - 1] + 1)"
+    merged = "transform(heads, (j, t) -> struct(r[j].a as a, ends[coalesce(get(heads, t + 1), size(r)) - 1] as b))"
+    merged = F.expr(_let("array_sort(transform(r, y -> y.b))", "ends", _let(heads, "heads", merged)))
     return whole.select("k", "h", merged.alias("r"))
 
 
