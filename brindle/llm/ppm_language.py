@@ -8,7 +8,8 @@ seen costs the escape from there and eight bits, so the costs make a code. The
 shortest code names the language.
 
 Trees are held for GROUP languages at a time, so what is sent to executors and
-the work for a text grow in proportion to the number of languages.
+the work for a text grow in proportion to the number of languages. What they learn
+from is bounded for all languages together, and rows that repeat are learnt once.
 
 Letters are lower-cased (A-Z) and all runs of other ASCII bytes become one space
 before coding, so digits, marks and layout cost the same in every language.
@@ -25,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, crc_text, for_texts, steps, text_buffers, tidy
+from .common import LOWER, crc_text, discard, for_texts, steps, text_buffers, tidy, written
 
 ORDER = 4  # bytes of the longest n-gram: contexts of up to three bytes
 #: Training sample: rows of a language in expectation, and bytes of a language at most (rows in the order of a hash).
 ROWS, BYTES = 1000, 6 << 20
+TOTAL = 64 << 20  # bytes of all languages' samples; each has an even part of it where they are many
+HASHES = 1 << 40  # hashes are told apart this finely, so that the sample keeps its size however many rows there are
 #: Code points that training takes of a row: a stretch that begins at a place given by a hash.
 STRETCH = 1 << 15
 GROUP = 16  # languages whose trees share one table
@@ -212,20 +215,25 @@ class Trees:
 
 
 def sample(docs: DataFrame, rows: int = ROWS) -> dict[str, list[str]]:
-    """Training texts by language: of rows whose hash falls under each language's share, in the order of the hash."""
+    """Training texts by language: of rows whose hash falls under each language's share, in the order of the hash. Rows
+    that repeat count once, and bytes are bounded before anything reaches the driver: a language has at most BYTES, and
+    its even part of TOTAL where there are many, and half as much again by its last row."""
     known = for_texts(docs).where(f"text is not null and lang is not null and {crc_text('doc_id')} % 5 != 0").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    stretch = F.expr(f"substring(text, 1 + cast(pmod(h, greatest(1, length(text) - {STRETCH} + 1)) as int), {STRETCH})")
-    per = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not per:
+    per = written(known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")))
+    number = per.count()
+    if not number:
+        discard(per)
         return {}
-    share = F.create_map(*(F.lit(y) for k, n in per.items() for y in (k, min(1_000_000, -(-1_000_000 * rows // n)))))
-    picked = known.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "h", stretch.alias("text")).collect()
+    most = max(1, min(BYTES, TOTAL // number))
+    stretch = max(1, min(STRETCH, most // 8))  # code points, of four bytes at most
+    share = per.select("lang", F.least(F.lit(HASHES), F.ceil(F.lit(HASHES * rows) / F.greatest("n", F.lit(1)))).alias("share"))
+    cut = F.expr(f"substring(text, 1 + cast(pmod(h, greatest(1, length(text) - {stretch} + 1)) as int), {stretch})")
+    picked = known.withColumn("part", F.pmod("h", F.lit(HASHES))).join(share, "lang").where("part < share").select("lang", "h", cut.alias("text")).dropDuplicates(["lang", "h"])
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
     texts: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
-    for r in sorted(picked, key=lambda r: (r["h"], r["text"])):
-        if size.get(r["lang"], 0) < BYTES:
-            texts.setdefault(r["lang"], []).append(r["text"])
-            size[r["lang"]] = size.get(r["lang"], 0) + len(r["text"].encode("utf-8", "surrogatepass"))
+    for r in picked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most).select("lang", "h", "text").orderBy("lang", "h").collect():
+        texts.setdefault(r["lang"], []).append(r["text"])
+    discard(per)
     return texts
 
 

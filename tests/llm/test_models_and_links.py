@@ -356,6 +356,25 @@ def test_language_held_out_accuracy_and_odd_rows(spark, data):
     assert ppm_language.predict(frame.limit(0)).count() == 0
 
 
+def test_sample_is_bounded_for_many_languages_and_long_rows(spark, monkeypatch):
+    monkeypatch.setattr(ppm_language, "TOTAL", 1 << 20)
+    rows = [(10 * k + j, f"word{k} \u00e9\u65e5 " * 3000, f"l{k:03}") for k in range(300) for j in range(6)]
+    got = ppm_language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    size = {name: sum(len(t.encode()) for t in texts) for name, texts in got.items()}
+    most = ppm_language.TOTAL // len(size)
+    assert set(size) == {lang for i, _, lang in rows if crc(i) % 5} and len(size) > 290  # none is left out
+    assert all(0 < n <= 1.5 * most for n in size.values()) and sum(size.values()) <= 1.5 * ppm_language.TOTAL
+    assert all(len(t) <= most // 8 and t in f"word{int(name[1:])} \u00e9\u65e5 " * 3000 for name, texts in got.items() for t in texts)
+
+
+def test_rows_that_repeat_are_learnt_once(spark):
+    rows = [(1, "the cat sat", "en")] * 5000 + [(i, f"the dog {i} ran", "en") for i in range(2, 40)]
+    got = ppm_language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 10_000)
+    assert sorted(got["en"]) == sorted({t for i, t, _ in rows if crc(i) % 5})
+    few = ppm_language.sample(spark.createDataFrame(rows[5000:] * 50, "doc_id long, text string, lang string"), 8)
+    assert 0 < len(few["en"]) < 25
+
+
 # ---- near copies
 
 
