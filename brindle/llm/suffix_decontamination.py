@@ -6,7 +6,10 @@ in it, packed words at a time, which gives the range of document places where it
 next `WINDOW` words stand (all its words, if the item has fewer). A document is
 contaminated if there is such a place in it. A match starts where the words before
 differ, and is followed to its end once, so an item of any length that stands in a
-document as a whole costs time in proportion to its length.
+document as a whole costs time in proportion to its length. Places and items that
+share text (a template, a license) are followed together as nodes of a tree, so their
+pairs are not made; documents that hold the same sets of items share one digest. The
+list of ids that `found_in` tells by default is as long as the items a text holds.
 
 A benchmark above `BLOCK_BYTES` is searched block by block: one map pass over the
 documents for each, whose finds are written by a hash of the text and joined in the
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +46,14 @@ FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("hits", T.ArrayType(T.IntegerType())),  # word places: start, end, start, end ...
     T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("n_items", T.LongType()),  # these two where ids are asked for as a digest, instead of the list
+    T.StructField("items_sha256", T.StringType()),
     T.StructField("longest", T.IntegerType()),  # words of the longest verbatim match of a window's length or more
     T.StructField("longest_at", T.IntegerType()),  # its first word's place in the document
     T.StructField("longest_item", T.StringType()),
 ])
 _FOUND = pa.struct([
-    ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string())),
+    ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("n_items", pa.int64()), ("items_sha256", pa.string()),
     ("longest", pa.int32()), ("longest_at", pa.int32()), ("longest_item", pa.string()),
 ])
 
@@ -136,13 +141,28 @@ class Items:
         _, self.rank = np.unique(np.array(ids, object).astype(str), return_inverse=True) if ids else (None, np.zeros(0, np.int64))  # items of one id rank alike
 
 
-def scan_step(text: pa.Array, items: Items) -> list[dict]:
-    """What a benchmark block has in each text: hit places as flat start-end pairs, item ids, longest match."""
+def listed(names: list[str]) -> dict:
+    return {"items": names}
+
+
+def digested(names: list[str]) -> dict:
+    """In place of the ids: their number and the SHA-256 of them, comma-joined."""
+    return {"n_items": len(names), "items_sha256": hashlib.sha256(",".join(names).encode("utf-8", "surrogatepass")).hexdigest()}
+
+
+def untold(names: list[str]) -> dict:
+    return {}
+
+
+def scan_step(text: pa.Array, items: Items, tell: Callable[[list[str]], dict] = listed) -> list[dict]:
+    """What a benchmark block has in each text: hit places as flat start-end pairs, longest match, and what `tell` makes
+    of the item ids in order."""
     data, at = text_buffers(text)
     n, low = len(text), LOWER[data]
     s, e, row = word_spans(low, at, ALNUM)
     words = np.bincount(row, minlength=n) if len(s) else np.zeros(n, np.int64)
-    found = [{"n_words": w, "hits": [], "items": [], "longest": 0, "longest_at": None, "longest_item": None} for w in words.tolist()]
+    none = tell([])
+    found = [{"n_words": w, "hits": [], **none, "longest": 0, "longest_at": None, "longest_item": None} for w in words.tolist()]
     m = len(items.s)
     if not m or not len(s):
         return found
@@ -165,7 +185,7 @@ def scan_step(text: pa.Array, items: Items) -> list[dict]:
     place, window = spread(lo[one], hi[one])
     p, size = array.order[place], need[one][window]
     _mark(found, p, size, owner, start_of)
-    _name(found, items, owner[p], window, items.rank[items.row[w]], g)
+    _name(found, items, owner[p], window, items.rank[items.row[w]], g, tell)
     _lengthen(found, items, test, seq, p, size, window, w, g, owner, start_of)
     return found
 
@@ -182,8 +202,8 @@ def _mark(found: list[dict], p: np.ndarray, size: np.ndarray, owner: np.ndarray,
         found[d]["hits"] += [int(a - start_of[d]), int(b - start_of[d])]
 
 
-def _name(found: list[dict], items: Items, doc: np.ndarray, window: np.ndarray, rank: np.ndarray, g: np.ndarray) -> None:
-    """Sets `items`. Windows of the same items count as one, so a long shared passage is looked at once a document."""
+def _name(found: list[dict], items: Items, doc: np.ndarray, window: np.ndarray, rank: np.ndarray, g: np.ndarray, tell: Callable[[list[str]], dict]) -> None:
+    """Sets what `tell` makes of a text's item ids. Windows of the same items count as one, so a long shared passage is looked at once a document."""
     k = len(items.ids)
     pairs = np.unique(g * k + rank)
     begin = np.searchsorted(pairs // k, np.arange(int(g.max()) + 2))
@@ -191,10 +211,19 @@ def _name(found: list[dict], items: Items, doc: np.ndarray, window: np.ndarray,
     number = {x: i for i, x in enumerate(dict.fromkeys(of))}
     sets, kind = list(number), np.array([number[x] for x in of])
     names = dict(zip(items.rank.tolist(), items.ids))
+    kinds: dict[int, list[int]] = {}
     for key in np.unique(doc * len(sets) + kind[window]).tolist():
-        found[key // len(sets)]["items"] += sets[key % len(sets)]
-    for d in np.unique(doc).tolist():
-        found[d]["items"] = [names[r] for r in sorted(set(found[d]["items"]))]
+        kinds.setdefault(key // len(sets), []).append(key % len(sets))
+    told: dict[tuple[int, ...], dict] = {}  # documents with the same sets share one result; a set inside another adds nothing
+    as_sets = [frozenset(x) for x in sets]
+    for d, of_doc in kinds.items():
+        held: list[int] = []
+        for x in sorted(of_doc, key=lambda x: (-len(sets[x]), x)):
+            if not any(as_sets[x] <= as_sets[y] for y in held):
+                held.append(x)
+        if (key := tuple(held)) not in told:
+            told[key] = tell([names[r] for r in sorted({r for x in held for r in sets[x]})])
+        found[d] |= told[key]
 
 
 def _lengthen(found: list[dict], items: Items, test: np.ndarray, seq: np.ndarray, p: np.ndarray, size: np.ndarray, window: np.ndarray, w: np.ndarray, g: np.ndarray, owner: np.ndarray, start_of: np.ndarray) -> None:
@@ -214,9 +243,13 @@ def _lengthen(found: list[dict], items: Items, test: np.ndarray, seq: np.ndarray
     low, high = np.searchsorted(g, window, "left"), np.searchsorted(g, window, "right")
     skip_low = np.where(previous >= 0, np.searchsorted(keys, base + previous + 1, "left"), high)
     skip_high = np.where(previous >= 0, np.searchsorted(keys, base + previous + 1, "right"), high)
-    i, whose = spread(np.concatenate([low, skip_high]), np.concatenate([skip_low, high]))
-    start, place = w[i], p[whose % len(p)]
-    length = size[whose % len(p)].copy()
+    # Places with a window whose predecessors differ, one for each place; the items there are nodes of a tree, as far as
+    # several items meet several places, so their pairs are never made.
+    open_ = np.flatnonzero((skip_low > low) | (high > skip_high))
+    _, first, at_node = np.unique(g[low[open_]], return_index=True, return_inverse=True)
+    node_low, node_high = low[open_][first], high[open_][first]
+    down = Descent(items, test, seq, w, p[open_], size[open_], at_node, *spread(node_low, node_high))
+    start, place, length = down.pairs()
     stop, live, reach = items.stop[start], np.arange(len(start)), 4
     test, seq = np.concatenate([test, np.zeros(1, np.int64)]), np.concatenate([seq, np.zeros(1, np.int64)])
     while len(live):  # ever longer stretches of what goes on
@@ -228,7 +261,9 @@ def _lengthen(found: list[dict], items: Items, test: np.ndarray, seq: np.ndarray
         length[live] += equal.sum(axis=1)
         live = live[equal[:, -1]]
         reach = min(2 * reach, max(4, (1 << 20) // max(1, len(live))))
-    doc, rank = owner[place], items.rank[items.row[start]]
+    rank = np.concatenate([items.rank[items.row[start]], *down.ranks])
+    place, length = np.concatenate([place, *down.places]), np.concatenate([length, *down.lengths])
+    doc = owner[place]
     best = np.lexsort((place, rank, -length, doc))
     best = best[np.append(True, doc[best][1:] != doc[best][:-1])]
     names = dict(zip(items.rank.tolist(), items.ids))
@@ -236,19 +271,80 @@ def _lengthen(found: list[dict], items: Items, test: np.ndarray, seq: np.ndarray
         found[d] |= {"longest": k, "longest_at": int(x - start_of[d]), "longest_item": names[r]}
 
 
+class Descent:
+    """Places and item suffixes that begin alike, as nodes of a tree that is walked down word by word. Each place and each
+    suffix is in one node at a time, so a step costs their number, however many pairs they make. A node with few pairs
+    for its size leaves the tree as pairs; a place that no suffix goes on with is told at the length reached."""
+
+    def __init__(self, items: Items, test: np.ndarray, seq: np.ndarray, w: np.ndarray, place: np.ndarray, size: np.ndarray, at: np.ndarray, i: np.ndarray, node: np.ndarray):
+        self.items, self.test, self.seq = items, np.append(test, 0), np.append(seq, 0)
+        self.place, self.length, self.at = place, size.astype(np.int64), at  # of places
+        self.start, self.node = w[i], node  # of suffixes, sorted by node
+        self.ranks: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffix starts, places and equal words so far, still to be followed; the rest is in ranks, places and lengths."""
+        out = [(self.start[:0], self.place[:0], self.length[:0])]
+        while len(self.place):
+            nodes = int(self.at.max()) + 1
+            there, here = np.bincount(self.node, minlength=nodes), np.bincount(self.at, minlength=nodes)
+            few = there * here <= 4 * (there + here)
+            low = np.searchsorted(self.node, np.arange(nodes), "left")
+            alone = np.flatnonzero(few[self.at])
+            i, whose = spread(low[self.at[alone]], (low + there)[self.at[alone]])
+            out.append((self.start[i], self.place[alone[whose]], self.length[alone[whose]]))
+            self._keep(~few[self.at], ~few[self.node])
+            if len(self.place):
+                self._down()
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _keep(self, places: np.ndarray, suffixes: np.ndarray) -> None:
+        self.place, self.length, self.at = self.place[places], self.length[places], self.at[places]
+        self.start, self.node = self.start[suffixes], self.node[suffixes]
+
+    def _down(self) -> None:
+        """One word further: nodes split by the word that follows."""
+        nodes = int(max(self.at.max(), self.node.max())) + 1
+        depth, least = np.zeros(nodes, np.int64), np.full(nodes, np.iinfo(np.int64).max)
+        depth[self.at] = self.length  # places of a node are alike so far, and so are its suffixes
+        np.minimum.at(least, self.node, self.items.rank[self.items.row[self.start]])
+        reach = self.start + depth[self.node]
+        on = reach < self.items.stop[self.start]
+        words = int(max(self.test.max(), self.seq.max())) + 1
+        key = self.node[on] * words + self.test[reach[on]]
+        keys, split = np.unique(key, return_inverse=True)
+        want = self.at * words + self.seq[np.minimum(self.place + self.length, len(self.seq) - 1)]
+        to = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
+        goes = keys[to] == want if len(keys) else np.zeros(len(want), bool)
+        self.ranks.append(least[self.at[~goes]])
+        self.places.append(self.place[~goes])
+        self.lengths.append(self.length[~goes])
+        order = np.argsort(split, kind="stable")
+        self.start, self.node = self.start[on][order], split[order]
+        self.place, self.length, self.at = self.place[goes], self.length[goes] + 1, to[goes]
+        live = np.unique(self.at)  # nodes with a place in them go on, numbered anew
+        number = np.full(len(keys) + 1, -1)
+        number[live] = np.arange(len(live))
+        self.node = number[self.node]
+        self._keep(np.ones(len(self.at), bool), self.node >= 0)
+        self.at = number[self.at]
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     """Items with id and text, as i and t."""
     return benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
 
 
-def _scanned(docs: DataFrame, block: list[tuple[str, str]], window: int, met_only: bool = False) -> tuple[DataFrame, object]:
+def _scanned(docs: DataFrame, block: list[tuple[str, str]], window: int, met_only: bool = False, tell: Callable[[list[str]], dict] = listed) -> tuple[DataFrame, object]:
     """docs with `__brindle_found` (FOUND) for a block, all rows or those with a hit; and the broadcast block."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items([i for i, _ in sent.value], [t for _, t in sent.value], window)
         for batch in steps(batches):
-            got = scan_step(batch.column(batch.schema.get_field_index("text")), items)
+            got = scan_step(batch.column(batch.schema.get_field_index("text")), items, tell)
             if met_only:
                 some = [k for k, x in enumerate(got) if x["hits"]]
                 batch, got = batch.take(pa.array(some, pa.int64())), [got[k] for k in some]
@@ -257,17 +353,18 @@ def _scanned(docs: DataFrame, block: list[tuple[str, str]], window: int, met_onl
     return docs.mapInArrow(tidy(scan), T.StructType([*docs.schema.fields, T.StructField("__brindle_found", FOUND)])), sent
 
 
-def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, tell: Callable[[list[str]], dict] = listed) -> DataFrame:
     """docs with `__brindle_found` (FOUND). One block: map-only. More: a pass for each, its finds written, then a join."""
     docs, items = for_texts(docs), _items(benchmark)
     number = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
     if number == 1:
-        return _scanned(docs, [tuple(r) for r in items.collect()], window)[0]
+        return _scanned(docs, [tuple(r) for r in items.collect()], window, tell=tell)[0]
+    tell = listed if tell is digested else tell  # ids of several blocks are put in order together
     key = docs.select(F.md5("text").alias("__brindle_key"), "text")
     parts = []
     for k in range(number):  # by a hash of the id, so the rows of one id are together
         block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(number)) == k).collect()]
-        part, sent = _scanned(key, block, window, met_only=True)
+        part, sent = _scanned(key, block, window, met_only=True, tell=tell)
         parts.append(written(part.select("__brindle_key", "__brindle_found").dropDuplicates(["__brindle_key"])))
         sent.destroy()
     f = F.col("__brindle_found")
@@ -282,6 +379,7 @@ def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
     none = F.expr("named_struct('hits', cast(array() as array<int>), 'items', cast(array() as array<string>))")
     out = F.struct(
         F.col("__brindle_found.n_words").alias("n_words"), F.coalesce("hits", none["hits"]).alias("hits"), F.coalesce("items", none["items"]).alias("items"),
+        F.lit(None).cast("long").alias("n_items"), F.lit(None).cast("string").alias("items_sha256"),
         F.coalesce("longest", F.lit(0)).alias("longest"), F.col("best.a").alias("longest_at"), F.col("best.i").alias("longest_item"),
     )
     return plain.join(every, "__brindle_key", "left").select(*(F.col(f"`{c}`") for c in docs.columns), out.alias("__brindle_found"))
@@ -289,16 +387,16 @@ def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the longest match with its place."""
-    found = found_in(docs.select("doc_id", "text"), benchmark, window, block_bytes)
+    found = found_in(docs.select("doc_id", "text"), benchmark, window, block_bytes, digested)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(1).to_pylist()
             hit = [_covered(r["hits"]) for r in rows]
-            names = [sorted(set(r["items"])) for r in rows]
+            told = [r if r["items_sha256"] else digested(sorted(set(r["items"]))) for r in rows]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([r["n_words"] for r in rows], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode("utf-8", "surrogatepass")).hexdigest() for x in names], pa.string()), pa.array([h > 0 for h in hit], pa.bool_()),
+                batch.column(0), pa.array([r["n_words"] for r in rows], pa.int64()), pa.array(hit, pa.int64()), pa.array([x["n_items"] for x in told], pa.int64()),
+                pa.array([x["items_sha256"] for x in told], pa.string()), pa.array([h > 0 for h in hit], pa.bool_()),
                 pa.array([r["longest"] for r in rows], pa.int32()), pa.array([r["longest_at"] for r in rows], pa.int32()), pa.array([r["longest_item"] for r in rows], pa.string()),
             ], names=OUT.names)
 
@@ -310,7 +408,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
-    found = found_in(docs, benchmark, window, block_bytes)
+    found = found_in(docs, benchmark, window, block_bytes, untold)
     return found.where(F.size("__brindle_found.hits") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -355,6 +355,46 @@ def test_longest_matches_equal_brute_force(spark, block):
         assert (r["longest_words"], r["longest_at"], r["longest_item"]) == brute_longest(texts[r["doc_id"]], items), r
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_templates_are_followed_without_pairs(seed, monkeypatch):
+    """Items and documents that share text by many: matches and digests equal those of all pairs; no pair list is long."""
+    r = random.Random(seed)
+    stem = [f"s{k}" for k in range(14)]
+    bodies = [stem[r.randrange(3) :] + [r.choice("abc") for _ in range(r.randrange(9))] for _ in range(60)]
+    texts = [" ".join(r.choices("xyz", k=r.randrange(4)) + r.choice(bodies)[: r.randrange(9, 24)] + r.choices("xyzab", k=r.randrange(5))) for _ in range(80)]
+    ids = [f"i{k}" for k in range(len(bodies))]
+    made, real = [], suffix_decontamination.Descent.pairs
+    monkeypatch.setattr(suffix_decontamination.Descent, "pairs", lambda self: made.append((len(self.start) + len(self.place), out := real(self))) or out)
+    got = suffix_decontamination.scan_step(pa.array(texts), suffix_decontamination.Items(ids, [" ".join(b) for b in bodies], 10))
+    assert made and all(len(out[0]) <= 4 * given for given, out in made)
+    short = suffix_decontamination.scan_step(pa.array(texts), suffix_decontamination.Items(ids, [" ".join(b) for b in bodies], 10), suffix_decontamination.digested)
+    for text, found, digest in zip(texts, got, short):
+        words = text.split()
+        best, names = (0, None, None), set()
+        for name, body in zip(ids, bodies):
+            least = min(10, len(body))
+            for a in range(len(body) - least + 1):
+                for p in range(len(words) - least + 1):
+                    n = 0
+                    while a + n < len(body) and p + n < len(words) and body[a + n] == words[p + n]:
+                        n += 1
+                    if n >= least:
+                        names.add(name)
+                        best = min(best, (-n, name, p))
+        assert found["items"] == sorted(names)
+        assert (-found["longest"], found["longest_item"], found["longest_at"]) == best
+        assert digest["n_items"] == len(names) and digest["items_sha256"] == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+
+
+def test_a_template_of_many_items_and_documents_is_quick():
+    items = suffix_decontamination.Items([f"i{k}" for k in range(20_000)], [" ".join(f"t{j}" for j in range(14)) + f" own{k}" for k in range(20_000)], 10)
+    texts = pa.array([" ".join(f"t{j}" for j in range(14)) + f" own{k} and more" for k in range(5000)])
+    began = time.time()
+    got = suffix_decontamination.scan_step(texts, items, suffix_decontamination.digested)
+    assert time.time() - began < 20
+    assert all(x["n_items"] == 20_000 and (x["longest"], x["longest_item"]) == (15, f"i{k}") for k, x in enumerate(got))
+
+
 def test_a_long_item_found_whole_is_quick():
     rng = random.Random(3)
     item = " ".join(f"w{rng.randrange(5000)}" for _ in range(20_000))
