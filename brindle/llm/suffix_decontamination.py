@@ -57,6 +57,9 @@ _FOUND = pa.struct([
     ("longest", pa.int32()), ("longest_at", pa.int32()), ("longest_item", pa.string()),
 ])
 
+#: Pairs of a place and an item suffix are followed one by one up to so many for each place and suffix.
+PAIRS = 16
+
 
 class SuffixArray:
     """Places of an integer sequence, sorted by the `depth` elements from each, which are kept as columns of packed keys."""
@@ -243,13 +246,18 @@ def _lengthen(found: list[dict], items: Items, test: np.ndarray, seq: np.ndarray
     low, high = np.searchsorted(g, window, "left"), np.searchsorted(g, window, "right")
     skip_low = np.where(previous >= 0, np.searchsorted(keys, base + previous + 1, "left"), high)
     skip_high = np.where(previous >= 0, np.searchsorted(keys, base + previous + 1, "right"), high)
-    # Places with a window whose predecessors differ, one for each place; the items there are nodes of a tree, as far as
-    # several items meet several places, so their pairs are never made.
-    open_ = np.flatnonzero((skip_low > low) | (high > skip_high))
-    _, first, at_node = np.unique(g[low[open_]], return_index=True, return_inverse=True)
-    node_low, node_high = low[open_][first], high[open_][first]
-    down = Descent(items, test, seq, w, p[open_], size[open_], at_node, *spread(node_low, node_high))
-    start, place, length = down.pairs()
+    # Pairs are made for the windows where they are few for the number of their places; the others go down a tree, with
+    # all their suffixes: those that also agree in the word before only add shorter matches.
+    each = np.maximum(0, skip_low - low) + np.maximum(0, high - skip_high)
+    windows = int(g.max()) + 1
+    there = np.bincount(g, minlength=windows)
+    few = (np.bincount(window, each, windows) <= PAIRS * (np.bincount(window, each > 0, windows) + there))[window]
+    i, whose = spread(np.concatenate([low[few], skip_high[few]]), np.concatenate([skip_low[few], high[few]]))
+    whose = np.flatnonzero(few)[whose % max(1, int(few.sum()))]
+    open_ = np.flatnonzero(~few & (each > 0))
+    _, first, at_node = np.unique(window[open_], return_index=True, return_inverse=True)
+    down = Descent(items, test, seq, w, p[open_], size[open_], at_node, *spread(low[open_][first], high[open_][first]))
+    start, place, length = (np.concatenate(x) for x in zip((w[i], p[whose], size[whose].astype(np.int64)), down.pairs()))
     stop, live, reach = items.stop[start], np.arange(len(start)), 4
     test, seq = np.concatenate([test, np.zeros(1, np.int64)]), np.concatenate([seq, np.zeros(1, np.int64)])
     while len(live):  # ever longer stretches of what goes on
@@ -280,6 +288,7 @@ class Descent:
         self.items, self.test, self.seq = items, np.append(test, 0), np.append(seq, 0)
         self.place, self.length, self.at = place, size.astype(np.int64), at  # of places
         self.start, self.node = w[i], node  # of suffixes, sorted by node
+        self.words = int(max(test.max(initial=0), seq.max(initial=0))) + 1
         self.ranks: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
         self.lengths: list[np.ndarray] = []
@@ -290,7 +299,7 @@ class Descent:
         while len(self.place):
             nodes = int(self.at.max()) + 1
             there, here = np.bincount(self.node, minlength=nodes), np.bincount(self.at, minlength=nodes)
-            few = there * here <= 4 * (there + here)
+            few = there * here <= PAIRS * (there + here)
             low = np.searchsorted(self.node, np.arange(nodes), "left")
             alone = np.flatnonzero(few[self.at])
             i, whose = spread(low[self.at[alone]], (low + there)[self.at[alone]])
@@ -312,10 +321,9 @@ class Descent:
         np.minimum.at(least, self.node, self.items.rank[self.items.row[self.start]])
         reach = self.start + depth[self.node]
         on = reach < self.items.stop[self.start]
-        words = int(max(self.test.max(), self.seq.max())) + 1
-        key = self.node[on] * words + self.test[reach[on]]
+        key = self.node[on] * self.words + self.test[reach[on]]
         keys, split = np.unique(key, return_inverse=True)
-        want = self.at * words + self.seq[np.minimum(self.place + self.length, len(self.seq) - 1)]
+        want = self.at * self.words + self.seq[np.minimum(self.place + self.length, len(self.seq) - 1)]
         to = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
         goes = keys[to] == want if len(keys) else np.zeros(len(want), bool)
         self.ranks.append(least[self.at[~goes]])
