@@ -26,8 +26,8 @@ deleted runs stay.
 Lines, and the shortest runs, count as equal by 64-bit hashes.
 
 Defined cases: null texts stay null and empty ones empty, without lines; texts of
-any length are whole, and cost time in proportion to their lines and deleted ranges; lines
-are split at newlines only; rows that repeat (same doc_id and text) count as one
+any length are whole, and cost time in proportion to their lines, once for each distinct
+offset at which they face an earlier text (or themselves); lines are split at newlines only; rows that repeat (same doc_id and text) count as one
 document and get the same result each; rows of one doc_id with different texts
 are different documents; a null doc_id comes first; extra columns are ignored by
 `deduplicated` and kept by `without_repeats`.
