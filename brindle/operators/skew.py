@@ -4,7 +4,9 @@ A count-min sketch of each side's keys (three rows of counts of hashes, summed o
 occurs; the few keys whose bound is above a share of all rows are then counted, which gives the hot ones, at most 1 / share a
 side. Rows of other keys are joined plainly. Rows of hot keys are joined on a grid: a key's left rows are dealt to so many
 columns and its right rows to so many rows, by its counts on both sides, and each is copied along the other direction.
-A cell holds about `cell` rows of a side, so no task gets a whole hot key of either side.
+A cell holds about `cell` rows of a side, so no task gets a whole hot key of either side. A key has at most about `CELLS` cells:
+beyond that they grow with the key, so copies grow with the rows and not with the pairs. The copies are merge-joined,
+never broadcast: Spark sees the size of the written rows, not that of their copies.
 
 Outer joins: a row of a hot key finds a partner just when the other side has that key, which is settled on the few hot
 keys; rows without one are added with nulls. Rows with a null key match nothing and are not shuffled.
@@ -32,6 +34,9 @@ SHARE = 0.01
 #: Rows of one side in a cell of the grid.
 CELL = 1_000_000
 
+#: Cells of a key's grid.
+CELLS = 1024
+
 #: Rows of the sketch; each has 4 / share counts.
 DEPTH = 3
 
@@ -76,9 +81,18 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = SHARE) -> dict
     return {r["h"]: r["n"] for r in found.collect()}
 
 
-def _parts(counts: dict[int, int], cell: int) -> Column:
+def grid(n_left: int, n_right: int, cell: int) -> tuple[int, int]:
+    """Columns and rows of a hot key's grid."""
+    columns, rows = max(1, math.ceil(n_left / cell)), max(1, math.ceil(n_right / cell))
+    if min(columns, rows) > 1 and columns * rows > CELLS:
+        less = math.sqrt(columns * rows / CELLS)
+        columns, rows = math.ceil(columns / less), math.ceil(rows / less)
+    return columns, rows
+
+
+def _parts(parts: dict[int, int]) -> Column:
     """How many parts a hot key's rows are dealt to, by its hash."""
-    entries = [F.lit(x) for h, n in counts.items() for x in (h, max(1, math.ceil(n / cell)))]
+    entries = [F.lit(x) for entry in parts.items() for x in entry]
     return F.element_at(F.create_map(*entries), F.col("__skew_hash"))
 
 
@@ -130,7 +144,8 @@ def _hot_parts(left: DataFrame, right: DataFrame, lk: list[str], rk: list[str],
     both = {h for h in n_left if h in n_right}
     out = []
     if both:
-        of_left, of_right = _parts({h: n_left[h] for h in both}, cell), _parts({h: n_right[h] for h in both}, cell)
+        grids = {h: grid(n_left[h], n_right[h], cell) for h in sorted(both)}
+        of_left, of_right = _parts({h: g[0] for h, g in grids.items()}), _parts({h: g[1] for h, g in grids.items()})
 
         def dealt(df: DataFrame, keys: list[str], own: str, deal: Column, other: str, copies: Column) -> DataFrame:
             """df with a drawn place in its own direction, and a copy for each place in the other."""
@@ -141,7 +156,7 @@ def _hot_parts(left: DataFrame, right: DataFrame, lk: list[str], rk: list[str],
         a = dealt(left, lk, "__skew_i", of_left, "__skew_j", of_right)
         b = dealt(right, rk, "__skew_j2", of_right, "__skew_i2", of_left)
         place = [F.col("__skew_i") == F.col("__skew_i2"), F.col("__skew_j") == F.col("__skew_j2")]
-        out.append(a.join(b, [*same, *place]).select(*left.columns, *right.columns))
+        out.append(a.join(b.hint("merge"), [*same, *place]).select(*left.columns, *right.columns))
     if how in ("left", "full"):
         out.append(_absent(left.join(F.broadcast(right_keys), same, "left_anti"), right, False))
     if how in ("right", "full"):

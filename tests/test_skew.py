@@ -79,3 +79,17 @@ def test_misuse_is_refused(spark):
 def test_plans_are_equi_joins(spark, data, name):
     plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "__skew_i" in plan
+
+
+def test_copies_are_not_broadcast_and_grow_with_the_rows(spark):
+    """Two small tables with one key: what is joined are their copies, whose size Spark doesn't know."""
+    left = spark.range(600).select(F.lit(1).alias("k"), F.col("id").alias("i"))
+    right = spark.range(400).select(F.lit(1).alias("k2"), F.col("id").alias("j"))
+    joined = skew.skew_join(left, right, [("k", "k2")], cell=10)
+    grids = [line for line in joined._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "__skew_i" in line]
+    assert grids and all("SortMergeJoin" in line for line in grids)
+    assert joined.count() == 240_000
+    for n in (10, 1000, 100_000):
+        columns, rows = skew.grid(36 * n, 3 * n, 2)
+        assert 36 * n * rows + 3 * n * columns <= 12 * skew.CELLS**0.5 * 3 * n and columns * rows <= 1.2 * skew.CELLS
+    assert skew.grid(5000, 900, 1000) == (5, 1) and skew.grid(0, 7, 2) == (1, 4) and skew.grid(10_000, 1, 1) == (10_000, 1)
