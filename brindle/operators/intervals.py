@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..sources.scratch import written
 from ..sources.tables import table
+from .overlaps import overlap_counts
 from .registry import Registry
 from .temporal import sessionized
 
@@ -142,8 +143,25 @@ FROM s a JOIN s b ON a.low <= b.high AND b.low <= a.high AND a.user_id <> b.user
 """)
 def overlapping_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each session, the sessions of other users that overlap it, and the longest time in common (microseconds)."""
-    left = _sessions(spark, sf_dir)
-    right = left.select(F.col("id").alias("other_id"), F.col("user_id").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    return session_overlaps(_sessions(spark, sf_dir))
+
+
+def session_overlaps(sessions: DataFrame) -> DataFrame:
+    """id, n, users and longest of written sessions. Their pairs grow with the square of the table, so they are counted without
+    making them; only the sessions that share an id, whose users are counted together, are joined with the others."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
+    timed = written(sessions.where("user_id is not null and low is not null").withColumn("row", F.monotonically_increasing_id()))
+    counts = overlap_counts(timed.select("row", F.col("user_id").alias("owner"), micros("low"), micros("high")))
+    out = timed.select("row", "id").join(counts, "row").select("id", "n", F.col("owners").alias("users"), "longest")
+    shared = written(timed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("shared")))
+    if shared.isEmpty():
+        return out
+    same = F.col("id").eqNullSafe(F.col("shared"))
+    return out.join(shared, same, "left_anti").unionByName(_paired(timed.join(shared, same, "left_semi").drop("row"), timed))
+
+
+def _paired(left: DataFrame, sessions: DataFrame) -> DataFrame:
+    right = sessions.select(F.col("user_id").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
     pairs = overlap_join(left, ("low", "high"), right, ("other_low", "other_high"), 1800).where("user_id <> other")
     common = F.unix_micros(F.least("high", "other_high").cast("timestamp")) - F.unix_micros(F.greatest("low", "other_low").cast("timestamp"))
     return pairs.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("other").alias("users"), F.max(common).alias("longest"))
