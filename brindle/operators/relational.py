@@ -136,6 +136,9 @@ def not_in_a_list_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_in(table(spark, sf_dir, "orders"), "o_orderkey", listed, "k").select("o_orderkey")
 
 
+#: Parts that the rows of one brand and size are dealt to.
+STRIPES = 8
+
 BANDS = [("debt", -1000.0, 0.0), ("low", 0.0, 3000.0), ("high", 3000.0, 10000.0), ("top", 9000.0, 10000.0)]
 
 
@@ -163,9 +166,16 @@ def small_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.p_partkey AS cheap, b.p_partkey AS dear FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_retailprice < b.p_retailprice
 """)
 def dearer_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs grow with the square of a brand and size, and make up all of the work. So they are dealt to all tasks: by
+    brand, size and a stripe of the cheaper part, with a copy of the dearer part for each stripe."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    a, b = part.alias("a"), part.alias("b")
-    return a.join(b, F.expr("a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_retailprice < b.p_retailprice")).select(F.col("a.p_partkey").alias("cheap"), F.col("b.p_partkey").alias("dear"))
+    cheap = part.withColumn("stripe", F.pmod(F.xxhash64("p_partkey"), F.lit(STRIPES)))
+    dear = part.withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(STRIPES - 1).cast("bigint"))))
+    keys = ["p_brand", "p_size", "stripe"]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    a, b = cheap.repartition(tasks, *keys).alias("a"), dear.repartition(tasks, *keys).alias("b").hint("merge")
+    same = F.expr("a.p_brand = b.p_brand and a.p_size = b.p_size and a.stripe = b.stripe and a.p_retailprice < b.p_retailprice")
+    return a.join(b, same).select(F.col("a.p_partkey").alias("cheap"), F.col("b.p_partkey").alias("dear"))
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
