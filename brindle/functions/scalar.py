@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..sources.tables import register, table
+from . import frames
 from .partial import GeometricMean, MiddleMagnitude, aggregate
 
 
@@ -89,12 +90,14 @@ def typical_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A function from a group's frame to rows."""
+    """A function from a frame of whole groups to rows."""
 
     def shares(orders: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"o_orderkey": orders["o_orderkey"], "share": (orders["o_totalprice"] / orders["o_totalprice"].sum()).round(8)})
+        total = orders.groupby("o_custkey", dropna=False)["o_totalprice"].transform("sum")
+        return pd.DataFrame({"o_orderkey": orders["o_orderkey"], "share": (orders["o_totalprice"] / total).round(8)})
 
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice").groupBy("o_custkey").applyInPandas(shares, "o_orderkey long, share double")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return frames.apply(orders, ["o_custkey"], shares, "o_orderkey long, share double")
 
 
 class Letters:
