@@ -2,8 +2,9 @@
 
 A `Partial` is written over whole Arrow columns: `update` turns rows into one state for each group among them, `merge` turns
 states into one for each group, `finish` turns states into results. Tasks update and merge as they read and hand on one
-state a group (or several, where a task has more than `HELD` groups); states are shuffled by key and sorted, and merged as
+state a group (or several, where its states take more than `HELD_BYTES`); states are shuffled by key and sorted, and merged as
 they stream by, one batch at a time. So memory is bounded on both sides, and a hot key costs a state from each task.
+An array state is shuffled without the zeros at its ends: where most groups have few rows, most of it is zeros.
 
 `merge` must not depend on order or grouping; sums of floating-point numbers do, in their last digits.
 
@@ -23,8 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Groups that a task holds before it hands their states on.
-HELD = 100_000
+#: Groups that a task holds before it hands their states on, and bytes of their states (array states count whole).
+HELD, HELD_BYTES = 100_000, 32 << 20
 
 #: Types of states, and the Arrow types that Spark takes for them.
 KINDS = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
@@ -74,11 +75,48 @@ def _to_numpy(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+def _trimmed(column: pa.Array) -> pa.Array:
+    """Lists of one length as lists of that length, the number of zeros in front, and what is left without zeros at the ends."""
+    x = _to_numpy(column)
+    there = np.ascontiguousarray(x).view(np.int64) != 0  # bits, so a negative zero is kept
+    any_ = there.any(axis=1) if x.shape[1] else np.zeros(len(x), bool)
+    first, stop = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    first[any_], stop[any_] = there[any_].argmax(axis=1), x.shape[1] - there[any_][:, ::-1].argmax(axis=1)
+    ends = np.concatenate([[0], np.cumsum(stop - first + 2)])
+    out = np.empty(ends[-1], x.dtype)
+    out[ends[:-1]], out[ends[:-1] + 1] = x.shape[1], first
+    at, left = np.arange(x.shape[1]), np.ones(ends[-1], bool)
+    left[ends[:-1]] = left[ends[:-1] + 1] = False
+    out[left] = x[(at >= first[:, None]) & (at < stop[:, None])]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out, column.type.value_type))
+
+
+def _restored(column: pa.Array) -> pa.Array:
+    """The lists that `_trimmed` was given."""
+    values, sizes = column.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    width = int(values[0]) if len(values) else 0
+    out, row = np.zeros((len(sizes), width), values.dtype), np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(values)) - starts[row]  # in the list
+    left = at >= 2
+    out[row[left], values[starts + 1].astype(np.int64)[row[left]] + at[left] - 2] = values[left]
+    return _lists(out, column.type.value_type)
+
+
+def _arrays(table: pa.Table, n_keys: int, change) -> pa.Table:
+    """table with `change` done to its array states."""
+    columns = [c.combine_chunks() for c in table.columns]
+    return pa.table([c if i < n_keys or not pa.types.is_list(c.type) else change(c) for i, c in enumerate(columns)], table.column_names)
+
+
+def _lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
+
+
 def _to_arrow(x: np.ndarray, kind: str) -> pa.Array:
     if x.ndim == 1:
         return pa.array(x, KINDS[kind])
-    ends = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel(), KINDS[kind].value_type))
+    return _lists(x, KINDS[kind].value_type)
 
 
 def _table(keys: list[pa.Array], first: np.ndarray, states: States, agg: Partial) -> pa.Table:
@@ -98,18 +136,25 @@ def _merged(held: list[pa.Table], n_keys: int, agg: Partial) -> pa.Table:
 
 def _updates(n_keys: int, agg: Partial):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held: list[pa.Table] = []  # the merged states so far, and those of single batches
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, inputs = batch.columns[:n_keys], batch.columns[n_keys:]
             group, first = _numbered(keys, batch.num_rows)
-            held = [_merged([*held, _table(keys, first, agg.update(inputs, group, len(first)), agg)], n_keys, agg)]
-            if held[0].num_rows > HELD:
-                yield from held[0].to_batches()
+            held.append(_table(keys, first, agg.update(inputs, group, len(first)), agg))
+            rows, size = sum(t.num_rows for t in held), sum(t.nbytes for t in held)
+            if len(held) > 1 and (rows > 2 * held[0].num_rows or rows > HELD or size > HELD_BYTES):  # each state is merged a few times, not once a batch
+                held = [_merged(held, n_keys, agg)]
+            if held[0].num_rows > HELD or 2 * held[0].nbytes > HELD_BYTES:
+                yield from handed_on(_merged(held, n_keys, agg))
                 held = []
-        for table in held:
-            yield from table.to_batches()
+        if held:
+            yield from handed_on(_merged(held, n_keys, agg))
+
+    def handed_on(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for at in range(0, table.num_rows, 10_000):
+            yield from _arrays(table.slice(at, 10_000), n_keys, _trimmed).to_batches()
 
     return run
 
@@ -128,6 +173,7 @@ def _finishes(n_keys: int, agg: Partial):
         for batch in batches:
             if batch.num_rows:
                 new = pa.Table.from_batches([batch]).rename_columns([f"k{i}" for i in range(n_keys)] + list(agg.state))
+                new = _arrays(new, n_keys, _restored)
                 all_ = _merged([*held, new], n_keys, agg)
                 last = _equal(all_.select(range(n_keys)), new.slice(new.num_rows - 1).select(range(n_keys)), all_.num_rows)
                 yield from finished(all_.filter(pa.array(~last)))

@@ -67,3 +67,27 @@ def test_keys_are_shuffled_as_states_only(spark, data):
     exchange = plan.index("Exchange hashpartitioning")
     assert plan.count("MapInArrow") == 2 and plan.index("MapInArrow") < exchange < plan.rindex("MapInArrow")
     assert "FlatMapGroups" not in plan and "AggregateInPandas" not in plan
+
+
+@pytest.mark.parametrize("kind", [np.int64, np.float64])
+def test_array_states_are_shuffled_without_zeros_at_their_ends(kind):
+    x = np.zeros((6, 64), kind)
+    x[1, 0], x[2, 63], x[3, 10:14], x[4, :] = 3, 4, [1, 0, -2, 5], 7
+    x[5, 20] = -0.0
+    column = partial._lists(x, pa.from_numpy_dtype(kind))
+    short = partial._trimmed(column)
+    assert pa.compute.list_value_length(short).to_pylist()[:5] == [2, 3, 3, 6, 66]
+    back = partial._to_numpy(partial._restored(short))
+    assert back.dtype == kind and (back == x).all() and (np.signbit(back) == np.signbit(x)).all()
+    assert (partial._to_numpy(partial._restored(short.slice(2, 3))) == x[2:5]).all()
+    assert len(partial._restored(short.slice(0, 0))) == 0
+
+
+def test_states_of_many_small_groups_take_few_bytes():
+    """120,000 groups of one row: dense histograms are 61 MB, and no more than a part of them is held."""
+    agg = partial.MiddleMagnitude()
+    batches = [pa.record_batch([pa.array(np.arange(a, a + 10_000)), pa.array(np.full(10_000, 900.0))], names=["k", "v"]) for a in range(0, 120_000, 10_000)]
+    out = list(partial._updates(1, agg)(iter(batches)))
+    assert sum(b.num_rows for b in out) == 120_000 and sum(b.nbytes for b in out) < 6e6 and len(out) >= 4
+    merged = pa.Table.from_batches(list(partial._finishes(1, agg)(pa.Table.from_batches(out).sort_by("k0").to_batches(max_chunksize=5000))))
+    assert merged["k0"].to_pylist() == list(range(120_000)) and set(merged["result"].to_pylist()) == {10}
