@@ -71,3 +71,20 @@ def test_clashing_columns_are_refused(spark):
 def test_plans_have_no_nested_loop(spark, data, name):
     plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "Join" in plan
+
+
+@pytest.mark.parametrize("unit", [1, 16])
+def test_overlaps_within_a_table_are_found_once(spark, unit):
+    """Each pair of two rows once, the one that begins first in front; ties by row."""
+    rows = [(k, i, low, high) for i, (k, _, low, high) in enumerate(spans(random.Random(unit), 90))]
+    df = spark.createDataFrame(rows, "k int, i int, lo int, hi int")
+    for on in ([], ["k"]):
+        got = intervals.self_overlap_join(df, "i", ("lo", "hi"), unit, on).collect()
+        want = sorted((x[1], y[1]) for x in rows for y in rows if overlap(x, y) and (x[2], x[1]) < (y[2], y[1]) and (not on or (x[0] is not None and x[0] == y[0])))
+        assert sorted((r["i"], r["other_i"]) for r in got) == want
+
+
+def test_deliveries_are_read_and_joined_once(spark, data):
+    """The lines are grouped once, into a written table, and one join of points with intervals gives the pairs."""
+    plan = catalog.QUERIES["overlapping_deliveries"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "l_shipdate" not in plan and "Aggregate" not in plan
