@@ -1,7 +1,8 @@
 """Custom state with event-time timers, in the RocksDB state store.
 
-A visit is a run of a user's events with gaps of at most `GAP` seconds. Its open events are a list state; a timer stands where
-the earliest of them could end a visit. When the watermark reaches it, all visits that can get no more events are given
+A visit is a run of a user's events with gaps of at most `GAP` seconds. Users are dealt to `BUCKETS` by hash, as calls for
+each user's state cost more than the work. A bucket's open events are a list state of columns; a timer stands where the earliest of
+them could end a visit. When the watermark reaches it, all visits that can get no more events are given
 out and removed, so state holds what the gap and the watermark's delay ask for, and users who don't come back
 leave nothing behind. Events of a user may come in any order within that delay.
 
@@ -12,7 +13,7 @@ repeat are each counted. State goes on from the checkpoint where a stream was st
 from __future__ import annotations
 
 import contextlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +26,12 @@ from .windows import drained, event_stream
 
 GAP = 30 * 60
 
+#: Groups of users that share state and timers. A stream keeps the number it began with.
+BUCKETS = 1024
+
+#: Events in a row of the state.
+BLOCK = 10_000
+
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,7 +44,7 @@ class Visits(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "at long, event_id long, event_type string")
+        self.open = handle.getListState("open", "user_id array<bigint>, at array<bigint>, event_id array<bigint>, event_type array<string>")
 
     def _wake(self, first: int) -> None:
         """A timer where a visit that ends with the earliest open event would be over, unless there is an earlier one."""
@@ -51,31 +58,48 @@ class Visits(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for part in rows:
-            new = [(int(a), int(i), t) for a, i, t in zip(part["at"], part["event_id"], part["event_type"])]
-            if new:
-                self.open.appendList(new)
-                first = min(first or new[0][0], *(x[0] for x in new))
+            if len(part):
+                users = [u if known else None for u, known in zip(part["user_id"].tolist(), part["known"].tolist())]
+                at = part["at"].tolist()
+                self.open.appendList(blocks(list(zip(users, at, part["event_id"].tolist(), part["event_type"].tolist()))))
+                first = min(at) if first is None else min(first, *at)
         if first is not None:
             self._wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done, rest = ended(sorted(map(tuple, self.open.get())), self.gap, timerValues.getCurrentWatermarkInMs() * 1000)
-        self.open.put(rest) if rest else self.open.clear()
+        by_user = defaultdict(list)
+        for block in self.open.get():
+            for user, *event in zip(*block):
+                by_user[user].append(tuple(event))
+        now, done, rest, ends = timerValues.getCurrentWatermarkInMs() * 1000, [], [], []
+        for user, events in by_user.items():
+            over, left = ended(sorted(events), self.gap, now)
+            done += [(user, *visit(v)) for v in over]
+            rest += [(user, *e) for e in left]
+            if left:
+                last = left[0][0]
+                for at, *_ in left:  # of the first visit that is still open
+                    if at > last + self.gap:
+                        break
+                    last = at
+                ends.append(last)
+        self.open.put(blocks(rest)) if rest else self.open.clear()
         if rest:
-            last = rest[0][0]
-            for at, *_ in rest:  # of the first visit that is still open
-                if at > last + self.gap:
-                    break
-                last = at
-            self.handle.registerTimer(-(-(last + self.gap) // 1000))
+            self.handle.registerTimer(-(-(min(ends) + self.gap) // 1000))
         if done:
-            yield pd.DataFrame([(key[0], *visit(v)) for v in done], columns=["user_id", "first_id", "n", "seconds", "kinds"])
+            out = pd.DataFrame(done, columns=["user_id", "first_id", "n", "seconds", "kinds"])
+            yield out.assign(user_id=pd.array([v[0] for v in done], "Int64"))  # not as floats beside a null
 
     def close(self) -> None:
         pass
 
 
+def blocks(events: list[tuple]) -> list[tuple]:
+    """Events as rows of columns, `BLOCK` events each."""
+    return [tuple(map(list, zip(*events[i : i + BLOCK]))) for i in range(0, len(events), BLOCK)]
+
+
 def ended(events: list[tuple], gap: int, now: int) -> tuple[list[list[tuple]], list[tuple]]:
     """Sorted events, cut to the visits that are over at `now`, and the events of those that are not."""
     done, visit = [], []
@@ -97,8 +121,8 @@ def visit(events: list[tuple]) -> tuple[int, int, float, str]:
 
 def visits(events: DataFrame, gap: int = GAP, delay: str = "10 minutes") -> DataFrame:
     """user_id, first_id, n, seconds and kinds (type:count by type) of every visit that is over."""
-    timed = events.where("ts is not null").withWatermark("ts", delay).select("user_id", "ts", F.unix_micros("ts").alias("at"), "event_id", F.coalesce("event_type", F.lit("")).alias("event_type"))
-    return timed.groupBy("user_id").transformWithStateInPandas(Visits(gap), "user_id long, first_id long, n long, seconds double, kinds string", "Append", "EventTime")
+    timed = events.where("ts is not null").withWatermark("ts", delay).select(F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).alias("bucket"), F.coalesce("user_id", F.lit(0)).alias("user_id"), F.col("user_id").isNotNull().alias("known"), "ts", F.unix_micros("ts").alias("at"), "event_id", F.coalesce("event_type", F.lit("")).alias("event_type"))
+    return timed.groupBy("bucket").transformWithStateInPandas(Visits(gap), "user_id long, first_id long, n long, seconds double, kinds string", "Append", "EventTime")
 
 
 @contextlib.contextmanager

@@ -69,3 +69,15 @@ def test_the_store_setting_is_put_back(spark, tmp_path):
     write(spark, rows_of(random.Random(1), 5), str(tmp_path / "in"))
     state.run(state.visits(stream(spark, str(tmp_path / "in"))), str(tmp_path / "out")).collect()
     assert spark.conf.get(state.STORE) == before
+
+
+def test_users_share_calls_and_keep_their_ids(spark, tmp_path, monkeypatch):
+    """300 users in 3 buckets, a null user and ids that no double holds."""
+    monkeypatch.setattr(state, "BUCKETS", 3)
+    assert [len(b[0]) for b in state.blocks([(u, 1, 2, "a") for u in range(state.BLOCK + 1)])] == [state.BLOCK, 1]
+    users = [None, *(2**53 + 1 + 2 * i for i in range(299))]
+    rows = [(i, START + dt.timedelta(minutes=j * 40), u, "a") for i, (u, j) in enumerate((u, j) for u in users for j in range(2))]
+    write(spark, [*rows, (9000, START + dt.timedelta(days=1), 5, "z")], str(tmp_path / "in"))
+    found = state.visits(stream(spark, str(tmp_path / "in")))
+    got = state.run(found, str(tmp_path / "out")).collect()
+    assert sorted(map(tuple, got), key=repr) == plain(rows, state.GAP, 10**15)
