@@ -8,6 +8,12 @@ A cell holds about `cell` rows of a side, so no task gets a whole hot key of eit
 beyond that they grow with the key, so copies grow with the rows and not with the pairs. The copies are merge-joined,
 never broadcast: Spark sees the size of the written rows, not that of their copies.
 
+Where hot keys have many pairs for each row, what is copied and joined are packs of `PACK` rows, and the pairs of two packs
+follow each other. Files of the result then repeat the same few values in turn, which their encodings need to stay small: row by
+row against whole cells, each page of a file holds long stretches without a repeat. Tasks are counted by pairs there, as Spark
+would count them by the bytes of the packs. A task holds the pairs of two packs at once, so rows with columns without a fixed
+width (strings, arrays) are not packed.
+
 Outer joins: a row of a hot key finds a partner just when the other side has that key, which is settled on the few hot
 keys; rows without one are added with nulls. Rows with a null key match nothing and are not shuffled.
 
@@ -21,8 +27,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import written
 from ..sources.tables import table
@@ -35,7 +42,16 @@ SHARE = 0.01
 CELL = 1_000_000
 
 #: Cells of a key's grid.
-CELLS = 1024
+CELLS = 256
+
+#: Rows of a pack, and the pairs for each row from which rows are packed; a multiple of 8, as files pack indices by eights.
+PACK = 64
+
+#: Types whose values have a bounded width.
+FIXED = (T.NumericType, T.BooleanType, T.DatetimeType, T.AnsiIntervalType)
+
+#: Pairs for each task, where rows are packed, and the most tasks.
+PAIRS, TASKS = 16_000_000, 8192
 
 #: Rows of the sketch; each has 4 / share counts.
 DEPTH = 3
@@ -133,6 +149,15 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]],
     return out
 
 
+def _packs(drawn: DataFrame, columns: list[str], keys: list[str], own: str, rows: str) -> DataFrame:
+    """Arrays `rows` of up to PACK rows of one key and place, numbered by a written column, so a lost executor can't change them.
+    All but a place's last one are full."""
+    order = Window.partitionBy("__skew_hash", *keys, own).orderBy("__skew_n")
+    numbered = drawn.withColumn("__skew_pack", F.floor((F.row_number().over(order) - 1) / PACK))
+    packed = numbered.groupBy("__skew_hash", *keys, own, "__skew_pack").agg(F.collect_list(F.struct(*columns)).alias(rows))
+    return packed.drop("__skew_pack")
+
+
 def _hot_parts(left: DataFrame, right: DataFrame, lk: list[str], rk: list[str], how: str, cell: int) -> list[DataFrame]:
     """The parts of the result that rows of hot keys give. There are few hot keys, so tables of keys are broadcast."""
     same = [F.col(a) == F.col(b) for a, b in zip(lk, rk)]
@@ -146,17 +171,32 @@ def _hot_parts(left: DataFrame, right: DataFrame, lk: list[str], rk: list[str],
     if both:
         grids = {h: grid(n_left[h], n_right[h], cell) for h in sorted(both)}
         of_left, of_right = _parts({h: g[0] for h, g in grids.items()}), _parts({h: g[1] for h, g in grids.items()})
+        pairs = sum(n_left[h] * n_right[h] for h in both)
+        narrow = all(isinstance(f.dataType, FIXED) for f in [*left.schema, *right.schema])
+        pack = narrow and pairs > PACK * sum(n_left[h] + n_right[h] for h in both)
+        tasks = min(TASKS, math.ceil(pairs / PAIRS)) if pack else 0
 
-        def dealt(df: DataFrame, keys: list[str], own: str, deal: Column, other: str, copies: Column) -> DataFrame:
-            """df with a drawn place in its own direction, and a copy for each place in the other."""
+        def dealt(df: DataFrame, keys: list[str], own: str, deal: Column, other: str, copies: Column, rows: str) -> DataFrame:
+            """df, or packs of it, with a drawn place in its own direction, and a copy for each place in the other."""
             hashed = df.withColumn("__skew_hash", F.xxhash64(*keys)).where(F.col("__skew_hash").isin(sorted(both)))
-            drawn = written(hashed.withColumn(own, F.floor(F.rand(7) * deal).cast("int")))
-            return drawn.withColumn(other, F.explode(F.sequence(F.lit(0), copies - 1))).drop("__skew_hash")
-
-        a = dealt(left, lk, "__skew_i", of_left, "__skew_j", of_right)
-        b = dealt(right, rk, "__skew_j2", of_right, "__skew_i2", of_left)
+            drawn = hashed.withColumn(own, F.floor(F.rand(7) * deal).cast("int"))
+            if pack:
+                placed = _packs(written(drawn.withColumn("__skew_n", F.monotonically_increasing_id())), df.columns, keys, own, rows)
+            else:
+                placed = written(drawn)
+            copied = placed.withColumn(other, F.explode(F.sequence(F.lit(0), copies - 1))).drop("__skew_hash")
+            few = tasks <= df.sparkSession.sparkContext.defaultParallelism
+            return copied if few else copied.repartition(tasks, *keys, *sorted((own, other)))
+
+        a = dealt(left, lk, "__skew_i", of_left, "__skew_j", of_right, "__skew_a")
+        b = dealt(right, rk, "__skew_j2", of_right, "__skew_i2", of_left, "__skew_b")
         place = [F.col("__skew_i") == F.col("__skew_i2"), F.col("__skew_j") == F.col("__skew_j2")]
-        out.append(a.join(b.hint("merge"), [*same, *place]).select(*left.columns, *right.columns))
+        met = a.join(b.hint("merge"), [*same, *place])
+        if pack:
+            met = met.select(F.explode("__skew_a").alias("__skew_a"), "__skew_b").select("__skew_a", F.explode("__skew_b").alias("__skew_b"))
+            out.append(met.select("__skew_a.*", "__skew_b.*"))
+        else:
+            out.append(met.select(*left.columns, *right.columns))
     if how in ("left", "full"):
         out.append(_absent(left.join(F.broadcast(right_keys), same, "left_anti"), right, False))
     if how in ("right", "full"):

@@ -93,3 +93,38 @@ def test_copies_are_not_broadcast_and_grow_with_the_rows(spark):
         columns, rows = skew.grid(36 * n, 3 * n, 2)
         assert 36 * n * rows + 3 * n * columns <= 12 * skew.CELLS**0.5 * 3 * n and columns * rows <= 1.2 * skew.CELLS
     assert skew.grid(5000, 900, 1000) == (5, 1) and skew.grid(0, 7, 2) == (1, 4) and skew.grid(10_000, 1, 1) == (10_000, 1)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_packs_equal_the_plain_join(spark, monkeypatch, how):
+    """Packs of 4 rows in so many tasks that Spark doesn't choose their number: rows that repeat, nulls and two keys, once each."""
+    monkeypatch.setattr(skew, "PACK", 4)
+    monkeypatch.setattr(skew, "PAIRS", 300)
+    left, right = sides(spark, random.Random(3), 90)
+    left, right = left.withColumn("t", F.ascii("t")), right.withColumn("t2", F.ascii("t2"))
+    for on in ([("k", "k2")], [("k", "k2"), ("t", "t2")]):
+        want = left.join(right, [F.col(a) == F.col(b) for a, b in on], how)
+        got = skew.skew_join(left, right, on, how, share=0.05, cell=20)
+        assert "collect_list" in got._jdf.queryExecution().executedPlan().toString()
+        assert got.dtypes == want.dtypes and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    wide = skew.skew_join(left.withColumn("w", F.lit("w")), right, [("k", "k2")], how, share=0.05, cell=20)
+    assert "collect_list" not in wide._jdf.queryExecution().executedPlan().toString()  # its pairs could be of any size
+
+
+def test_files_of_many_pairs_stay_small(spark, tmp_path):
+    """4,000,000 pairs of one key: files that go through a whole cell for each row take about a byte a pair."""
+    left = spark.range(500).select(F.lit(1).alias("k"), (F.col("id") * 7919).alias("i"))
+    right = spark.range(8000).select(F.lit(1).alias("k2"), (F.col("id") * 104_729).alias("j"))
+    skew.skew_join(left, right, [("k", "k2")]).select("i", "j").write.option("compression", "snappy").parquet(str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert (back.count(), back.distinct().count()) == (4_000_000, 4_000_000)
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.4 * 4_000_000
+
+
+def test_tasks_follow_the_pairs(spark, monkeypatch):
+    """Few bytes, many pairs: as many tasks as the pairs ask for, which Spark doesn't put together."""
+    monkeypatch.setattr(skew, "PAIRS", 20_000)
+    left = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("i"))
+    right = spark.range(1000).select(F.lit(1).alias("k2"), F.col("id").alias("j"))
+    sizes = Counter(r[0] for r in skew.skew_join(left, right, [("k", "k2")], cell=50).select(F.spark_partition_id()).collect())
+    assert sum(sizes.values()) == 1_000_000 and len(sizes) > 25 and max(sizes.values()) < 200_000
